@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from . import binding as B
 from .plans import log_queries as LQ
+from .plans import snapshots as SN
+from .plans import statistics as ST
 from .sources import logs as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,13 +91,65 @@ def _log_queries() -> dict[str, Query]:
     }
 
 
+def snapshot_metrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """b13 metric tables of the reference and current comparison windows."""
+    ev = _events(spark, sf_dir)
+    cap = B.capacity(spark)
+    out = []
+    for which in ("reference", "current"):
+        e = B.snapshot_events(ev, which)
+        out.append(LQ.b13_metrics(B.runs(e), B.executor_events(e), cap))
+    return out[0], out[1]
+
+
+def _snapshot_queries() -> dict[str, Query]:
+    def pairs(s, d):
+        ref, cur = snapshot_metrics(s, d)
+        return SN.pair_snapshots(ref, cur)
+
+    def trends(s, d):
+        return SN.trend_class(pairs(s, d))
+
+    def decisions(s, d):
+        return SN.evolution_decisions(trends(s, d))
+
+    def with_ref_cur(f):
+        def q(s, d):
+            ref, cur = snapshot_metrics(s, d)
+            return f(cur, ref)
+        return q
+
+    metric_cols = [c for m in SN.METRICS for c in (f"ref_{m}", f"cur_{m}")]
+    return {
+        "snapshot_pairing": lambda s, d: pairs(s, d).select(*SN.KEYS, "status", *metric_cols),
+        "metric_deltas": lambda s, d: SN.metric_deltas(pairs(s, d)),
+        "trend_class": lambda s, d: trends(s, d).select(*SN.KEYS, "trend", "confidence",
+                                                         "p95_pct_change", "cap_pct_change"),
+        "evolution_decisions": decisions,
+        "cluster_trend_rollup": lambda s, d: SN.cluster_trend_rollup(trends(s, d)),
+        "cluster_actions": lambda s, d: SN.cluster_actions(decisions(s, d)),
+        "trend_counts": lambda s, d: SN.trend_counts(trends(s, d)),
+        "trend_summary": lambda s, d: SN.trend_summary(trends(s, d), decisions(s, d)),
+        "corr_delta_fleet": lambda s, d: ST.corr_delta_fleet(pairs(s, d)),
+        "corr_delta_cluster": lambda s, d: ST.corr_delta_cluster(pairs(s, d)),
+        "corr_current": with_ref_cur(ST.corr_current),
+        "zscore_delta": lambda s, d: ST.zscore_delta(pairs(s, d)),
+        "zscore_cluster": lambda s, d: ST.zscore_cluster(pairs(s, d)),
+        "zscore_current_new": with_ref_cur(ST.zscore_current),
+        "scatter_points": lambda s, d: ST.scatter_points(pairs(s, d), *snapshot_metrics(s, d)[::-1]),
+        "scale_signals": with_ref_cur(ST.scale_signals),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for name, fn in _log_queries().items():
-        out[name] = _q(fn)
+    for group in (_log_queries(), _snapshot_queries()):
+        for name, fn in group.items():
+            out[name] = _q(fn)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     from .checks.oracle import log_query_sql
-    return {**log_query_sql()}
+    from .checks.oracle_snapshots import snapshot_sql
+    return {**log_query_sql(), **snapshot_sql()}
