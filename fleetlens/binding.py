@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.layout import spread_input
 from .sources.logs import (AUDIT_LOG, AUTOSCALER_LOG, CLUSTER_LOG, DRIVER_LOG,
                            RT_CLUSTER, RT_JOB, TELEMETRY_LOG)
 
@@ -47,7 +48,8 @@ STATUS_BY_K3 = ["SUCCESS", "FAILED", "RUNNING"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a driver table; a scan with fewer splits than task slots is spread."""
+    return spread_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def k_of(props: str = "props") -> Column:

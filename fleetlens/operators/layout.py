@@ -1,0 +1,119 @@
+"""Partition layout helpers (L1-L3) and the broadcast-size plan (L4).
+
+All decisions read only plan metadata (partition counts, session conf,
+executor list) -- no data passes through the driver.  L4 measures row width
+with a distributed aggregate over the DataFrame.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def current_executor_count(spark: SparkSession) -> int:
+    """Executors registered right now (the driver excluded), at least 1."""
+    infos = spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()  # noqa: SLF001
+    return max(1, len(infos) - 1)
+
+
+def cores_per_executor(spark: SparkSession) -> int:
+    try:
+        return int(spark.conf.get("spark.executor.cores", "1"))
+    except ValueError:
+        return 1
+
+
+def cluster_parallelism(spark: SparkSession, tasks_per_core: int = 5, fallback: int = 50) -> int:
+    """L2: executors x cores x tasks-per-core; ``fallback`` if unknown."""
+    try:
+        return current_executor_count(spark) * cores_per_executor(spark) * tasks_per_core
+    except Exception:  # noqa: BLE001 - best effort, as the sizing is advisory
+        return fallback
+
+
+def recommended_partitions(spark: SparkSession, factor: int = 5) -> int:
+    """L2 with the floor at the context's default parallelism."""
+    total_cores = current_executor_count(spark) * cores_per_executor(spark)
+    return max(spark.sparkContext.defaultParallelism, total_cores * factor)
+
+
+def rebalance(df: DataFrame, num_partitions: int, columns: Sequence[str] | str = ()) -> DataFrame:
+    """L1: repartition by the valid ``columns``; otherwise coalesce when
+    shrinking, repartition when growing, unchanged when equal."""
+    cols = [columns] if isinstance(columns, str) else list(columns)
+    valid = [c.strip() for c in cols if c and c.strip() in df.columns]
+    current = df.rdd.getNumPartitions()
+    if current == num_partitions:
+        return df
+    if valid:
+        return df.repartition(num_partitions, *valid)
+    if current > num_partitions:
+        return df.coalesce(num_partitions)
+    return df.repartition(num_partitions)
+
+
+def adaptive_repartition(df: DataFrame, factor: int = 2, min_growth_pct: int = 25) -> DataFrame:
+    """L3: grow to the recommended partition count only when the growth is
+    at least ``min_growth_pct`` percent; never shrink."""
+    spark = df.sparkSession
+    target = recommended_partitions(spark, factor)
+    current = df.rdd.getNumPartitions()
+    growth = 100 if current == 0 else int((target - current) * 100.0 / current)
+    if target > current and growth >= min_growth_pct:
+        return df.repartition(target)
+    return df
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than task slots a round-robin spread.
+
+    Large inputs already have many splits and pass through unchanged; a file
+    with one row group (as in the local fixtures) would otherwise keep all
+    map-side work before the first shuffle in one task.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+# --- L4: broadcast sizing ----------------------------------------------------------
+WARN_FRACTION = 0.40
+CRITICAL_FRACTION = 0.70
+
+
+def broadcast_plan(df: DataFrame, safety_factor: float = 1.5, concurrent_broadcasts: int = 1,
+                   executor_heap_bytes: int | None = None) -> DataFrame:
+    """Estimated in-memory footprint of broadcasting ``df``.
+
+    Bytes per row are measured on the whole DataFrame (``avg`` of the JSON
+    width, a distributed aggregate), multiplied by the row count, a safety
+    factor and the number of broadcasts alive at once; the result is compared
+    with the executor heap (warn >= 40 %, critical >= 70 %).
+    """
+    spark = df.sparkSession
+    heap = executor_heap_bytes or _heap_bytes(spark.conf.get("spark.executor.memory", "1g"))
+    executors = current_executor_count(spark)
+    stats = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("w")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("w").alias("avg_row_bytes"))
+    est = F.col("rows") * F.col("avg_row_bytes") * F.lit(safety_factor) * F.lit(concurrent_broadcasts)
+    return stats.select(
+        "rows", "avg_row_bytes",
+        est.alias("estimated_bytes_per_executor"),
+        (est * F.lit(executors)).alias("estimated_cluster_bytes"),
+        F.lit(heap).cast("long").alias("executor_heap_bytes"),
+        (est / F.lit(heap)).alias("heap_fraction"),
+        F.when(est / F.lit(heap) >= CRITICAL_FRACTION, "critical")
+        .when(est / F.lit(heap) >= WARN_FRACTION, "warn").otherwise("ok").alias("level"),
+    )
+
+
+def _heap_bytes(text: str) -> int:
+    t = text.strip().lower()
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    if t.endswith("b") and t[-2:-1] in mult:
+        return int(float(t[:-2]) * mult[t[-2]])
+    return int(t)

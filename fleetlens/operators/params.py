@@ -1,11 +1,16 @@
 """Broadcast only behind a proven size bound.
 
-Parameter and dimension tables (executor caps, machine catalogue, price
-rates, strategy rows) are small by nature, but a caller could hand in a big
-one.  ``broadcast_param`` counts at most ``max_rows + 1`` rows (a bounded,
-cheap job; free for driver-local relations) and only then adds the broadcast
-hint.  Beyond the bound the plain join stays, and Spark / AQE choose a
-shuffle join from runtime statistics.
+Two ways to prove the bound:
+
+* ``broadcast_param`` -- parameter and dimension tables built on the driver
+  (executor caps, machine catalogue, price rates, strategy rows).  They are
+  driver-local relations, so their row count is known without running a job;
+  the hint is added only when it is at most ``max_rows``.  Any other input is
+  left as a plain join: Spark's AQE then picks broadcast or shuffle from the
+  runtime size of the materialised side.
+* ``broadcast_bounded`` -- derived tables whose row count is bounded by
+  construction, e.g. one statistics row per metric name from a fixed list.
+  The caller states the bound; no data is counted.
 """
 
 from __future__ import annotations
@@ -19,15 +24,27 @@ _checked: dict[int, tuple[DataFrame, bool]] = {}
 
 
 def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` is driver-local and has at most ``max_rows`` rows."""
     key = id(df)
     hit = _checked.get(key)
     if hit is not None and hit[0] is df:
         return hit[1]
-    ok = df.limit(max_rows + 1).count() <= max_rows
+    ok = bool(df.isLocal()) and df.limit(max_rows + 1).count() <= max_rows
     _checked[key] = (df, ok)
     return ok
 
 
 def broadcast_param(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
+    """``F.broadcast(df)`` for a driver-local table of at most ``max_rows`` rows."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def broadcast_bounded(df: DataFrame, bound: int, why: str) -> DataFrame:
+    """Broadcast a derived table whose size is bounded by construction.
+
+    ``bound`` / ``why`` document the proof (e.g. ``6, "one row per metric"``);
+    a bound above the default limit is refused.
+    """
+    if bound > DEFAULT_MAX_BROADCAST_ROWS:
+        raise ValueError(f"bound {bound} too large to broadcast ({why})")
+    return F.broadcast(df)

@@ -280,19 +280,17 @@ def b15_latest_status(logs: DataFrame) -> DataFrame:
     apps = L.runs_from_telemetry(parsed).filter(F.col("recipe_filename").isNotNull())
     avg = apps.groupBy(*KEYS).agg(F.avg("app_duration_millis").alias("avg_job_duration_ms"))
     latest_app = latest_by(apps, KEYS, ["evt_ts", "run_id"], ["job_id", "app_start_ts"])
-    msg = F.get_json_object("json_payload", "$.message")
-    status = (L.scan(logs, resource_type=L.RT_JOB)
-              .select("timestamp", "insert_id", msg.alias("m"))
-              .filter(F.lower(F.col("m")).contains("execution status: {"))
+    jobs = L.scan(logs, resource_type=L.RT_JOB).select("timestamp", "insert_id", "json_payload")
+    status = (L.decode_fields(jobs, "json_payload", ["message"], prefix="_")
+              .filter(F.lower(F.col("_message")).contains("execution status: {"))
               .select(F.col("timestamp").alias("log_ts"), "insert_id",
-                      regexp_extract_or_null("m", r".*Execution status:\s*(\{.*\})").alias("j")))
-    s = status.select(
+                      regexp_extract_or_null("_message", r".*Execution status:\s*(\{.*\})").alias("j")))
+    fields = ["CLUSTER_NAME", "RECIPE", "JOB_ID", "STATUS", "MESSAGE"]
+    s = L.decode_fields(status, "j", fields, prefix="s_").select(
         "log_ts", "insert_id",
-        F.get_json_object("j", "$.CLUSTER_NAME").alias("cluster_name"),
-        F.get_json_object("j", "$.RECIPE").alias("recipe_filename"),
-        F.get_json_object("j", "$.JOB_ID").alias("app_id"),
-        F.get_json_object("j", "$.STATUS").alias("status"),
-        F.get_json_object("j", "$.MESSAGE").alias("message"))
+        F.col("s_CLUSTER_NAME").alias("cluster_name"), F.col("s_RECIPE").alias("recipe_filename"),
+        F.col("s_JOB_ID").alias("app_id"), F.col("s_STATUS").alias("status"),
+        F.col("s_MESSAGE").alias("message"))
     latest_status = latest_by(s, KEYS, ["log_ts", "insert_id"], ["app_id", "status", "message"])
     out = avg.join(latest_app, KEYS, "left").join(latest_status, KEYS, "left")
     return out.select(*KEYS, "job_id", F.col("app_start_ts").alias("app_start_iso"),
@@ -306,15 +304,15 @@ ALERT_SEVERITIES = ["WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY"]
 
 def driver_log_signals(logs: DataFrame, driver_log_name: str = L.DRIVER_LOG) -> DataFrame:
     """Classified driver log lines (the ``driver_logs`` CTE of b16)."""
-    msg = F.get_json_object("json_payload", "$.message")
     cluster = F.regexp_replace(F.coalesce(F.get_json_object("labels", "$['dataproc.googleapis.com/cluster_name']"),
                                           L.label("cluster_name")), r'^"|"$', "")
     d = (L.scan(logs, resource_type=L.RT_JOB)
          .filter(F.col("log_name") == driver_log_name)
          .select(F.col("timestamp").alias("log_ts"), "insert_id", L.label("job_id").alias("job_id"),
-                 cluster.alias("cluster_name"),
-                 F.get_json_object("json_payload", "$.class").alias("log_class"),
-                 msg.alias("driver_message"), "severity", "log_name"))
+                 cluster.alias("cluster_name"), "severity", "log_name", "json_payload"))
+    d = L.decode_fields(d, "json_payload", ["class", "message"], prefix="_") \
+        .withColumnRenamed("_class", "log_class").withColumnRenamed("_message", "driver_message") \
+        .drop("json_payload")
     d = d.filter(F.col("job_id").isNotNull()
                  & (F.col("severity").isin(*ALERT_SEVERITIES)
                     | F.col("driver_message").rlike("(Exception|Error|OutOfMemory)")))

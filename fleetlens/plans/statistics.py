@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson, z_score
-from ..operators.params import broadcast_param
+from ..operators.params import broadcast_bounded
 from .snapshots import KEYS, METRICS, metric_value, normalize_metrics
 
 # The four correlated metric pairs, group-size floor, thresholds.
@@ -114,9 +114,10 @@ def zscores(wide: DataFrame, view: str, per_cluster: bool = False,
     stats = (long.groupBy(*scope, "metric_name")
              .agg(F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_sd"), F.count(F.lit(1)).alias("_n"))
              .filter((F.col("_n") >= (min_group if per_cluster else 2)) & (F.col("_sd") != 0)))
-    # fleet scope: one stats row per metric (6 rows) -> broadcast; per-cluster
-    # scope grows with the fleet, so it stays a plain join chosen by AQE.
-    stats = broadcast_param(stats, 1000) if not per_cluster else stats
+    # fleet scope: one stats row per metric name of a fixed list -> broadcast;
+    # per-cluster scope grows with the fleet, so it stays a plain join (AQE).
+    if not per_cluster:
+        stats = broadcast_bounded(stats, len(METRICS), "one row per metric name")
     z = z_score(F.col("v"), F.col("_mean"), F.col("_sd"))
     out = long.join(stats, [*scope, "metric_name"]).withColumn("z_score", z) \
         .filter(F.abs(F.col("z_score")) >= threshold)

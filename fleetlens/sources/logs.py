@@ -82,30 +82,45 @@ def parse_ts(c: Column) -> Column:
                       F.try_to_timestamp(F.regexp_replace(s, r"\s+UTC$", "")))
 
 
+def decode_fields(df: DataFrame, json_col: str, fields: list[str], prefix: str = "") -> DataFrame:
+    """Decode top-level JSON fields once per row with ``json_tuple``.
+
+    ``json_tuple`` is a generator: the string is parsed once for all fields,
+    and filters on the outputs stay above it.  (With ``from_json`` /
+    ``get_json_object`` in a projection, predicate pushdown copies the decode
+    into every pushed filter, so the JSON is parsed once per predicate.)
+    """
+    outs = [f"{prefix}{f}" for f in fields]
+    keep = [c for c in df.columns]
+    return df.select(*keep, F.json_tuple(F.col(json_col), *fields).alias(*outs))
+
+
 def parse_telemetry(logs: DataFrame) -> DataFrame:
     """decode the listener message once; typed telemetry rows.
 
     ``evt_ts = COALESCE(message timestamp, log timestamp)``; integer fields use
     ``try_cast`` (SAFE_CAST): unparsable -> NULL.
     """
-    jobs = scan(logs, resource_type=RT_JOB)
-    msg = F.from_json(F.get_json_object("json_payload", "$.message"), TELEMETRY_SCHEMA)
-    m = jobs.select("timestamp", "insert_id", label("job_id").alias("job_id"), msg.alias("m"))
-    m = m.filter(F.col("m.clusterName").isNotNull())
+    jobs = scan(logs, resource_type=RT_JOB).select(
+        "timestamp", "insert_id", F.col("resource.labels").alias("_labels"), "json_payload")
+    jobs = decode_fields(jobs, "_labels", ["job_id"])
+    jobs = decode_fields(jobs, "json_payload", ["message"], prefix="_")
+    m = decode_fields(jobs, "_message", TELEMETRY_FIELDS, prefix="m_")
+    m = m.filter(F.col("m_clusterName").isNotNull())
     return m.select(
-        F.coalesce(parse_ts(F.col("m.timestamp_iso")), F.col("timestamp")).alias("evt_ts"),
+        F.coalesce(parse_ts(F.col("m_timestamp_iso")), F.col("timestamp")).alias("evt_ts"),
         F.col("insert_id").alias("event_id"),
         F.col("job_id"),
-        F.col("m.event_type").alias("event_type"),
-        F.col("m.clusterName").alias("cluster_name"),
-        F.col("m.recipeFilename").alias("recipe_filename"),
-        F.col("m.executor_event").alias("executor_event"),
-        F.col("m.current_no_executors").try_cast("bigint").alias("current_no_executors"),
-        F.col("m.total_no_executors").try_cast("bigint").alias("total_no_executors"),
-        F.col("m.max_executors_seen").try_cast("bigint").alias("max_executors_seen"),
-        parse_ts(F.col("m.app_start_iso")).alias("app_start_ts"),
-        parse_ts(F.col("m.app_end_iso")).alias("app_end_ts"),
-        F.col("m.app_duration_millis").try_cast("bigint").alias("app_duration_millis"),
+        F.col("m_event_type").alias("event_type"),
+        F.col("m_clusterName").alias("cluster_name"),
+        F.col("m_recipeFilename").alias("recipe_filename"),
+        F.col("m_executor_event").alias("executor_event"),
+        F.col("m_current_no_executors").try_cast("bigint").alias("current_no_executors"),
+        F.col("m_total_no_executors").try_cast("bigint").alias("total_no_executors"),
+        F.col("m_max_executors_seen").try_cast("bigint").alias("max_executors_seen"),
+        parse_ts(F.col("m_app_start_iso")).alias("app_start_ts"),
+        parse_ts(F.col("m_app_end_iso")).alias("app_end_ts"),
+        F.col("m_app_duration_millis").try_cast("bigint").alias("app_duration_millis"),
     )
 
 
