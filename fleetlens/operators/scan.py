@@ -35,22 +35,30 @@ def time_bucket(ts: Column | str, bucket_seconds: int = DEFAULT_BUCKET_SECONDS)
 
 
 def bucketed_lead(df: DataFrame, part: Sequence[str], bucket: str,
-                  order: Sequence[str], value: str, out: str) -> DataFrame:
+                  order: Sequence[str], value: str | Sequence[str],
+                  out: str | Sequence[str]) -> DataFrame:
     """``LEAD(value) OVER (PARTITION BY part ORDER BY order)`` split by bucket.
 
-    ``value`` must be non-decreasing in ``order`` (it is the leading order
-    column, e.g. the event time), and ``bucket`` must be monotone in it.
+    ``value`` / ``out`` may be lists to lead several columns of the next row
+    at once.  ``bucket`` must be non-decreasing in ``order``.
     """
     part = list(part)
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     w_in = Window.partitionBy(*part, bucket).orderBy(*[F.col(c) for c in order])
-    with_in = df.withColumn("_lead_in", F.lead(value).over(w_in))
-    firsts = df.groupBy(*part, bucket).agg(F.min(value).alias("_bucket_first"))
+    with_in = df.select("*", *[F.lead(v).over(w_in).alias(f"_lead_in{i}") for i, v in enumerate(values)],
+                        F.lead(F.lit(1)).over(w_in).alias("_has_next"))
+    firsts = df.groupBy(*part, bucket).agg(
+        F.min_by(F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]),
+                 F.struct(*[F.col(c) for c in order])).alias("_first"))
     w_next = Window.partitionBy(*part).orderBy(bucket)
-    carry = firsts.select(*part, bucket,
-                          F.lead("_bucket_first").over(w_next).alias("_next_first"))
-    return (with_in.join(carry, on=[*part, bucket], how="left")
-            .withColumn(out, F.coalesce("_lead_in", "_next_first"))
-            .drop("_lead_in", "_next_first"))
+    carry = firsts.select(*part, bucket, F.lead("_first").over(w_next).alias("_next_first"))
+    joined = with_in.join(carry, on=[*part, bucket], how="left")
+    same_bucket = F.col("_has_next").isNotNull()
+    return joined.select(
+        *[c for c in df.columns],
+        *[F.when(same_bucket, F.col(f"_lead_in{i}")).otherwise(F.col(f"_next_first.v{i}")).alias(o)
+          for i, o in enumerate(outs)])
 
 
 _COMBINE = {

@@ -347,7 +347,7 @@ def b16_oom_latest(logs: DataFrame) -> DataFrame:
     ).orderBy(F.desc("latest_driver_log_ts"))
 
 
-def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400, ordered: bool = True) -> DataFrame:
     """C20: one row per cluster incarnation (create -> delete cycle).
 
     The correlated ``MAX/MIN ... WHERE ts < / > ...`` subqueries (J7, J8) are
@@ -411,7 +411,7 @@ def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     rows = explicit.unionByName(windowed_only)
     start = F.coalesce("create_ts", "first_event_ts")
     end = F.coalesce("delete_ts", "last_event_ts")
-    return rows.select(
+    out = rows.select(
         "cluster_name", F.col("incarnation_idx").cast("int").alias("incarnation_idx"),
         start.alias("span_start_ts"), end.alias("span_end_ts"),
         (seconds_between(start, end) / 60.0).alias("span_minutes"),
@@ -419,7 +419,8 @@ def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
         F.col("create_ts").isNotNull().alias("has_explicit_create"),
         F.col("delete_ts").isNotNull().alias("has_explicit_delete"),
         "total_events",
-    ).orderBy("cluster_name", "incarnation_idx")
+    )
+    return out.orderBy("cluster_name", "incarnation_idx") if ordered else out
 
 
 AUTOSCALER_PAYLOAD_PATHS = [  # fixed values: output column -> payload path, integer?
@@ -439,7 +440,7 @@ AUTOSCALER_PAYLOAD_PATHS = [  # fixed values: output column -> payload path, int
 ]
 
 
-def b21_recommendations(logs: DataFrame) -> DataFrame:
+def b21_recommendations(logs: DataFrame, ordered: bool = True) -> DataFrame:
     """Autoscaler events, one projection of the JSON payload."""
     a = (logs.filter(F.col("log_name").like("%dataproc.googleapis.com%2Fautoscaler"))
          .select("timestamp", L.label("cluster_name").alias("cluster_name"), "json_payload")
@@ -448,5 +449,5 @@ def b21_recommendations(logs: DataFrame) -> DataFrame:
     for name, path, is_int in AUTOSCALER_PAYLOAD_PATHS:
         v = F.get_json_object("json_payload", path)
         cols.append((v.try_cast("bigint") if is_int else v).alias(name))
-    return (a.select("cluster_name", F.col("timestamp").alias("event_ts"), *cols)
-            .orderBy("cluster_name", "event_ts"))
+    out = a.select("cluster_name", F.col("timestamp").alias("event_ts"), *cols)
+    return out.orderBy("cluster_name", "event_ts") if ordered else out

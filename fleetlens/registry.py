@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 from . import binding as B
 from .plans import log_queries as LQ
+from .plans import cost as CO
 from .plans import snapshots as SN
 from .plans import statistics as ST
+from .session import cut_lineage
 from .sources import logs as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +100,7 @@ def snapshot_metrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     out = []
     for which in ("reference", "current"):
         e = B.snapshot_events(ev, which)
-        out.append(LQ.b13_metrics(B.runs(e), B.executor_events(e), cap))
+        out.append(cut_lineage(LQ.b13_metrics(B.runs(e), B.executor_events(e), cap)))
     return out[0], out[1]
 
 
@@ -141,9 +143,42 @@ def _snapshot_queries() -> dict[str, Query]:
     }
 
 
+ALIVE_AT = "2024-01-15 12:00:00"
+
+
+def fleet_spans_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Incarnations (b20) and cost-moving autoscaler events (b21 + S8)."""
+    ev = _events(spark, sf_dir)
+    spans = LQ.b20_incarnations(B.audit_logs(ev), ordered=False)
+    events = CO.cost_events(LQ.b21_recommendations(B.autoscaler_logs(ev), ordered=False))
+    # both feed several branches of every cost plan: materialise once
+    return cut_lineage(spans), cut_lineage(events)
+
+
+def _cost_queries() -> dict[str, Query]:
+    def segments(s, d):
+        spans, events = fleet_spans_events(s, d)
+        return CO.span_segments(CO.with_synthetic(spans, events), events)
+
+    def spans_all(s, d):
+        spans, events = fleet_spans_events(s, d)
+        return CO.with_synthetic(spans, events)
+
+    return {
+        "span_segments": segments,
+        "cluster_cost": lambda s, d: CO.cluster_cost(spans_all(s, d), segments(s, d)),
+        "incarnation_cost": lambda s, d: CO.incarnation_cost(spans_all(s, d), segments(s, d)),
+        "worker_stats": lambda s, d: CO.worker_stats(segments(s, d)),
+        "synthetic_spans": lambda s, d: CO.synthetic_spans(*fleet_spans_events(s, d)),
+        "address_peak": lambda s, d: CO.address_peak(segments(s, d)),
+        "address_timeline": lambda s, d: CO.address_timeline(segments(s, d)),
+        "alive_at": lambda s, d: CO.alive_at(segments(s, d), ALIVE_AT),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (_log_queries(), _snapshot_queries()):
+    for group in (_log_queries(), _snapshot_queries(), _cost_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -151,5 +186,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from .checks.oracle import log_query_sql
+    from .checks.oracle_cost import cost_sql
     from .checks.oracle_snapshots import snapshot_sql
-    return {**log_query_sql(), **snapshot_sql()}
+    return {**log_query_sql(), **snapshot_sql(), **cost_sql()}
