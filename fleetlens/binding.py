@@ -45,6 +45,10 @@ AUTOSCALER_MAX_WORKERS = 11
 CREATE_METHOD = "google.cloud.dataproc.v1.ClusterController.CreateCluster"
 DELETE_METHOD = "google.cloud.dataproc.v1.ClusterController.DeleteCluster"
 STATUS_BY_K3 = ["SUCCESS", "FAILED", "RUNNING"]
+# deployed master shape of each executor cluster (reference configs), fresh-plan master
+DEPLOYED_MASTERS = ["e2-standard-8", "n2-highcpu-32", "n2-standard-32", "n2-highmem-32",
+                    "e2-standard-32", "c3-highmem-192", "e2-highmem-16"]
+FRESH_MASTER = "e2-standard-16"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -314,6 +318,20 @@ def raw_logs(events: DataFrame) -> DataFrame:
     return out
 
 
+def cluster_masters(exits: DataFrame, reference_exits: DataFrame) -> DataFrame:
+    """Deployed / fresh master per executor cluster seen in the exit-code logs;
+    the reference config carries a promotion tag when the reference window had
+    an eviction."""
+    idx = F.regexp_extract("cluster_name", r"cluster-(\d+)", 1).cast("int")
+    masters = F.element_at(F.array(*[F.lit(m) for m in DEPLOYED_MASTERS]), idx + 1)
+    tagged = (reference_exits.filter(F.col("driver_exit_code") == 247).select("cluster_name").distinct()
+              .withColumn("has_promotion_tag", F.lit(True)))
+    seen = exits.select("cluster_name").unionByName(reference_exits.select("cluster_name")).distinct()
+    return (seen.join(tagged, "cluster_name", "left")
+            .select("cluster_name", masters.alias("reference_master"), F.lit(FRESH_MASTER).alias("fresh_master"),
+                    F.coalesce("has_promotion_tag", F.lit(False)).alias("has_promotion_tag")))
+
+
 def snapshot_events(events: DataFrame, which: str) -> DataFrame:
     """The two comparison snapshots (scenario of the comparison queries).
 

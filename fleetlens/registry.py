@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from . import binding as B
 from .plans import log_queries as LQ
 from .plans import cost as CO
+from .plans import diagnostics as DG
 from .plans import snapshots as SN
 from .plans import statistics as ST
 from .session import cut_lineage
@@ -176,9 +177,32 @@ def _cost_queries() -> dict[str, Query]:
     }
 
 
+def exit_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 over the b14 output of the bound cluster logs."""
+    ev = _events(spark, sf_dir)
+    return DG.exit_codes(LQ.b14_nonzero_exits(B.exit_code_logs(ev)))
+
+
+def _diagnostic_queries() -> dict[str, Query]:
+    def signals(s, d):
+        return DG.exit_signals(exit_code_table(s, d))
+
+    def promotions(s, d):
+        exits = cut_lineage(exit_code_table(s, d))
+        day = F.dayofmonth("_ts")
+        cur, ref = exits.filter(day >= 16), exits.filter(day <= 15)
+        return DG.master_promotions(s, DG.exit_signals(cur), DG.exit_signals(ref), B.cluster_masters(cur, ref))
+
+    return {
+        "exit_signals": signals,
+        "driver_overrides": lambda s, d: DG.driver_overrides(signals(s, d)),
+        "master_promotion": promotions,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (_log_queries(), _snapshot_queries(), _cost_queries()):
+    for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -187,5 +211,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from .checks.oracle import log_query_sql
     from .checks.oracle_cost import cost_sql
+    from .checks.oracle_diag import diagnostics_sql
     from .checks.oracle_snapshots import snapshot_sql
-    return {**log_query_sql(), **snapshot_sql(), **cost_sql()}
+    return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql()}
