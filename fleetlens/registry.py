@@ -17,6 +17,7 @@ from . import binding as B
 from .plans import log_queries as LQ
 from .plans import cost as CO
 from .plans import diagnostics as DG
+from .plans import sizing as SZ
 from .plans import snapshots as SN
 from .plans import statistics as ST
 from .session import cut_lineage
@@ -200,9 +201,43 @@ def _diagnostic_queries() -> dict[str, Query]:
     }
 
 
+def fleet_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b13 metric table over the whole events table (the single-snapshot tuner input)."""
+    ev = _events(spark, sf_dir)
+    return cut_lineage(LQ.b13_metrics(B.runs(ev), B.executor_events(ev), B.capacity(spark)))
+
+
+def fleet_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = fleet_metrics(spark, sf_dir)
+    plans = cut_lineage(SZ.cluster_plans(SZ.candidate_scores(m)))
+    return m, plans
+
+
+def _sizing_queries() -> dict[str, Query]:
+    def summary(s, d):
+        m, plans = fleet_plans(s, d)
+        return SZ.summary_report(SZ.cluster_summary(plans, m), "by_cost")
+
+    return {
+        "candidate_scores": lambda s, d: SZ.candidate_scores(fleet_metrics(s, d)).select(
+            "cluster_name", "machine_type", "demand", "req_slots", "executors_per_worker", "workers",
+            "capacity_slots", "total_cores", "core_sufficiency", "utilization", "hourly_cost", "base_score"),
+        "cluster_plan": lambda s, d: fleet_plans(s, d)[1],
+        "manual_plan": lambda s, d: SZ.manual_plans(*fleet_plans(s, d)[::-1], SZ.STRATEGIES["default"]),
+        "da_plan": lambda s, d: SZ.da_plans(*fleet_plans(s, d)[::-1], SZ.STRATEGIES["default"]),
+        "cluster_config": lambda s, d: SZ.cluster_config(
+            fleet_plans(s, d)[1], SZ.manual_plans(*fleet_plans(s, d)[::-1])),
+        "machine_rollup": lambda s, d: SZ.machine_rollup(fleet_plans(s, d)[1]),
+        "quota_usage": lambda s, d: SZ.quota_usage(fleet_plans(s, d)[1]),
+        "generation_totals": lambda s, d: SZ.generation_totals(fleet_plans(s, d)[1]),
+        "cluster_summary_sorted": summary,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries()):
+    for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries(),
+                  _sizing_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -212,5 +247,6 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle import log_query_sql
     from .checks.oracle_cost import cost_sql
     from .checks.oracle_diag import diagnostics_sql
+    from .checks.oracle_sizing import sizing_sql
     from .checks.oracle_snapshots import snapshot_sql
-    return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql()}
+    return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql()}
