@@ -332,6 +332,38 @@ def cluster_masters(exits: DataFrame, reference_exits: DataFrame) -> DataFrame:
                     F.coalesce("has_promotion_tag", F.lit(False)).alias("has_promotion_tag")))
 
 
+def deployed_configs(reference_metrics: DataFrame, heap_tagged: DataFrame) -> DataFrame:
+    """Recipe configs deployed from the reference window (what the previous run wrote).
+
+    Flavour and memory follow the recipe's user id: every 4th is a fixed-size
+    (manual) recipe, memory 8 / 12 / 16 GB; DA bounds come from the reference
+    metrics.  Recipes with a reference-window heap OOM carry the boost tag.
+    """
+    from .plans.snapshots import normalize_metrics
+    m = normalize_metrics(reference_metrics)
+    uid = F.regexp_extract("recipe_filename", r"_RECIPE_(\d+)", 1).cast("long")
+    mem_gb = (8 + 4 * (uid % 3)).cast("int")
+    mem = F.concat(mem_gb.cast("string"), F.lit("g"))
+    manual = uid % 4 == 0
+    mn = F.greatest(F.lit(2), F.ceil("avg_executors_per_job")).cast("int")
+    mx = F.greatest(mn + 1, F.ceil("p95_run_max_executors")).cast("int")
+    inst = F.greatest(F.lit(1), F.ceil("p95_run_max_executors")).cast("int")
+    opts = F.when(manual, F.create_map(F.lit("spark.executor.instances"), inst.cast("string"),
+                                       F.lit("spark.executor.memory"), mem)) \
+        .otherwise(F.create_map(F.lit("spark.dynamicAllocation.enabled"), F.lit("true"),
+                                F.lit("spark.dynamicAllocation.minExecutors"), mn.cast("string"),
+                                F.lit("spark.dynamicAllocation.maxExecutors"), mx.cast("string"),
+                                F.lit("spark.executor.memory"), mem))
+    tags = heap_tagged.select("cluster_name", "recipe_filename").distinct().withColumn("_t", F.lit(True))
+    out = m.join(tags, ["cluster_name", "recipe_filename"], "left")
+    return out.select(
+        "cluster_name", "recipe_filename", opts.alias("spark_opts"),
+        (F.when(manual, inst).otherwise(mn) * mem_gb).cast("int").alias("total_executor_minimum_allocated_memory_gb"),
+        (F.when(manual, inst).otherwise(mx) * mem_gb).cast("int").alias("total_executor_maximum_allocated_memory_gb"),
+        F.when(F.col("_t").isNotNull(), F.create_map(F.lit("appliedMemoryHeapBoostFactor"), F.lit("1.5")))
+        .otherwise(F.create_map().cast("map<string,string>")).alias("extra"))
+
+
 def snapshot_events(events: DataFrame, which: str) -> DataFrame:
     """The two comparison snapshots (scenario of the comparison queries).
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from . import binding as B
 from .plans import log_queries as LQ
 from .plans import cost as CO
+from .plans import boosts as BO
 from .plans import diagnostics as DG
 from .plans import sizing as SZ
 from .plans import snapshots as SN
@@ -234,10 +235,75 @@ def _sizing_queries() -> dict[str, Query]:
     }
 
 
+REFERENCE_DATE = "2024_01_15"
+
+
+def oom_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """b16 heap-OOM signals of the current (days 16-30) and reference (1-15) windows."""
+    ev = _events(spark, sf_dir)
+    b16 = LQ.b16_oom_latest(B.driver_logs(ev).unionByName(B.telemetry_logs(ev))).select(
+        "job_id", "cluster_name", "recipe_filename", "latest_driver_log_ts")
+    b16 = cut_lineage(b16)
+    day = F.dayofmonth("latest_driver_log_ts")
+    return b16.filter(day >= 16), b16.filter(day <= 15)
+
+
+def boost_inputs(spark: SparkSession, sf_dir: str):
+    ref_metrics, cur_metrics = snapshot_metrics(spark, sf_dir)
+    cur_sig, ref_sig = oom_signals(spark, sf_dir)
+    configs = cut_lineage(B.deployed_configs(ref_metrics, ref_sig))
+    return configs, cur_sig, ref_sig, ref_metrics, cur_metrics
+
+
+def _boost_queries() -> dict[str, Query]:
+    def heap_states(s, d):
+        configs, cur, ref, _, _ = boost_inputs(s, d)
+        return BO.heap_boost_state(configs, cur.unionByName(ref), cur)
+
+    def resolution(s, d):
+        configs, cur, ref, _, _ = boost_inputs(s, d)
+        return BO.resolve_signals(cur.unionByName(ref), configs)
+
+    def scale_states(s, d):
+        configs, _, _, ref_m, cur_m = boost_inputs(s, d)
+        sig = BO.cap_touching(ST.scale_signals(cur_m, ref_m), configs)
+        return BO.scale_boost_state(configs, sig, sig)
+
+    def boosted(s, d):
+        configs, cur, ref, _, _ = boost_inputs(s, d)
+        return BO.flat_config(BO.apply_heap_boosts(configs, BO.heap_boost_state(configs, cur.unionByName(ref), cur)))
+
+    def carried(s, d):
+        configs, cur, ref, _, _ = boost_inputs(s, d)
+        applied = BO.apply_heap_boosts(configs, BO.heap_boost_state(configs, cur.unionByName(ref), cur))
+        m, plans = fleet_plans(s, d)
+        new = BO.configs_from_manual(SZ.manual_plans(plans, m))
+        out = BO.carry_boosts(new, applied)
+        return BO.flat_config(out).join(out.select(*BO.KEYS, "carried"), BO.KEYS)
+
+    def kept(s, d):
+        configs, _, _, ref_m, cur_m = boost_inputs(s, d)
+        dropped = SN.trend_class(SN.pair_snapshots(ref_m, cur_m)).filter(F.col("trend") == SN.DROPPED_ENTRY)
+        plans = SZ.cluster_plans(SZ.candidate_scores(cur_m))
+        new = BO.configs_from_da(SZ.da_plans(plans, cur_m))
+        out = BO.keep_recipes(new, configs, dropped, REFERENCE_DATE)
+        return BO.flat_config(out).join(out.select(*BO.KEYS, "kept"), BO.KEYS)
+
+    return {
+        "signal_resolution": resolution,
+        "heap_boost_state": heap_states,
+        "heap_boost_counters": lambda s, d: BO.boost_counters(heap_states(s, d), "heap"),
+        "scale_boost_state": scale_states,
+        "boosted_configs": boosted,
+        "carry_boosts": carried,
+        "kept_recipes": kept,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries(),
-                  _sizing_queries()):
+                  _sizing_queries(), _boost_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -247,6 +313,8 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle import log_query_sql
     from .checks.oracle_cost import cost_sql
     from .checks.oracle_diag import diagnostics_sql
+    from .checks.oracle_boosts import boost_sql
     from .checks.oracle_sizing import sizing_sql
     from .checks.oracle_snapshots import snapshot_sql
-    return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql()}
+    return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql(),
+            **boost_sql()}
