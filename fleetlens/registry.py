@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from . import binding as B
 from .plans import log_queries as LQ
 from .plans import cost as CO
+from .operators import diff as DF
 from .plans import boosts as BO
 from .plans import diagnostics as DG
 from .plans import sizing as SZ
@@ -300,10 +301,38 @@ def _boost_queries() -> dict[str, Query]:
     }
 
 
+def perturbed_customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two copies of ``customer`` to diff: B drops one market segment, rounds the
+    balance and gains the suppliers as extra keys."""
+    a = B.table(spark, sf_dir, "customer")
+    sup = B.table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 1_000_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"),
+        F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"),
+        F.lit("SUPPLIER").alias("c_mktsegment"))
+    b = (a.filter(F.col("c_mktsegment") != "HOUSEHOLD")
+         .withColumn("c_acctbal", F.round("c_acctbal", 0)).unionByName(sup))
+    return a, b
+
+
+def _misc_queries() -> dict[str, Query]:
+    def anonymised(s, d):
+        m = fleet_metrics(s, d)
+        exits = exit_code_table(s, d)
+        clusters, recipes = DF.anonymise_dictionary([m, exits])
+        return DF.anonymise(m, clusters, recipes).select("cluster_name", "recipe_filename", "runs",
+                                                         "p95_job_duration_ms")
+
+    return {
+        "table_diff": lambda s, d: DF.table_diff(*perturbed_customers(s, d), "c_custkey"),
+        "diff_counts": lambda s, d: DF.diff_counts(DF.table_diff(*perturbed_customers(s, d), "c_custkey")),
+        "anonymise_names": anonymised,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries(),
-                  _sizing_queries(), _boost_queries()):
+                  _sizing_queries(), _boost_queries(), _misc_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -314,7 +343,8 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle_cost import cost_sql
     from .checks.oracle_diag import diagnostics_sql
     from .checks.oracle_boosts import boost_sql
+    from .checks.oracle_misc import misc_sql
     from .checks.oracle_sizing import sizing_sql
     from .checks.oracle_snapshots import snapshot_sql
     return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql(),
-            **boost_sql()}
+            **boost_sql(), **misc_sql()}
