@@ -99,3 +99,33 @@ def bucketed_running(df: DataFrame, part: Sequence[str], bucket: str, order_key:
     return (with_in.join(carry, on=[*part, bucket], how="left")
             .withColumn(out, combined)
             .drop("_run_in", "_carry"))
+
+
+def bucketed_running_sum_extrema(df: DataFrame, part: Sequence[str], bucket: str, order: Sequence[str],
+                                 value: str, out_sum: str, out_max: str, out_min: str) -> DataFrame:
+    """Running sum S_i of ``value`` and the running max / min of S over rows
+    ``<= i`` (ROWS frame ordered by ``order``), split by bucket.
+
+    Per bucket: local running sum s, local running max / min of s, bucket total.
+    Carry of bucket b: C_b = sum of earlier totals; the extrema of earlier
+    buckets are max / min over (C_k + bucket max / min of s_k).  Then
+    S = C_b + s, max = greatest(earlier max, C_b + local max), same for min.
+    """
+    part = list(part)
+    w_in = Window.partitionBy(*part, bucket).orderBy(*[F.col(c) for c in order]) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_s", F.sum(value).over(w_in))
+    d = d.withColumn("_mx", F.max("_s").over(w_in)).withColumn("_mn", F.min("_s").over(w_in))
+    summ = d.groupBy(*part, bucket).agg(F.sum(value).alias("_tot"), F.max("_s").alias("_bmax"),
+                                        F.min("_s").alias("_bmin"))
+    before = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_carry", F.coalesce(F.sum("_tot").over(before), F.lit(0)))
+    summ = summ.select(*part, bucket, "_carry", (F.col("_carry") + F.col("_bmax")).alias("_amax"),
+                       (F.col("_carry") + F.col("_bmin")).alias("_amin"))
+    summ = summ.select(*part, bucket, "_carry", F.max("_amax").over(before).alias("_pmax"),
+                       F.min("_amin").over(before).alias("_pmin"))
+    j = d.join(summ, [*part, bucket], "left")
+    return j.select(*df.columns,
+                    (F.col("_carry") + F.col("_s")).alias(out_sum),
+                    F.greatest(F.col("_pmax"), F.col("_carry") + F.col("_mx")).alias(out_max),
+                    F.least(F.col("_pmin"), F.col("_carry") + F.col("_mn")).alias(out_min))

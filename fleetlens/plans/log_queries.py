@@ -274,23 +274,28 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str], cols: list[str])
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in cols])
 
 
-def b15_latest_status(logs: DataFrame) -> DataFrame:
-    """Latest application + latest execution status per recipe."""
-    parsed = L.parse_telemetry(logs)
-    apps = L.runs_from_telemetry(parsed).filter(F.col("recipe_filename").isNotNull())
-    avg = apps.groupBy(*KEYS).agg(F.avg("app_duration_millis").alias("avg_job_duration_ms"))
-    latest_app = latest_by(apps, KEYS, ["evt_ts", "run_id"], ["job_id", "app_start_ts"])
+def status_events(logs: DataFrame) -> DataFrame:
+    """``Execution status: {...}`` job messages as typed rows (b15 status_events)."""
     jobs = L.scan(logs, resource_type=L.RT_JOB).select("timestamp", "insert_id", "json_payload")
     status = (L.decode_fields(jobs, "json_payload", ["message"], prefix="_")
               .filter(F.lower(F.col("_message")).contains("execution status: {"))
               .select(F.col("timestamp").alias("log_ts"), "insert_id",
                       regexp_extract_or_null("_message", r".*Execution status:\s*(\{.*\})").alias("j")))
     fields = ["CLUSTER_NAME", "RECIPE", "JOB_ID", "STATUS", "MESSAGE"]
-    s = L.decode_fields(status, "j", fields, prefix="s_").select(
+    return L.decode_fields(status, "j", fields, prefix="s_").select(
         "log_ts", "insert_id",
         F.col("s_CLUSTER_NAME").alias("cluster_name"), F.col("s_RECIPE").alias("recipe_filename"),
         F.col("s_JOB_ID").alias("app_id"), F.col("s_STATUS").alias("status"),
         F.col("s_MESSAGE").alias("message"))
+
+
+def b15_latest_status(logs: DataFrame) -> DataFrame:
+    """Latest application + latest execution status per recipe."""
+    parsed = L.parse_telemetry(logs)
+    apps = L.runs_from_telemetry(parsed).filter(F.col("recipe_filename").isNotNull())
+    avg = apps.groupBy(*KEYS).agg(F.avg("app_duration_millis").alias("avg_job_duration_ms"))
+    latest_app = latest_by(apps, KEYS, ["evt_ts", "run_id"], ["job_id", "app_start_ts"])
+    s = status_events(logs)
     latest_status = latest_by(s, KEYS, ["log_ts", "insert_id"], ["app_id", "status", "message"])
     out = avg.join(latest_app, KEYS, "left").join(latest_status, KEYS, "left")
     return out.select(*KEYS, "job_id", F.col("app_start_ts").alias("app_start_iso"),

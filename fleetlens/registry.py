@@ -18,6 +18,8 @@ from .plans import log_queries as LQ
 from .plans import cost as CO
 from .operators import diff as DF
 from .plans import boosts as BO
+from .streaming import eventlog as EL
+from .streaming import incremental as INC
 from .plans import diagnostics as DG
 from .plans import sizing as SZ
 from .plans import snapshots as SN
@@ -329,10 +331,44 @@ def _misc_queries() -> dict[str, Query]:
     }
 
 
+AS_OF = "2024-02-01 00:00:00"
+
+
+def _event_queries() -> dict[str, Query]:
+    app = ["cluster_name", "recipe_filename"]
+
+    def running(s, d):
+        return EL.executor_running_counts(B.executor_events(_events(s, d)), app).select(
+            *app, "event_id", "evt_ts", "executor_event", "current_executors", "max_executors_seen",
+            "min_executors_seen")
+
+    def lifecycle(s, d):
+        ev = _events(s, d)
+        return EL.app_lifecycle(B.runs(ev), LQ.status_events(B.status_logs(ev)), AS_OF)
+
+    def budget(s, d):
+        configs, _, _, _, _ = boost_inputs(s, d)
+        _, mx = BO.executor_counts()
+        return EL.memory_budget(configs.withColumn("_executors", mx), F.col("_executors")).select(
+            *app, "executor_onheap_memory_mb", "executor_memory_overhead_mb_effective",
+            "executor_memory_overhead_source", "offheap_enabled", "onheap_unified_region_mb",
+            "onheap_initial_execution_mb", "onheap_initial_storage_mb", "execution_memory_budget_mb",
+            "storage_memory_budget_mb", "total_onheap_memory_mb", "total_overhead_memory_mb",
+            "total_allocated_container_memory_mb", "memory_overhead_covers_offheap", "recommended_partitions")
+
+    return {
+        "executor_running_counts": running,
+        "app_lifecycle": lifecycle,
+        "memory_budget": budget,
+        "stream_counts": INC.stream_counts,
+        "stream_executor_counts": INC.stream_executor_counts,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries(),
-                  _sizing_queries(), _boost_queries(), _misc_queries()):
+                  _sizing_queries(), _boost_queries(), _misc_queries(), _event_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -344,7 +380,8 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle_diag import diagnostics_sql
     from .checks.oracle_boosts import boost_sql
     from .checks.oracle_misc import misc_sql
+    from .checks.oracle_events import events_sql
     from .checks.oracle_sizing import sizing_sql
     from .checks.oracle_snapshots import snapshot_sql
     return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql(),
-            **boost_sql(), **misc_sql()}
+            **boost_sql(), **misc_sql(), **events_sql()}
