@@ -18,6 +18,8 @@ from .plans import log_queries as LQ
 from .plans import cost as CO
 from .operators import diff as DF
 from .plans import boosts as BO
+from .operators import layout as LY
+from .sources import inputs as IN
 from .streaming import eventlog as EL
 from .streaming import incremental as INC
 from .plans import diagnostics as DG
@@ -365,10 +367,48 @@ def _event_queries() -> dict[str, Query]:
     }
 
 
+EXPECTED_COLUMNS = {  # fixed values: the driver table headers checked by input validation
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+
+
+def _io_queries() -> dict[str, Query]:
+    def merged(s, d):
+        r, e = _runs_events(s, d)
+        cap = B.capacity(s)
+        b5 = LQ.b5_runs_reaching_cap(r, e, cap).withColumn("seconds_at_cap", F.lit(None).cast("long"))
+        return IN.merge_individual(LQ.b1_avg_executors(r, e), LQ.b12_p95_max_executors(r, e), LQ.b3_avg_duration(r),
+                                   LQ.b8_p95_duration(r), b5, LQ.b11_max_concurrent(r))
+
+    def validation(s, d):
+        out = None
+        for name, cols in EXPECTED_COLUMNS.items():
+            v = IN.validate_input(s.read.parquet(f"{d}/{name}.parquet"), name, cols)
+            out = v if out is None else out.unionByName(v)
+        return out
+
+    def rebalanced(s, d):
+        li = B.table(s, d, "lineitem")
+        return (LY.rebalance(li, 8, ["l_orderkey"]).groupBy(F.spark_partition_id().alias("partition"))
+                .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_orderkey").alias("orders")))
+
+    return {
+        "metrics_merge_individual": merged,
+        "input_validation": validation,
+        "rebalance": rebalanced,
+        "broadcast_plan": lambda s, d: LY.broadcast_plan(B.table(s, d, "supplier")).select(
+            "rows", "avg_row_bytes", "estimated_bytes_per_executor", "level"),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries(),
-                  _sizing_queries(), _boost_queries(), _misc_queries(), _event_queries()):
+                  _sizing_queries(), _boost_queries(), _misc_queries(), _event_queries(), _io_queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -381,7 +421,8 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle_boosts import boost_sql
     from .checks.oracle_misc import misc_sql
     from .checks.oracle_events import events_sql
+    from .checks.oracle_io import io_sql
     from .checks.oracle_sizing import sizing_sql
     from .checks.oracle_snapshots import snapshot_sql
     return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql(),
-            **boost_sql(), **misc_sql(), **events_sql()}
+            **boost_sql(), **misc_sql(), **events_sql(), **io_sql()}
