@@ -123,6 +123,14 @@ def _snapshot_queries() -> dict[str, Query]:
     def decisions(s, d):
         return SN.evolution_decisions(trends(s, d))
 
+    def trend_summary(s, d):
+        t = trends(s, d)
+        return SN.trend_summary(t, SN.evolution_decisions(t))
+
+    def scatter(s, d):
+        ref, cur = snapshot_metrics(s, d)
+        return ST.scatter_points(SN.pair_snapshots(ref, cur), cur, ref)
+
     def with_ref_cur(f):
         def q(s, d):
             ref, cur = snapshot_metrics(s, d)
@@ -139,14 +147,14 @@ def _snapshot_queries() -> dict[str, Query]:
         "cluster_trend_rollup": lambda s, d: SN.cluster_trend_rollup(trends(s, d)),
         "cluster_actions": lambda s, d: SN.cluster_actions(decisions(s, d)),
         "trend_counts": lambda s, d: SN.trend_counts(trends(s, d)),
-        "trend_summary": lambda s, d: SN.trend_summary(trends(s, d), decisions(s, d)),
+        "trend_summary": trend_summary,
         "corr_delta_fleet": lambda s, d: ST.corr_delta_fleet(pairs(s, d)),
         "corr_delta_cluster": lambda s, d: ST.corr_delta_cluster(pairs(s, d)),
         "corr_current": with_ref_cur(ST.corr_current),
         "zscore_delta": lambda s, d: ST.zscore_delta(pairs(s, d)),
         "zscore_cluster": lambda s, d: ST.zscore_cluster(pairs(s, d)),
         "zscore_current_new": with_ref_cur(ST.zscore_current),
-        "scatter_points": lambda s, d: ST.scatter_points(pairs(s, d), *snapshot_metrics(s, d)[::-1]),
+        "scatter_points": scatter,
         "scale_signals": with_ref_cur(ST.scale_signals),
     }
 
@@ -164,18 +172,18 @@ def fleet_spans_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 
 def _cost_queries() -> dict[str, Query]:
-    def segments(s, d):
+    def spans_and_segments(s, d):
         spans, events = fleet_spans_events(s, d)
-        return CO.span_segments(CO.with_synthetic(spans, events), events)
+        all_spans = CO.with_synthetic(spans, events)
+        return all_spans, CO.span_segments(all_spans, events)
 
-    def spans_all(s, d):
-        spans, events = fleet_spans_events(s, d)
-        return CO.with_synthetic(spans, events)
+    def segments(s, d):
+        return spans_and_segments(s, d)[1]
 
     return {
         "span_segments": segments,
-        "cluster_cost": lambda s, d: CO.cluster_cost(spans_all(s, d), segments(s, d)),
-        "incarnation_cost": lambda s, d: CO.incarnation_cost(spans_all(s, d), segments(s, d)),
+        "cluster_cost": lambda s, d: CO.cluster_cost(*spans_and_segments(s, d)),
+        "incarnation_cost": lambda s, d: CO.incarnation_cost(*spans_and_segments(s, d)),
         "worker_stats": lambda s, d: CO.worker_stats(segments(s, d)),
         "synthetic_spans": lambda s, d: CO.synthetic_spans(*fleet_spans_events(s, d)),
         "address_peak": lambda s, d: CO.address_peak(segments(s, d)),
@@ -220,6 +228,10 @@ def fleet_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def _sizing_queries() -> dict[str, Query]:
+    def config(s, d):
+        m, plans = fleet_plans(s, d)
+        return SZ.cluster_config(plans, SZ.manual_plans(plans, m))
+
     def summary(s, d):
         m, plans = fleet_plans(s, d)
         return SZ.summary_report(SZ.cluster_summary(plans, m), "by_cost")
@@ -231,8 +243,7 @@ def _sizing_queries() -> dict[str, Query]:
         "cluster_plan": lambda s, d: fleet_plans(s, d)[1],
         "manual_plan": lambda s, d: SZ.manual_plans(*fleet_plans(s, d)[::-1], SZ.STRATEGIES["default"]),
         "da_plan": lambda s, d: SZ.da_plans(*fleet_plans(s, d)[::-1], SZ.STRATEGIES["default"]),
-        "cluster_config": lambda s, d: SZ.cluster_config(
-            fleet_plans(s, d)[1], SZ.manual_plans(*fleet_plans(s, d)[::-1])),
+        "cluster_config": config,
         "machine_rollup": lambda s, d: SZ.machine_rollup(fleet_plans(s, d)[1]),
         "quota_usage": lambda s, d: SZ.quota_usage(fleet_plans(s, d)[1]),
         "generation_totals": lambda s, d: SZ.generation_totals(fleet_plans(s, d)[1]),
