@@ -375,8 +375,7 @@ def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400, ordered: bool
     # J7 + A10: collapse consecutive same-type events to the earliest one.
     raw = raw.withColumn("_d", F.when(F.col("kind") == "D", F.col("ts"))) \
              .withColumn("_c", F.when(F.col("kind") == "C", F.col("ts")))
-    raw = bucketed_running(raw, ["cluster_name"], "_b", "_k", "_d", "prev_delete", "max")
-    raw = bucketed_running(raw, ["cluster_name"], "_b", "_k", "_c", "prev_create", "max")
+    raw = bucketed_running(raw, ["cluster_name"], "_b", "_k", ["_d", "_c"], ["prev_delete", "prev_create"], "max")
     creates = (raw.filter(F.col("kind") == "C").groupBy("cluster_name", "prev_delete")
                .agg(F.min("ts").alias("create_ts")))
     deletes = (raw.filter(F.col("kind") == "D").groupBy("cluster_name", "prev_create")
