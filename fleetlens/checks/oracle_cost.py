@@ -104,9 +104,25 @@ ALIVE = _with() + f""", live AS (
 SELECT cluster_name, incarnation_idx, workers, workers + 1 AS ips FROM live WHERE rn = 1"""
 
 
+INTEGRITY = _with() + """SELECT 'event_outside_spans' AS check_name, a.cluster_name, COUNT(*) AS violations
+FROM autoscaler a
+WHERE NOT EXISTS (SELECT 1 FROM b20 s WHERE s.cluster_name = a.cluster_name
+                  AND a.event_ts BETWEEN s.span_start_ts AND s.span_end_ts)
+GROUP BY a.cluster_name
+UNION ALL
+SELECT 'target_out_of_bounds', cluster_name, COUNT(*) FROM autoscaler
+WHERE target_primary_workers IS NOT NULL
+  AND (target_primary_workers < min_primary_workers OR target_primary_workers > max_primary_workers)
+GROUP BY cluster_name
+UNION ALL
+SELECT 'duplicate_incarnation', cluster_name, COUNT(*) FROM (
+  SELECT cluster_name, incarnation_idx FROM b20 GROUP BY 1, 2 HAVING COUNT(*) > 1) GROUP BY cluster_name"""
+
+
 def cost_sql() -> dict[str, str]:
     return {
         "span_segments": SPAN_SEGMENTS, "incarnation_cost": INCARNATION_COST,
         "cluster_cost": CLUSTER_COST, "worker_stats": WORKER_STATS, "synthetic_spans": SYNTHETIC_SPANS,
         "address_timeline": ADDRESS_TIMELINE, "address_peak": ADDRESS_PEAK, "alive_at": ALIVE,
+        "integrity_violations": INTEGRITY,
     }

@@ -23,6 +23,7 @@ from .sources import inputs as IN
 from .streaming import eventlog as EL
 from .streaming import incremental as INC
 from .plans import diagnostics as DG
+from .plans import integrity as IG
 from .plans import sizing as SZ
 from .plans import snapshots as SN
 from .plans import statistics as ST
@@ -180,6 +181,11 @@ def _cost_queries() -> dict[str, Query]:
     def segments(s, d):
         return spans_and_segments(s, d)[1]
 
+    def integrity(s, d):
+        ev = _events(s, d)
+        spans = LQ.b20_incarnations(B.audit_logs(ev), ordered=False)
+        return IG.integrity_violations(spans, LQ.b21_recommendations(B.autoscaler_logs(ev), ordered=False))
+
     return {
         "span_segments": segments,
         "cluster_cost": lambda s, d: CO.cluster_cost(*spans_and_segments(s, d)),
@@ -189,6 +195,7 @@ def _cost_queries() -> dict[str, Query]:
         "address_peak": lambda s, d: CO.address_peak(segments(s, d)),
         "address_timeline": lambda s, d: CO.address_timeline(segments(s, d)),
         "alive_at": lambda s, d: CO.alive_at(segments(s, d), ALIVE_AT),
+        "integrity_violations": integrity,
     }
 
 
