@@ -33,7 +33,10 @@ def config_documents(cluster_conf: DataFrame, recipe_configs: DataFrame,
                  F.try_element_at("extra", F.lit("keptWithoutCurrentDate")).cast("boolean")
                  .alias("keptWithoutCurrentDate")).alias("conf"))
     recipes = r.groupBy("cluster_name").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("recipe_filename", "conf")))).alias("recipeSparkConf"))
+        F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct("recipe_filename", "conf")),
+            lambda a, b: F.when(a["recipe_filename"] < b["recipe_filename"], -1)
+            .when(a["recipe_filename"] > b["recipe_filename"], 1).otherwise(0))).alias("recipeSparkConf"))
     fields = [c for c in cluster_conf.columns if c != "cluster_name"]
     c = cluster_conf.select("cluster_name", F.create_map(F.col("cluster_name"), F.struct(*fields)).alias("clusterConf"))
     doc = c.join(recipes, "cluster_name", "left")
