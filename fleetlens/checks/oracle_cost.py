@@ -119,10 +119,18 @@ SELECT 'duplicate_incarnation', cluster_name, COUNT(*) FROM (
   SELECT cluster_name, incarnation_idx FROM b20 GROUP BY 1, 2 HAVING COUNT(*) > 1) GROUP BY cluster_name"""
 
 
+COST_TIMELINE = _with() + """SELECT g.cluster_name, g.incarnation_idx, g.from_ts, g.to_ts, g.workers,
+  ROUND(g.seg_seconds, 6) AS seg_seconds, ROUND(g.worker_cost_eur, 6) AS worker_cost_eur,
+  ROUND(g.master_cost_eur, 6) AS master_cost_eur, ROUND(g.worker_cost_eur + g.master_cost_eur, 6) AS seg_cost_eur,
+  i.span_start_ts, i.span_end_ts, ROUND(i.span_minutes, 6) AS span_minutes,
+  ROUND(i.avg_workers, 6) AS span_avg_workers, ROUND(i.total_cost_eur, 6) AS span_total_cost_eur
+FROM seg2 g JOIN inc i ON i.cluster_name = g.cluster_name AND i.incarnation_idx = g.incarnation_idx"""
+
+
 def cost_sql() -> dict[str, str]:
     return {
         "span_segments": SPAN_SEGMENTS, "incarnation_cost": INCARNATION_COST,
         "cluster_cost": CLUSTER_COST, "worker_stats": WORKER_STATS, "synthetic_spans": SYNTHETIC_SPANS,
         "address_timeline": ADDRESS_TIMELINE, "address_peak": ADDRESS_PEAK, "alive_at": ALIVE,
-        "integrity_violations": INTEGRITY,
+        "integrity_violations": INTEGRITY, "cost_timeline": COST_TIMELINE,
     }

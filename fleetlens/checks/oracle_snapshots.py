@@ -263,6 +263,14 @@ SCATTER_POINTS = _with(DELTA_CTE, CURRENT_CTE) + "\nUNION ALL\n".join(
      f"ROUND({b}, 6), is_new_entry FROM cv" for a, b in PAIRS])
 
 
+RUN_SUMMARY = _with(TRENDS_CTE, DECISIONS_CTE) + """SELECT 'trend' AS section, trend AS label, COUNT(*) AS n
+FROM trends GROUP BY trend
+UNION ALL SELECT 'action', action, COUNT(*) FROM decisions GROUP BY action"""
+
+ACTIVE_MINUTES = _with() + """SELECT cluster_name, ROUND(SUM(avg_job_duration_ms / 60000.0), 6) AS active_minutes
+FROM c_m GROUP BY cluster_name"""
+
+
 def snapshot_sql() -> dict[str, str]:
     return {
         "snapshot_pairing": SNAPSHOT_PAIRING, "metric_deltas": METRIC_DELTAS,
@@ -272,5 +280,5 @@ def snapshot_sql() -> dict[str, str]:
         "corr_delta_fleet": CORR_DELTA_FLEET, "corr_delta_cluster": CORR_DELTA_CLUSTER,
         "corr_current": CORR_CURRENT, "zscore_delta": ZSCORE_DELTA, "zscore_cluster": ZSCORE_CLUSTER,
         "zscore_current_new": ZSCORE_CURRENT, "scatter_points": SCATTER_POINTS,
-        "scale_signals": SCALE_SIGNALS,
+        "scale_signals": SCALE_SIGNALS, "run_summary": RUN_SUMMARY, "active_minutes": ACTIVE_MINUTES,
     }

@@ -313,3 +313,14 @@ def flat_config(configs: DataFrame) -> DataFrame:
         "total_executor_maximum_allocated_memory_gb",
         opt("extra", HEAP_TAG).alias(HEAP_TAG), opt("extra", SCALE_TAG).alias(SCALE_TAG),
         opt("extra", LAST_TUNED_TAG).alias(LAST_TUNED_TAG), opt("extra", KEPT_TAG).alias(KEPT_TAG))
+
+
+def prioritised_signals(current: DataFrame, reference: DataFrame, seq: str = "latest_driver_log_ts") -> DataFrame:
+    """One signal per (cluster, recipe), the current date's before the
+    reference date's, then the earliest in sequence -- a ``min_by`` aggregate."""
+    both = (current.withColumn("_priority", F.lit(0)).unionByName(reference.withColumn("_priority", F.lit(1)))
+            .filter(F.coalesce(F.col("recipe_filename"), F.lit("")) != ""))
+    cols = [c for c in current.columns if c not in KEYS]
+    pick = F.min_by(F.struct(*cols, "_priority"), F.struct("_priority", seq)).alias("_s")
+    return both.groupBy(*KEYS).agg(pick).select(*KEYS, *[F.col(f"_s.{c}").alias(c) for c in cols],
+                                                F.col("_s._priority").alias("from_reference"))

@@ -241,3 +241,26 @@ def alive_at(segments: DataFrame, at_ts: str) -> DataFrame:
     return pick.select("cluster_name", F.col("s.incarnation_idx").alias("incarnation_idx"),
                        F.col("s.workers").alias("workers"), (F.col("s.workers") + 1).alias("ips")) \
         .orderBy(F.desc("ips"), "cluster_name")
+
+
+def deployed_pricing(cluster_conf: DataFrame, prices: DataFrame, default_machine: str = "e2-standard-8",
+                     default_workers: int = 2) -> DataFrame:
+    """N9 input: per cluster the deployed worker / master hourly prices (from its
+    config's machine types, default shape when unknown) and ``num_workers`` as the
+    fallback worker count."""
+    p = prices.select(F.col("machine_type"), F.col("price_eur_per_hour"))
+    default_price = price_of(default_machine)
+    w = p.select(F.col("machine_type").alias("worker_machine_type"), F.col("price_eur_per_hour").alias("_wp"))
+    m = p.select(F.col("machine_type").alias("master_machine_type"), F.col("price_eur_per_hour").alias("_mp"))
+    c = cluster_conf.join(F.broadcast(w), "worker_machine_type", "left").join(F.broadcast(m), "master_machine_type", "left")
+    return c.select("cluster_name", F.coalesce("_wp", F.lit(default_price)).alias("worker_hourly_eur"),
+                    F.coalesce("_mp", F.lit(default_price)).alias("master_hourly_eur"),
+                    F.coalesce(F.col("num_workers").cast("double"), F.lit(float(default_workers))).alias("fallback_workers"))
+
+
+def kept_cluster_costs(cluster_conf: DataFrame, prices: DataFrame, spans: DataFrame, events: DataFrame) -> DataFrame:
+    """Cost of kept clusters re-computed from the current spans / events with
+    the machine types that are actually deployed."""
+    pricing = deployed_pricing(cluster_conf, prices)
+    kept = spans.join(cluster_conf.select("cluster_name"), "cluster_name", "left_semi")
+    return cluster_cost(kept, span_segments(kept, events, pricing))

@@ -167,3 +167,9 @@ def trend_summary(trends: DataFrame, decisions: DataFrame) -> DataFrame:
     return trends.join(d, KEYS, "left").select(
         *KEYS, "trend", "confidence", "action", "reason", "p95_duration_ref", "p95_duration_cur",
         F.col("p95_pct_change").alias("p95_duration_pct_change"))
+
+
+def cluster_active_minutes(metrics: DataFrame) -> DataFrame:
+    """Sum over a cluster's recipes of the average run duration, in minutes."""
+    m = normalize_metrics(metrics)
+    return m.groupBy("cluster_name").agg((F.sum(F.col("avg_job_duration_ms") / 60000.0)).alias("active_minutes"))

@@ -163,3 +163,8 @@ def scale_signals(current: DataFrame, reference: DataFrame, threshold: float = Z
                    & F.col("metric_name").isin(*DURATION_METRICS) & (F.col("z_score") >= scale_z))
     cur = normalize_metrics(current).select(*KEYS, "p95_run_max_executors")
     return sig.join(cur, KEYS).select(*KEYS, "metric_name", "z_score", "p95_run_max_executors")
+
+
+def divergences_report(z: DataFrame) -> DataFrame:
+    """Divergences ordered by |z| descending (then key, for a stable order)."""
+    return z.orderBy(F.desc(F.abs("z_score")), *KEYS, "metric_name")

@@ -124,6 +124,11 @@ def _snapshot_queries() -> dict[str, Query]:
     def decisions(s, d):
         return SN.evolution_decisions(trends(s, d))
 
+    def run_summary(s, d):
+        from .sources.sinks import run_summary as summary
+        t = trends(s, d)
+        return summary(t, SN.evolution_decisions(t))
+
     def trend_summary(s, d):
         t = trends(s, d)
         return SN.trend_summary(t, SN.evolution_decisions(t))
@@ -148,6 +153,8 @@ def _snapshot_queries() -> dict[str, Query]:
         "cluster_trend_rollup": lambda s, d: SN.cluster_trend_rollup(trends(s, d)),
         "cluster_actions": lambda s, d: SN.cluster_actions(decisions(s, d)),
         "trend_counts": lambda s, d: SN.trend_counts(trends(s, d)),
+        "run_summary": run_summary,
+        "active_minutes": lambda s, d: SN.cluster_active_minutes(snapshot_metrics(s, d)[1]),
         "trend_summary": trend_summary,
         "corr_delta_fleet": lambda s, d: ST.corr_delta_fleet(pairs(s, d)),
         "corr_delta_cluster": lambda s, d: ST.corr_delta_cluster(pairs(s, d)),
@@ -196,6 +203,7 @@ def _cost_queries() -> dict[str, Query]:
         "address_timeline": lambda s, d: CO.address_timeline(segments(s, d)),
         "alive_at": lambda s, d: CO.alive_at(segments(s, d), ALIVE_AT),
         "integrity_violations": integrity,
+        "cost_timeline": lambda s, d: CO.cost_timeline(*spans_and_segments(s, d)),
     }
 
 

@@ -160,6 +160,19 @@ def autoscaler_table(df: DataFrame) -> DataFrame:
                      else F.lit(None).cast("string").alias("recommendation_id"))
 
 
+def oom_signals_table(df: DataFrame) -> DataFrame:
+    """The b16 export typed and filtered to heap OOMs (all clusters in one
+    filter, no per-cluster pass); quotes stripped from cluster names."""
+    return (df.select(F.trim("job_id").alias("job_id"),
+                      F.trim(F.regexp_replace(F.col("cluster_name"), '"', "")).alias("cluster_name"),
+                      F.trim(F.coalesce("recipe_filename", F.lit(""))).alias("recipe_filename"),
+                      F.col("latest_driver_log_ts").cast("string").alias("latest_driver_log_ts"),
+                      F.col("latest_driver_message"),
+                      F.upper(F.trim(F.col("is_java_heap").cast("string"))).alias("_heap"))
+            .filter((F.col("job_id") != "") & (F.col("cluster_name") != "") & (F.col("_heap") == "TRUE"))
+            .drop("_heap"))
+
+
 # --- S11: tuned configs ------------------------------------------------------------------
 RECIPE_STRUCT = T.StructType([
     T.StructField("parallelizationFactor", T.IntegerType()),

@@ -149,3 +149,38 @@ def test_streaming_window_counts_match_batch(spark):
     ev = R.B.executor_events(R.B.table(spark, SF_SMALL, "events"))
     b = ev.groupBy(F.date_trunc("day", "evt_ts").alias("window_start"), "cluster_name", "executor_event").count()
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_prioritised_signals_prefer_current(spark):
+    schema = "job_id string, cluster_name string, recipe_filename string, latest_driver_log_ts string"
+    cur = spark.createDataFrame([("j2", "c", "a.json", "2026-01-02"), ("j3", "c", "", "2026-01-02")], schema)
+    ref = spark.createDataFrame([("j1", "c", "a.json", "2026-01-01"), ("j0", "c", "b.json", "2026-01-01")], schema)
+    got = {r.recipe_filename: (r.job_id, r.from_reference) for r in BO.prioritised_signals(cur, ref).collect()}
+    assert got == {"a.json": ("j2", 0), "b.json": ("j0", 1)}
+
+
+def test_oom_signal_source_filters_heap(spark):
+    df = spark.createDataFrame([("j1", '"c1"', "a.json", "t", "m", "TRUE"), ("j2", "c1", None, "t", "m", "false"),
+                                ("", "c1", "x", "t", "m", "TRUE")],
+                               "job_id string, cluster_name string, recipe_filename string, "
+                               "latest_driver_log_ts string, latest_driver_message string, is_java_heap string")
+    rows = IN.oom_signals_table(df).collect()
+    assert [(r.job_id, r.cluster_name) for r in rows] == [("j1", "c1")]
+
+
+def test_kept_cluster_cost_uses_deployed_shapes(spark):
+    from fleetlens.plans import catalog as CA
+    from fleetlens.plans import cost as CO
+    conf = spark.createDataFrame([("c1", 9, "e2-standard-32", "e2-standard-32")],
+                                 "cluster_name string, num_workers int, worker_machine_type string, "
+                                 "master_machine_type string")
+    spans = spark.createDataFrame([("c1", 1, ts("2099-01-02T00:00:00"), ts("2099-01-02T06:00:00"), True, True)],
+                                  "cluster_name string, incarnation_idx int, span_start_ts timestamp, "
+                                  "span_end_ts timestamp, has_explicit_create boolean, has_explicit_delete boolean")
+    events = CO.cost_events(spark.createDataFrame([], "cluster_name string, event_ts timestamp, state string, "
+                                                      "current_primary_workers int, target_primary_workers int, "
+                                                      "recommendation_id string"))
+    c = CO.kept_cluster_costs(conf, CA.machine_prices(spark), spans, events).first()
+    # (9 workers + 1 master) x e2-standard-32 for 6 hours, the published golden cost
+    assert c.estimated_cost_eur == pytest.approx(96.768, abs=1e-3)
+    assert c.wall_clock_minutes == pytest.approx(360.0)
