@@ -312,6 +312,12 @@ def _boost_queries() -> dict[str, Query]:
         out = BO.carry_boosts(new, applied)
         return BO.flat_config(out).join(out.select(*BO.KEYS, "carried"), BO.KEYS)
 
+    def evolved(s, d):
+        from .plans import evolution as EV
+        configs, cur, ref, ref_m, cur_m = boost_inputs(s, d)
+        out = EV.evolve_configs(ref_m, cur_m, configs, cur, ref, ST.scale_signals(cur_m, ref_m), REFERENCE_DATE)
+        return BO.flat_config(out).join(out.select(*BO.KEYS, "cluster_action"), BO.KEYS)
+
     def kept(s, d):
         configs, _, _, ref_m, cur_m = boost_inputs(s, d)
         dropped = SN.trend_class(SN.pair_snapshots(ref_m, cur_m)).filter(F.col("trend") == SN.DROPPED_ENTRY)
@@ -328,6 +334,7 @@ def _boost_queries() -> dict[str, Query]:
         "boosted_configs": boosted,
         "carry_boosts": carried,
         "kept_recipes": kept,
+        "evolved_configs": evolved,
     }
 
 
