@@ -28,10 +28,33 @@ def explode_buckets(intervals: DataFrame, start: str, end: str,
     return intervals.withColumn(out, F.explode(F.sequence(b0, b1)))
 
 
+WIDTH = "_bucket_us"
+DEFAULT_TARGET_ROWS = 1_000_000
+MAX_HALVINGS = 12
+
+
+def key_bucket_widths(points: DataFrame, keys: Sequence[str], point_ts: str,
+                      max_seconds: int = DEFAULT_BUCKET_SECONDS,
+                      target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+    """Per-key bucket width (micros) so one bucket holds about ``target_rows`` points.
+
+    width = max_seconds / 2^j with the smallest j such that the key's average
+    rows per bucket (rows x width / time span) is at most ``target_rows``
+    (at most 12 halvings).  One aggregate per key with map-side combine.
+    """
+    st = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                   (F.max(F.unix_micros(point_ts)) - F.min(F.unix_micros(point_ts))).alias("_span"))
+    max_us = max_seconds * 1_000_000
+    ratio = F.col("_n") * F.lit(float(max_us)) / (F.greatest(F.col("_span"), F.lit(1)).cast("double") * target_rows)
+    halvings = F.least(F.lit(MAX_HALVINGS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(ratio, F.lit(1.0))))))
+    width = (F.lit(max_us) / F.pow(F.lit(2.0), halvings)).cast("long")
+    return st.select(*keys, F.greatest(width, F.lit(1)).alias(WIDTH))
+
+
 def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
                   start: str, end: str, point_ts: str, how: str = "inner",
-                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                  keep_bucket: bool = False) -> DataFrame:
+                  bucket_seconds: int | str = DEFAULT_BUCKET_SECONDS,
+                  keep_bucket: bool = False, target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Join each interval to the points of the same key with ``start <= ts <= end``.
 
     ``how`` is ``inner`` or ``left`` (intervals without points kept once, with
@@ -40,11 +63,22 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
     join (AQE can split skewed partitions of both inner-join sides).
     """
     keys = list(keys)
-    iv = explode_buckets(intervals, start, end, bucket_seconds)
     # Point-side join columns get private names: both sides often derive from
     # the same scan, and plain names keep the self-join unambiguous.
-    pt = points.select(*[F.col(c).alias(f"_p_{c}") for c in points.columns]) \
-        .withColumn("_p_bucket", time_bucket(f"_p_{point_ts}", bucket_seconds))
+    pt = points.select(*[F.col(c).alias(f"_p_{c}") for c in points.columns])
+    if bucket_seconds == "auto":
+        # adaptive: a key dense in time gets narrower buckets (same width on both sides)
+        widths = key_bucket_widths(points, keys, point_ts, target_rows=target_rows)
+        iv = intervals.join(widths, keys, "inner")
+        b0 = F.floor(F.unix_micros(start) / F.col(WIDTH)).cast("long")
+        b1 = F.greatest(b0, F.floor(F.unix_micros(end) / F.col(WIDTH)).cast("long"))
+        iv = iv.withColumn(BUCKET, F.explode(F.sequence(b0, b1))).drop(WIDTH)
+        pw = widths.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(WIDTH).alias("_p_w"))
+        pt = pt.join(pw, [f"_p_{k}" for k in keys]).withColumn(
+            "_p_bucket", F.floor(F.unix_micros(f"_p_{point_ts}") / F.col("_p_w")).cast("long")).drop("_p_w")
+    else:
+        iv = explode_buckets(intervals, start, end, bucket_seconds)
+        pt = pt.withColumn("_p_bucket", time_bucket(f"_p_{point_ts}", bucket_seconds))
     cond = [F.col(k) == F.col(f"_p_{k}") for k in keys] + [
         F.col(BUCKET) == F.col("_p_bucket"),
         F.col(f"_p_{point_ts}").between(F.col(start), F.col(end))]

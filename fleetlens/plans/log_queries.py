@@ -38,6 +38,8 @@ from ..operators.scan import DEFAULT_BUCKET_SECONDS, bucketed_lead, bucketed_run
 from ..sources import logs as L
 
 KEYS = ["cluster_name", "recipe_filename"]
+# runs x events buckets: per-key adaptive width (6 h, halved for keys dense in time)
+RUN_BUCKETS = "auto"
 RUN_COLS = ["run_id", "cluster_name", "recipe_filename", "app_start_ts", "app_end_ts",
             "app_duration_millis"]
 EVENT_COLS = ["event_id", "cluster_name", "recipe_filename", "evt_ts", "executor_event",
@@ -47,7 +49,7 @@ EVENT_COLS = ["event_id", "cluster_name", "recipe_filename", "evt_ts", "executor
 # --- shared building blocks ---------------------------------------------------------
 
 def events_in_runs(runs: DataFrame, events: DataFrame,
-                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                   bucket_seconds=RUN_BUCKETS,
                    event_filter=None) -> DataFrame:
     """Runs x executor events with ``evt_ts BETWEEN start AND end`` (inner)."""
     ev = events.select(*EVENT_COLS)
@@ -58,7 +60,7 @@ def events_in_runs(runs: DataFrame, events: DataFrame,
 
 
 def run_segments(runs: DataFrame, events: DataFrame,
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """W1 + X7: each event's segment until the next event (or run end), seconds."""
     j = events_in_runs(runs, events, bucket_seconds)
     seg = bucketed_lead(j, ["run_id"], BUCKET, ["evt_ts", "event_id"], "evt_ts", "next_evt_ts")
@@ -72,7 +74,7 @@ def _run_seconds() -> F.Column:
 
 
 def per_run(runs: DataFrame, events: DataFrame, capacity: DataFrame | None = None,
-            bucket_seconds: int = DEFAULT_BUCKET_SECONDS, keep_eventless: bool = True) -> DataFrame:
+            bucket_seconds=RUN_BUCKETS, keep_eventless: bool = True) -> DataFrame:
     """Per-run time-weighted average, peak executors, seconds at cap.
 
     ``keep_eventless`` reproduces b13's LEFT join (runs without events kept
@@ -128,7 +130,7 @@ def _run_peaks(runs: DataFrame, events: DataFrame, bucket_seconds: int) -> DataF
 
 
 def b5_runs_reaching_cap(runs: DataFrame, events: DataFrame, capacity: DataFrame,
-                         bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                         bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """Inner joins drop event-less runs and clusters without a cap (Q16)."""
     p = _run_peaks(runs, events, bucket_seconds).join(broadcast_param(capacity), "cluster_name")
     hit = F.sum(F.when(F.col("run_max_executors") >= F.col("max_exec_allowed"), 1).otherwise(0))
@@ -163,7 +165,7 @@ def b8_p95_duration(runs: DataFrame) -> DataFrame:
 
 
 def b9_seconds_at_cap(runs: DataFrame, events: DataFrame, capacity: DataFrame,
-                      bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                      bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """Compares the *current* executor count with the cap."""
     seg = run_segments(runs, events, bucket_seconds).join(broadcast_param(capacity), "cluster_name")
     at = F.when(F.col("current_no_executors") >= F.col("max_exec_allowed"),
@@ -173,7 +175,7 @@ def b9_seconds_at_cap(runs: DataFrame, events: DataFrame, capacity: DataFrame,
 
 
 def b10_executor_churn(runs: DataFrame, events: DataFrame,
-                       bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                       bucket_seconds=RUN_BUCKETS) -> DataFrame:
     kinds = F.col("executor_event").isin("EXECUTOR_ADDED", "EXECUTOR_REMOVED")
     j = events_in_runs(runs, events, bucket_seconds, event_filter=kinds)
     added = F.sum(F.when(F.col("executor_event") == "EXECUTOR_ADDED", 1).otherwise(0))
@@ -213,7 +215,7 @@ def b11_max_concurrent(runs: DataFrame) -> DataFrame:
 
 
 def b12_p95_max_executors(runs: DataFrame, events: DataFrame,
-                          bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                          bucket_seconds=RUN_BUCKETS) -> DataFrame:
     p = _run_peaks(runs, events, bucket_seconds)
     return (p.groupBy(*KEYS)
             .agg(p95("run_max_executors").alias("p95_run_max_executors"),
@@ -223,7 +225,7 @@ def b12_p95_max_executors(runs: DataFrame, events: DataFrame,
 
 
 def b13_metrics(runs: DataFrame, events: DataFrame, capacity: DataFrame,
-                bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """The one-stop metric row per (cluster, recipe); event-less runs kept."""
     pr = per_run(runs, events, capacity, bucket_seconds, keep_eventless=True)
     pr = pr.join(broadcast_param(capacity), "cluster_name", "left")

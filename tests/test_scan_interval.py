@@ -62,7 +62,15 @@ def test_interval_join_matches_brute_force(spark):
     got = interval_join(ivdf, pts, ["k"], "start", "end", "ts", bucket_seconds=3600)
     want = ivdf.join(pts, (ivdf.k == pts.k) & pts.ts.between(ivdf.start, ivdf.end)).select("iid", "id")
     assert sorted(got.select("iid", "id").collect()) == sorted(want.collect())
+    auto = interval_join(ivdf, pts, ["k"], "start", "end", "ts", bucket_seconds="auto", target_rows=2)
+    assert sorted(auto.select("iid", "id").collect()) == sorted(want.collect())
     left = interval_join(ivdf, pts.filter("k = 'k1'"), ["k"], "start", "end", "ts", how="left")
     n_left = ivdf.join(pts.filter("k = 'k1'"), (ivdf.k == pts.k) & pts.ts.between(ivdf.start, ivdf.end),
                        "left").count()
     assert left.count() == n_left
+
+
+def test_adaptive_widths_narrow_hot_keys(spark):
+    from fleetlens.operators.interval import key_bucket_widths
+    w = {r.k: r._bucket_us for r in key_bucket_widths(_events(spark), ["k"], "ts", target_rows=2).collect()}
+    assert w["hot"] < w["k0"] <= 6 * 3600 * 1_000_000
