@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.interval import interval_join
+from ..operators.interval import WIDTH, interval_join, key_bucket_widths
 from ..operators.scan import bucketed_running_sum_extrema, time_bucket
 
 ADDED, REMOVED = "EXECUTOR_ADDED", "EXECUTOR_REMOVED"
@@ -30,8 +30,11 @@ def executor_running_counts(events: DataFrame, app: list[str], ts: str = "evt_ts
     count and the running max / min of that count for its application."""
     e = events.drop("current_executors", "max_executors_seen", "min_executors_seen") \
         .filter(F.col("executor_event").isin(ADDED, REMOVED))
-    e = e.withColumn("_d", F.when(F.col("executor_event") == ADDED, 1).otherwise(-1)) \
-        .withColumn("_b", time_bucket(ts, bucket_seconds))
+    # adaptive bucket per application: one day, halved while a bucket would hold
+    # more than ~1M events (a busy application is split over many tasks)
+    widths = key_bucket_widths(e, app, ts, max_seconds=bucket_seconds)
+    e = e.join(widths, app).withColumn("_d", F.when(F.col("executor_event") == ADDED, 1).otherwise(-1)) \
+        .withColumn("_b", F.floor(F.unix_micros(ts) / F.col(WIDTH)).cast("long")).drop(WIDTH)
     out = bucketed_running_sum_extrema(e, app, "_b", [ts, tie], "_d", "current_executors",
                                        "max_executors_seen", "min_executors_seen")
     return out.drop("_d", "_b")
