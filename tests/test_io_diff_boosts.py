@@ -184,3 +184,14 @@ def test_kept_cluster_cost_uses_deployed_shapes(spark):
     # (9 workers + 1 master) x e2-standard-32 for 6 hours, the published golden cost
     assert c.estimated_cost_eur == pytest.approx(96.768, abs=1e-3)
     assert c.wall_clock_minutes == pytest.approx(360.0)
+
+
+def test_file_inventory(spark):
+    a, b = tempfile.mkdtemp(prefix="fleetlens-a-"), tempfile.mkdtemp(prefix="fleetlens-b-")
+    _write(os.path.join(a, "same.csv"), "x\n1\n")
+    _write(os.path.join(b, "same.csv"), "x\n1\n")
+    _write(os.path.join(a, "changed.csv"), "x\n1\n")
+    _write(os.path.join(b, "changed.csv"), "x\n2\n")
+    _write(os.path.join(a, "gone.csv"), "x\n")
+    got = {r.file: (r.presence, r.equal) for r in DF.file_inventory(spark, a, b).collect()}
+    assert got == {"same.csv": ("in_both", True), "changed.csv": ("in_both", False), "gone.csv": ("only_in_A", None)}
