@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import boosts as BO
 from . import sizing as SZ
 from . import snapshots as SN
@@ -25,7 +26,9 @@ KEYS = ["cluster_name", "recipe_filename"]
 def evolve_configs(reference_metrics: DataFrame, current_metrics: DataFrame, reference_configs: DataFrame,
                    current_oom: DataFrame, reference_oom: DataFrame, scale_signals: DataFrame | None,
                    reference_date: str, strategy: SZ.Strategy = SZ.STRATEGIES["default"]) -> DataFrame:
-    trends = SN.trend_class(SN.pair_snapshots(reference_metrics, current_metrics))
+    # Each step below reads the previous one in several branches; checkpoints at
+    # the step boundaries keep the plans (and a retry after a lost executor) small.
+    trends = cut_lineage(SN.trend_class(SN.pair_snapshots(reference_metrics, current_metrics)))
     decisions = SN.evolution_decisions(trends)
     actions = SN.cluster_actions(decisions)
     replan = actions.filter(F.col("cluster_action").isin(SN.BOOST_RESOURCES, SN.GENERATE_FRESH)).select("cluster_name")
@@ -44,10 +47,10 @@ def evolve_configs(reference_metrics: DataFrame, current_metrics: DataFrame, ref
     ref_of_replanned = reference_configs.join(replan, "cluster_name", "left_semi")
     fresh = BO.keep_recipes(fresh, ref_of_replanned, dropped, reference_date)
 
-    configs = kept_ref.unionByName(fresh).drop("kept")
+    configs = cut_lineage(kept_ref.unionByName(fresh).drop("kept"))
     all_oom = current_oom.unionByName(reference_oom)
     heap = BO.heap_boost_state(configs, all_oom, current_oom)
-    configs = BO.apply_heap_boosts(configs, heap)
+    configs = cut_lineage(BO.apply_heap_boosts(configs, heap))
     if scale_signals is not None:
         gated = BO.cap_touching(scale_signals, configs)
         configs = BO.apply_scale_boosts(configs, BO.scale_boost_state(configs, gated, gated))

@@ -54,6 +54,8 @@ def _runs_events(spark: SparkSession, sf_dir: str):
 
 def _q(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # driver tables carry zone-less timestamps; the binding reads them as UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return round_doubles(fn(spark, sf_dir))
     run.__name__ = getattr(fn, "__name__", "query")
     return run
