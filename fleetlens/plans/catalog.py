@@ -92,9 +92,11 @@ def machine_prices(spark: SparkSession, rates: DataFrame | None = None) -> DataF
     rates = rates if rates is not None else price_rates(spark)
     cat = machine_catalog(spark)
     fam = broadcast_param(rates)
-    default = fam.filter(F.col("family") == DEFAULT_RATE_FAMILY).select(
-        F.col("vcpu_eur_per_hour").alias("_dv"), F.col("mem_gb_eur_per_hour").alias("_dm"))
-    j = cat.join(fam, "family", "left").crossJoin(F.broadcast(default))
+    # unknown family -> the default family's rate: a second lookup keyed by that family
+    default = fam.select(F.col("family").alias("_fallback_family"), F.col("vcpu_eur_per_hour").alias("_dv"),
+                         F.col("mem_gb_eur_per_hour").alias("_dm"))
+    j = (cat.join(fam, "family", "left").withColumn("_fallback_family", F.lit(DEFAULT_RATE_FAMILY))
+         .join(default, "_fallback_family", "left"))
     vcpu = F.coalesce("vcpu_eur_per_hour", "_dv")
     mem = F.coalesce("mem_gb_eur_per_hour", "_dm")
     return j.select("catalog_idx", "machine_type", "family", "variant", "cores", "memory_gb",

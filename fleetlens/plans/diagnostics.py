@@ -10,7 +10,7 @@ the machine catalogue and broadcast into lookups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.params import broadcast_bounded
@@ -88,10 +88,9 @@ def promotion_ladder(spark: SparkSession) -> DataFrame:
     step1 = cat.select("machine_type", F.concat_ws("-", "family", up_variant, F.col("cores").cast("string"))
                        .alias("_target"))
     step1 = step1.join(names, "_target").select("machine_type", F.col("_target").alias("variant_step"))
-    b = cat.select(F.col("family").alias("bf"), F.col("variant").alias("bv"), F.col("cores").alias("bc"),
-                   F.col("machine_type").alias("bn"))
-    step2 = (cat.join(b, (cat.family == b.bf) & (cat.variant == b.bv) & (b.bc > cat.cores))
-             .groupBy("machine_type").agg(F.min_by("bn", "bc").alias("core_step")))
+    # next larger core count of the same family and variant: the following shape in core order
+    by_cores = Window.partitionBy("family", "variant").orderBy("cores")
+    step2 = cat.select("machine_type", F.lead("machine_type").over(by_cores).alias("core_step"))
     n2_same = F.concat(F.lit("n2-"), F.col("variant"), F.lit("-"), F.col("cores").cast("string"))
     n2_std = F.concat(F.lit("n2-standard-"), F.col("cores").cast("string"))
     cross = (cat.filter(F.col("family") == "e2")
