@@ -94,6 +94,48 @@ GENERATION_TOTALS = FOLD + """SELECT COUNT(*) AS total_clusters, SUM(workers + 1
   SUM(ceiling + 1) AS total_max_nodes FROM ceil_w"""
 
 
+
+
+PLAN_RECIPES = FOLD + """, m AS (
+  SELECT b.cluster_name, b.recipe_filename,
+         COALESCE(CAST(b.avg_executors_per_job AS DOUBLE), 1.0) AS avg_e,
+         COALESCE(CAST(b.p95_run_max_executors AS DOUBLE), 1.0) AS p95_e,
+         b.fraction_reaching_cap AS frac,
+         p.workers, p.max_executors_supported AS sup, p.cores AS w_cores,
+         split_part(p.worker_machine_type, '-', 2) AS variant, c.memory_gb AS w_mem
+  FROM b13 b JOIN plans p USING (cluster_name) JOIN cand c ON c.machine_type = p.worker_machine_type),
+mm AS (
+  SELECT *, CASE variant WHEN 'highcpu' THEN 1 WHEN 'highmem' THEN 4 ELSE 2 END * 8 AS mem_base FROM m),
+mem AS (
+  SELECT *, FLOOR(GREATEST(1.0, GREATEST(1.0, w_mem - 4) - GREATEST(0.384, mem_base * 0.10))) AS max_allowed FROM mm),
+rec AS (
+  SELECT *, CAST(GREATEST(1, LEAST(GREATEST(8, LEAST(mem_base, max_allowed)), LEAST(max_allowed, 32))) AS INTEGER)
+    AS exec_mem FROM mem)
+"""
+
+MANUAL_PLAN = PLAN_RECIPES + """SELECT cluster_name, recipe_filename,
+  CAST(GREATEST(1, LEAST(CEIL(CASE WHEN frac >= 0.30 THEN p95_e * 1.2 ELSE p95_e END), sup)) AS INTEGER)
+    AS spark_executor_instances,
+  8 AS spark_executor_cores, exec_mem AS spark_executor_memory_gb
+FROM rec"""
+
+DA_PLAN = PLAN_RECIPES + """, d AS (
+  SELECT *, CAST(GREATEST(2, GREATEST(1, CEIL(avg_e))) AS INTEGER) AS mn FROM rec),
+d2 AS (SELECT *, CAST(GREATEST(2, LEAST(mn, sup)) AS INTEGER) AS ini FROM d),
+d3 AS (SELECT *, CAST(GREATEST(ini, LEAST(CASE WHEN p95_e > mn + 1 THEN CEIL(p95_e) ELSE mn + 1 END, sup))
+                      AS INTEGER) AS mx FROM d2)
+SELECT cluster_name, recipe_filename, mn AS min_executors, mx AS max_executors, ini AS initial_executors,
+  8 AS spark_executor_cores, exec_mem AS spark_executor_memory_gb, mn > mx AS min_exceeds_max
+FROM d3"""
+
+CLUSTER_SUMMARY = FOLD + """, jobs AS (SELECT cluster_name, COUNT(*) AS no_of_jobs FROM b13 GROUP BY cluster_name)
+SELECT p.cluster_name, 'UNKNOWN_DAG_ID' AS dag_id, COALESCE(j.no_of_jobs, 0) AS no_of_jobs,
+  p.workers AS num_of_workers, p.worker_machine_type, p.master_machine_type,
+  0.0 AS real_used_avg_num_of_workers, 0 AS real_used_min_workers, 0 AS real_used_max_workers,
+  0.0 AS total_active_minutes, 0.0 AS estimated_cost_eur, 'ZERO_TIMER' AS timer_name, '00:00' AS timer_time
+FROM plans p LEFT JOIN jobs j USING (cluster_name)"""
+
 def fold_sql() -> dict[str, str]:
     return {"cluster_plan": CLUSTER_PLAN, "machine_rollup": MACHINE_ROLLUP, "quota_usage": QUOTA_USAGE,
-            "generation_totals": GENERATION_TOTALS}
+            "generation_totals": GENERATION_TOTALS, "manual_plan": MANUAL_PLAN, "da_plan": DA_PLAN,
+            "cluster_summary_sorted": CLUSTER_SUMMARY}
