@@ -135,7 +135,22 @@ SELECT p.cluster_name, 'UNKNOWN_DAG_ID' AS dag_id, COALESCE(j.no_of_jobs, 0) AS
   0.0 AS total_active_minutes, 0.0 AS estimated_cost_eur, 'ZERO_TIMER' AS timer_name, '00:00' AS timer_time
 FROM plans p LEFT JOIN jobs j USING (cluster_name)"""
 
+CLUSTER_CONFIG = PLAN_RECIPES + """, man AS (
+  SELECT cluster_name,
+         CAST(GREATEST(1, LEAST(CEIL(CASE WHEN frac >= 0.30 THEN p95_e * 1.2 ELSE p95_e END), sup)) AS INTEGER)
+           * exec_mem AS acc
+  FROM rec),
+acc AS (SELECT cluster_name, SUM(acc) AS acc, COUNT(*) AS jobs FROM man GROUP BY cluster_name)
+SELECT p.cluster_name, p.workers AS num_workers, p.master_machine_type, p.worker_machine_type,
+  CASE WHEN p.workers <= 4 THEN 'small-workload-autoscaling' WHEN p.workers <= 6 THEN 'medium-workload-autoscaling'
+       WHEN p.workers <= 8 THEN 'large-workload-autoscaling' ELSE 'extra-large-workload-autoscaling' END
+    AS autoscaling_policy,
+  COALESCE(a.jobs, 0) AS total_no_of_jobs, p.workers * c.memory_gb AS cluster_max_total_memory_gb,
+  p.workers * p.cores AS cluster_max_total_cores, COALESCE(a.acc, 0) AS accumulated_max_total_memory_per_jobs_gb
+FROM plans p JOIN cand c ON c.machine_type = p.worker_machine_type LEFT JOIN acc a USING (cluster_name)"""
+
+
 def fold_sql() -> dict[str, str]:
     return {"cluster_plan": CLUSTER_PLAN, "machine_rollup": MACHINE_ROLLUP, "quota_usage": QUOTA_USAGE,
             "generation_totals": GENERATION_TOTALS, "manual_plan": MANUAL_PLAN, "da_plan": DA_PLAN,
-            "cluster_summary_sorted": CLUSTER_SUMMARY}
+            "cluster_summary_sorted": CLUSTER_SUMMARY, "cluster_config": CLUSTER_CONFIG}
