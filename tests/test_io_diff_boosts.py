@@ -211,3 +211,25 @@ def test_raw_log_round_trip_matches_direct_binding(spark):
     direct = LQ.b13_metrics(B.runs(ev), B.executor_events(ev), cap)
     norm = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert norm(via_logs) == norm(direct)
+
+
+def test_carry_boosts_and_keep_recipes(spark):
+    ref = spark.createDataFrame([
+        ("c", "boosted.json", {"spark.executor.memory": "12g", "spark.executor.instances": "2"}, 24, 24,
+         {"appliedMemoryHeapBoostFactor": "1.5"}),
+        ("c", "dropped.json", {"spark.executor.memory": "8g", "spark.executor.instances": "1"}, 8, 8, {}),
+    ], CONF)
+    new = spark.createDataFrame([
+        ("c", "boosted.json", {"spark.executor.memory": "8g", "spark.dynamicAllocation.enabled": "true",
+                               "spark.dynamicAllocation.minExecutors": "2",
+                               "spark.dynamicAllocation.maxExecutors": "5"}, 16, 40, {}),
+    ], CONF)
+    carried = {r.recipe_filename: r for r in BO.flat_config(BO.carry_boosts(new, ref)).collect()}
+    b = carried["boosted.json"]
+    assert (b.executor_memory, b.total_executor_minimum_allocated_memory_gb,
+            b.total_executor_maximum_allocated_memory_gb, b.appliedMemoryHeapBoostFactor) == ("12g", 24, 60, "1.5")
+    dropped = spark.createDataFrame([("c", "dropped.json")], "cluster_name string, recipe_filename string")
+    kept = {r.recipe_filename: r for r in BO.flat_config(BO.keep_recipes(new, ref, dropped, "2099_01_01")).collect()}
+    assert set(kept) == {"boosted.json", "dropped.json"}
+    assert (kept["dropped.json"].lastTunedDate, kept["dropped.json"].keptWithoutCurrentDate) == ("2099_01_01", "true")
+    assert kept["boosted.json"].lastTunedDate is None
