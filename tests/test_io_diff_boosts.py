@@ -233,3 +233,28 @@ def test_carry_boosts_and_keep_recipes(spark):
     assert set(kept) == {"boosted.json", "dropped.json"}
     assert (kept["dropped.json"].lastTunedDate, kept["dropped.json"].keptWithoutCurrentDate) == ("2099_01_01", "true")
     assert kept["boosted.json"].lastTunedDate is None
+
+
+def test_evolution_keeps_stable_and_replans_degraded(spark):
+    from fleetlens.plans import evolution as EV
+    schema = ("cluster_name string, recipe_filename string, avg_executors_per_job double, "
+              "p95_run_max_executors double, avg_job_duration_ms double, p95_job_duration_ms double, runs long, "
+              "seconds_at_cap long, runs_reaching_cap long, total_runs long, fraction_reaching_cap double, "
+              "max_concurrent_jobs int")
+    ref = spark.createDataFrame([("keep", "k.json", 2.0, 4.0, 1e5, 1e5, 20, None, None, None, 0.0, 2),
+                                 ("slow", "s.json", 6.0, 12.0, 1e5, 1e5, 20, None, None, None, 0.0, 4)], schema)
+    cur = spark.createDataFrame([("keep", "k.json", 2.0, 4.0, 1e5, 1e5, 20, None, None, None, 0.0, 2),
+                                 ("slow", "s.json", 6.0, 12.0, 1e5, 2e5, 20, None, None, None, 0.0, 4)], schema)
+    configs = spark.createDataFrame([
+        ("keep", "k.json", {"spark.executor.memory": "4g", "spark.executor.instances": "4"}, 16, 16, {}),
+        ("slow", "s.json", {"spark.executor.memory": "4g", "spark.executor.instances": "12"}, 48, 48, {}),
+    ], CONF)
+    sig = "job_id string, cluster_name string, recipe_filename string, latest_driver_log_ts string"
+    cur_oom = spark.createDataFrame([("j", "keep", "k.json", "2099-01-02")], sig)
+    ref_oom = spark.createDataFrame([], sig)
+    out = {r.recipe_filename: r for r in EV.evolve_configs(ref, cur, configs, cur_oom, ref_oom, None,
+                                                            "2099_01_01").collect()}
+    assert out["k.json"].cluster_action == "keep_as_is"
+    assert out["k.json"].spark_opts["spark.executor.memory"] == "6g"          # reference 4g x 1.5 OOM boost
+    assert out["s.json"].cluster_action == "boost_resources"
+    assert out["s.json"].spark_opts["spark.dynamicAllocation.enabled"] == "true"   # re-planned (DA)
