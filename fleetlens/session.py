@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,22 +39,50 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only when unset.
+    """The cluster's shared checkpoint folder; a scratch one only for a local master.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; we never
-    override it.  Only local runs (tests, bench) without that setting get a
-    fresh scratch folder.
+    The cluster names the folder in ``spark.checkpoint.dir`` or has set it on the
+    context; neither is ever replaced.  Executors of a cluster don't see a folder
+    of this machine, so without a setting only local runs (tests, bench) go on.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    current = context.getCheckpointDir()
+    if known:
+        if current is None:
+            context.setCheckpointDir(known)
+        return known
+    if current is not None:
+        return os.path.dirname(current.rstrip("/"))  # the context adds a folder of its own
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     scratch = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
+    context.setCheckpointDir(scratch)
     return scratch
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once per application).
+
+    Tasks that run Python import it by name; a cluster's workers have neither the
+    driver's working folder nor its path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_fleetlens_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="fleetlens-ship-"), "fleetlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._fleetlens_shipped = True
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
