@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import packing, pieces, token_files, toxicity, urls
+from fleetlens.llm import licences, packing, pieces, spotsigs, token_files, toxicity, urls
 from fleetlens.llm.common import table
 from fleetlens.session import ship_package
 
@@ -42,17 +42,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(folder, parts)
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op8_piece_encoding, op10_best_fit_packing)}
+    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.ORACLE}
+    return {"op2_url_filters": urls.ORACLE, "op4_spotsigs": spotsigs.ORACLE}
