@@ -147,7 +147,8 @@ def negatives(docs: DataFrame, most: int = MAX_NEGATIVE_PARAGRAPHS) -> list[str]
     """A bounded sample of corpus paragraphs that share no three-word run with a template."""
     known = {g for notices in TEMPLATES.values() for t in notices for g in grams(words(t)) if g.count(" ") == 2}
     # 64 documents hold enough paragraphs in practice; the smallest hashes make the sample the same on every run
-    picked = text_rows(docs).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(64).collect()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(64)
+    picked = text_rows(docs).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect()  # 64 documents
     lines = [p for r in picked for p in r.text.split("\n") if words(p)]
     lines = [p for p in lines if known.isdisjoint(grams(words(p)))]
     return lines[:most]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import licences, packing, pieces, spotsigs, token_files, toxicity, urls
+from fleetlens.llm import jaccard_join, licences, packing, pieces, spotsigs, token_files, toxicity, urls
 from fleetlens.llm.common import table
 from fleetlens.session import ship_package
 
@@ -46,6 +46,10 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -59,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing)}
+    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op7_jaccard_join, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
