@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import jaccard_join, licences, packing, pieces, spotsigs, suffix_dedup, token_files, toxicity, urls
+from fleetlens.llm import hnsw, jaccard_join, licences, packing, pieces, spotsigs, suffix_dedup, token_files, toxicity, urls
 from fleetlens.llm.common import table
 from fleetlens.session import ship_package
 
@@ -50,6 +50,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.shingle_components(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op5_suffix_dedup, op7_jaccard_join, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing)}
+    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op5_suffix_dedup, op6_hnsw_near_dedup, op7_jaccard_join, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
