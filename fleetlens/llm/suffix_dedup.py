@@ -45,6 +45,8 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes a suffix sort works on at once.
 SHARD_BYTES = 512 << 10
 HOT_SLICES = 8_192
+#: Grams that are named one by one to tasks; beyond that all bytes are sent.
+MAX_NAMED = 100_000
 #: Bytes hashed at once, and of one document at once (windows overlap by LENGTH - 1).
 BUFFER, STRETCH = 1 << 20, 4 << 20
 
@@ -135,32 +137,35 @@ def _keys(runs: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _bucket_counts(buckets: int) -> Callable:
-    """Group -> per hash bucket: sorted distinct gram and slice hashes (low halves) and their counts."""
+    """Group -> per hash bucket: sorted distinct gram and slice hashes and their counts."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         values, counts = np.unique(_keys(runs_of(_group(docs)[1])), return_counts=True)
-        at, low, n = _cuts(values, buckets), values.astype("<u4"), counts.astype("<u4")
-        rows = [(k, key[0].as_py(), low[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "grp", "low", "counts"])
+        at, n = _cuts(values, buckets), counts.astype("<u4")
+        rows = [(k, key[0].as_py(), values[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "grp", "hashes", "counts"])
 
     return run
 
 
 def _bucket_totals(key: tuple, rows: pa.Table) -> pa.Table:
     """A bucket's counts -> per group, the totals of its hashes."""
-    lows = [np.frombuffer(x, "<u4") for x in rows.column("low").to_pylist()]
+    hashes = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
-    _, inverse = np.unique(np.concatenate(lows), return_inverse=True)
+    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.minimum(np.bincount(inverse, weights=counts), 0xFFFFFFFF).astype("<u4")[inverse]
-    at = np.r_[0, np.cumsum([len(x) for x in lows])]
-    return pa.table([pa.array([key[0].as_py()] * len(lows), pa.int32()), rows.column("grp"), pa.array([total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["bucket", "grp", "totals"])
+    at = np.r_[0, np.cumsum([len(x) for x in hashes])]
+    return pa.table([pa.array([key[0].as_py()] * len(hashes), pa.int32()), rows.column("grp"), pa.array([total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["bucket", "grp", "totals"])
 
 
 RUNS = "grp int, doc int, lo long, n long, at int, gram long, digest binary, bytes binary"
 
 
-def _shared_runs(always: bool) -> Callable:
-    """Group and its totals -> the runs whose gram occurs twice; bytes once per slice of a gram that has other slices too."""
+def _shared_runs(lacking: set[int] | None = frozenset()) -> Callable:
+    """Group and its totals -> the runs whose gram occurs twice; bytes once per slice of a gram that has other slices too.
+
+    ``lacking`` names grams whose bytes are sent in any case (None: all).
+    """
 
     def run(key: tuple, docs: pa.Table, totals: pa.Table) -> pa.Table:
         _, texts = _group(docs)
@@ -171,7 +176,7 @@ def _shared_runs(always: bool) -> Callable:
         total = np.frombuffer(b"".join(parts[i] for i in np.argsort(totals.column("bucket").to_numpy())), "<u4")[inverse]
         of_gram, of_slice = total[: len(keys) // 2], total[len(keys) // 2 :]
         pick = np.flatnonzero(of_gram >= 2)
-        mixed = (of_slice[pick] < of_gram[pick]) | always
+        mixed = (of_slice[pick] < of_gram[pick]) | (np.isin(runs["gram"][pick].view(np.int64), list(lacking)) if lacking is not None else True)
         lo, hi, doc = runs["lo"][pick], runs["hi"][pick], runs["doc"][pick]
         digests, sent, seen = [], [], set()
         for d, a, b, m in zip(doc.tolist(), lo.tolist(), (hi + LENGTH).tolist(), mixed.tolist()):
@@ -274,15 +279,16 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT_SLICES, shard_bytes: int = S
     """(grp, doc, a, b): byte ranges a .. b - 1 of repeated windows, per document (by its rank in its group)."""
     width = shuffle_width(docs.sparkSession)
     dealt = _dealt(docs)
-    counts = dealt.groupBy("grp").applyInArrow(_bucket_counts(width), "bucket int, grp int, low binary, counts binary")
+    counts = dealt.groupBy("grp").applyInArrow(_bucket_counts(width), "bucket int, grp int, hashes binary, counts binary")
     totals = counts.groupBy("bucket").applyInArrow(_bucket_totals, "bucket int, grp int, totals binary")
     both = dealt.groupBy("grp").cogroup(totals.groupBy("grp"))
-    runs = materialise(both.applyInArrow(_shared_runs(False), RUNS), "repeat-runs")
+    runs = materialise(both.applyInArrow(_shared_runs(), RUNS), "repeat-runs")
     slices_of = materialise(runs.groupBy("gram", "digest").agg(F.count("*").alias("occurs"), F.max(F.col("bytes").isNotNull()).alias("sent")), "repeat-slices")
     grams = slices_of.groupBy("gram").agg(F.count("*").alias("slices"), F.min("sent").alias("sent"), F.max("occurs").alias("occurs"))
     lacking, most = grams.where("slices > 1").agg(F.count(F.when(~F.col("sent"), 1)), F.max("slices")).first()
-    if lacking:  # a count of hashes was too high for some slice: send all bytes
-        runs = materialise(both.applyInArrow(_shared_runs(True), RUNS), "repeat-runs")
+    if lacking:  # two hashes met and a count was too high: send the bytes of these grams after all
+        named = {r.gram for r in grams.where("slices > 1 and not sent").select("gram").collect()} if lacking <= MAX_NAMED else None
+        runs = materialise(both.applyInArrow(_shared_runs(named), RUNS), "repeat-runs")
     sent = runs.where(F.col("bytes").isNotNull()).select("gram", "digest", "at", "bytes")
     if (most or 0) > hot:
         asked = sent.join(grams.select("gram", "slices"), "gram").withColumn("parts", F.least(F.ceil(F.col("slices") / hot), F.lit(SPAN)).cast("int"))
