@@ -1,8 +1,17 @@
 """The corpus pipeline over ``documents``.
 
-STAGES lists (name, function) in order.  Each function takes (spark, docs, sf_dir)
-and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and
-rereads it as the next one's docs.
+STAGES lists (name, function) in order.  Each function takes (spark, docs, sf_dir) and
+returns a DataFrame; ``run`` writes it as Parquet to the shared folder and rereads it as
+the next one's docs.  All but the last return the columns of documents:
+
+1. toxicity: documents the trained machine scores 0.5 or more go;
+2. jaccard_join: of each group of near duplicates the document with the smallest doc_id
+   stays (rows that repeat a document are near duplicates of it);
+3. suffix_dedup: bytes of 200-byte strings that start anywhere else too are removed;
+4. packing: what is left is packed into sequences of 2048 tokens.
+
+Edge cases follow the operators'.  Rows with a null doc_id can't be named as the copy of
+another and stay; a document whose whole text repeats stays with an empty text.
 """
 
 from __future__ import annotations
@@ -10,24 +19,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import packing
+from fleetlens.llm import jaccard_join, packing, suffix_dedup, toxicity
 from fleetlens.llm.common import materialise, table
 from fleetlens.llm.queries import vocabulary
 from fleetlens.session import ship_package
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("toxic_score") < 0.5).drop("toxic_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = materialise(jaccard_join.shingle_components(docs), "near-copies")
+    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(copies, "doc_id", "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return left.dropDuplicates(["doc_id", "text"]).select(docs.columns) if repeated.head(1) else left.select(docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return suffix_dedup.without_repeats(docs).select(docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 2048 tokens."""
     ship_package(spark)
     return packing.best_fit_pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("best_fit_packing", pack_sequences),
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", drop_repeats),
+    ("packing", pack_sequences),
 ]
 
-#: Suffix-array removal and packing have no SQL form; tests compare run() with a brute-force version.
+#: A trained model, byte-string removal and tokenizing have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
