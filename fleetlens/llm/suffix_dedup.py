@@ -342,15 +342,18 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns, text reduced to the bytes kept (characters cut apart are dropped) and n_chars counted anew."""
     ranges = repeated_ranges(docs)
-    names = [f.name for f in docs.schema if f.name not in ("doc_id", "text")]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    inner = [f"other_{i}" for i in range(len(others))]  # names that clash with none in here
+    chars = inner[others.index("n_chars")] if "n_chars" in others else None
 
     def run(key: tuple, rows: pa.Table, spans: pa.Table) -> pa.Table:
         rows, kept = _kept(rows, spans)
         texts = [k.decode("utf-8", "ignore") for _, k, _ in kept]
-        cols = {n: rows.column(n) for n in names}
-        if "n_chars" in cols:
-            cols["n_chars"] = pa.array([len(t) for t in texts], rows.schema.field("n_chars").type)
+        cols = {n: rows.column(n) for n in inner}
+        if chars:
+            cols[chars] = pa.array([len(t) for t in texts], rows.schema.field(chars).type)
         return pa.table({"doc_id": rows.column("doc_id"), "text": pa.array(texts, pa.string()), **cols})
 
-    dealt = _dealt(docs, *names)
-    return dealt.groupBy("grp").cogroup(ranges.groupBy("grp")).applyInArrow(run, dealt.drop("grp").schema)
+    dealt = _dealt(docs, *(F.col(c).alias(n) for c, n in zip(others, inner)))
+    cut = dealt.groupBy("grp").cogroup(ranges.groupBy("grp")).applyInArrow(run, dealt.drop("grp").schema)
+    return cut.select("doc_id", "text", *(F.col(n).alias(c) for c, n in zip(others, inner))).select(docs.columns)

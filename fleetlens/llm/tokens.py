@@ -61,7 +61,7 @@ def blank_words(text: str) -> list[str] | None:
     to the mark between words).  The blank is left out here
     and put back when a word is encoded.
     """
-    if "  " in text or "\n " in text or " \n" in text or text[-1:] == " " or text[:1] == "'" or _RARE_SPACE.search(text):
+    if "  " in text or "\n " in text or " \n" in text or text[-1:].isspace() or text[:1] == "'" or _RARE_SPACE.search(text):
         return None
     words = text.split(" ")
     words[0] = FIRST + words[0]

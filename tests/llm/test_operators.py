@@ -3,7 +3,9 @@
 import hashlib
 import os
 import random
+import re
 import sys
+import zlib
 
 import duckdb
 import numpy as np
@@ -56,7 +58,7 @@ def test_toxicity_learns_held_out_rows(spark):
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
     want = {r.doc_id: r.toxic for r in labels.collect()}
     held = [i for i in got if got[i].held_out]
-    assert held == [i for i in got if duckdb.sql("select 1").fetchone() and __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    assert held == [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i].predicted == want[i] for i in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
@@ -93,7 +95,7 @@ def verdict_of(url, rules):
     best = max(fits, key=lambda r: len(r.name), default=None)
     if best:
         return host, path, best.name, best.action
-    hit = any(__import__("re").search(r.regex, host + "\n" + path) for r in rules if r.host is None)
+    hit = any(re.search(r.regex, host + "\n" + path) for r in rules if r.host is None)
     return host, path, None, "block" if hit else "allow"
 
 
@@ -143,7 +145,7 @@ def test_token_files(spark):
 def test_cached_encoding_equals_the_library(file, split):
     enc = tokens.Encoder(P.path(file), split)
     rng = random.Random(2)
-    given = ["", " ", "a", " a", "a ", "'s it's", "a  b\n c", "x\u00a0y", "\x1d a \x1c", "<|endoftext|> a", "don't-stop?!  ", *("".join(rng.choices("ab e'\n.,!1é🙂\t", k=rng.randint(1, 40))) for _ in range(1500))]
+    given = ["", " ", "a", " a", "a ", "'s it's", "a  b\n c", "x\u00a0y", "\x1d a \x1c", "<|endoftext|> a", "don't-stop?!  ", "a\n\n", "\n\na\n\n\n", *("".join(rng.choices("ab e'\n.,!1é🙂\t", k=rng.randint(1, 40))) for _ in range(1500))]
     assert [x.tolist() for x in enc.encode(given)] == [enc.library.encode(t, add_special_tokens=False).ids for t in given]
     enc.cache.limit = 3  # a full cache changes nothing
     assert [x.tolist() for x in enc.encode(given[::-1])] == [enc.library.encode(t, add_special_tokens=False).ids for t in given[::-1]]
@@ -193,7 +195,7 @@ def test_packing_follows_the_rule_and_packs_tightly():
     for s, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
         gaps = np.bincount([64 - f for f in fill.values() if f < 64], minlength=65)
         costs = {}
-        for g in {64, *(64 - f for f in fill.values() if f < 64 and 64 - f >= s)}:
+        for g in {64 - f for f in fill.values() if f < 64 and 64 - f >= s} or {64}:
             after = gaps.copy()
             after[g] -= g < 64
             after[g - s] += g > s
@@ -203,7 +205,7 @@ def test_packing_follows_the_rule_and_packs_tightly():
         fill[b] = o + s
     big = rng.integers(1, 2000, 20_000)
     bins, _ = packing.pack(np.sort(big)[::-1], 2048)
-    assert bins.max() + 1 <= 1.02 * -(-big.sum() // 2048)
+    assert bins.max() + 1 <= 1.01 * -(-big.sum() // 2048)
 
 
 # op4 ------------------------------------------------------------------------------------------------
