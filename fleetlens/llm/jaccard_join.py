@@ -47,6 +47,8 @@ EPS = 1 - SHARE / SHARE_OF
 #: Classes per cell that one task joins.
 CELL = 4_096
 PIVOTS = 6
+#: Word hashes a worker keeps (about 40 MB).
+MAX_CACHED_WORDS = 200_000
 #: Regions up to this size are compared directly.
 SMALL = 48
 
@@ -61,7 +63,7 @@ class _WordHashes(dict):
         import xxhash
 
         got = xxhash.xxh3_64_digest(word)
-        if len(self) < 1_000_000:
+        if len(self) < MAX_CACHED_WORDS:
             self[word] = got
         return got
 

@@ -48,7 +48,7 @@ HOT_SLICES = 8_192
 #: Grams that are named one by one to tasks; beyond that all bytes are sent.
 MAX_NAMED = 100_000
 #: Bytes hashed at once, and of one document at once (windows overlap by LENGTH - 1).
-BUFFER, STRETCH = 1 << 20, 4 << 20
+BUFFER, STRETCH = 256 << 10, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 

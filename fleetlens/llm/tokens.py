@@ -82,7 +82,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = split
-        self.cache = WordCache(self._words)
+        # white space drops more from the words of one vocabulary, so fewer are met
+        self.cache = WordCache(self._words, MAX_CACHED_WORDS if split is blank_words else MAX_CACHED_WORDS // 2)
         self.joint = f" {BETWEEN} " if split is spaced_words else BETWEEN
         mark = self.library.encode(BETWEEN, add_special_tokens=False)
         alone = [t for t in self.library.get_vocab() if mark.tokens[0].removesuffix("</w>") in t.removesuffix("</w>")]

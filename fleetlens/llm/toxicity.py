@@ -76,7 +76,7 @@ class Model:
         """Features of a word and its beginnings (bounded memo; most words have none)."""
         forms = [word, *(word[:k] + "-" for k in (4, 5, 6) if len(word) > k)]
         found = tuple(i for i in (self.features.get(_hash(f)) for f in forms) if i is not None)
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[word] = found
         return found
