@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.layout import spread_input
+from .operators.params import param_table
 from .sources.logs import (AUDIT_LOG, AUTOSCALER_LOG, CLUSTER_LOG, DRIVER_LOG,
                            RT_CLUSTER, RT_JOB, TELEMETRY_LOG)
 
@@ -51,12 +51,9 @@ DEPLOYED_MASTERS = ["e2-standard-8", "n2-highcpu-32", "n2-standard-32", "n2-high
 FRESH_MASTER = "e2-standard-16"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read a driver table.  ``spread`` round-robins a scan with fewer splits than
-    task slots (measured: at sf0.1 the extra shuffle costs more than it gains, so
-    it is off by default; at cluster scale the scan already has many splits)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_input(df) if spread else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def k_of(props: str = "props") -> Column:
@@ -123,8 +120,7 @@ def runs(events: DataFrame) -> DataFrame:
 def capacity(spark: SparkSession, caps: dict[str, int] | None = None) -> DataFrame:
     """The per-cluster executor cap parameter table (b5/b9/b13 ``capacity``)."""
     caps = CAPPED_CLUSTERS if caps is None else caps
-    return spark.createDataFrame(sorted(caps.items()),
-                                 "cluster_name string, max_exec_allowed int")
+    return param_table(spark, sorted(caps.items()), "cluster_name string, max_exec_allowed int")
 
 
 # --- raw log records ----------------------------------------------------------
@@ -367,17 +363,26 @@ def deployed_configs(reference_metrics: DataFrame, heap_tagged: DataFrame) -> Da
         .otherwise(F.create_map().cast("map<string,string>")).alias("extra"))
 
 
+#: Start of the current comparison window; what came before is the reference window.
+SNAPSHOT_BOUNDARY = "2024-01-16"
+
+
+def is_current(ts: Column | str) -> Column:
+    """Does a timestamp lie in the current comparison window?"""
+    return F.col(ts) >= F.to_timestamp(F.lit(SNAPSHOT_BOUNDARY)) if isinstance(ts, str) else ts >= F.to_timestamp(F.lit(SNAPSHOT_BOUNDARY))
+
+
 def snapshot_events(events: DataFrame, which: str) -> DataFrame:
-    """The two comparison snapshots (scenario of the comparison queries).
+    """The events of one comparison window, every one of them.
 
-    reference = days 1-15 without the retired users (user_id % 11 = 0),
-    current   = days 16-30 without the not-yet-onboarded users (user_id % 13 = 0);
-    this produces paired, new and dropped recipes.  It is the scenario, not a
-    sample: every event of the window is processed.
+    Some recipes go by another name in one window, which makes paired, new and dropped
+    recipes: users divisible by 11 are renamed in the reference window (id + 7,000,000),
+    those divisible by 13 in the current one (id + 14,000,000); both offsets keep the
+    user's cluster.
     """
-    d = F.dayofmonth(F.col("ts"))
+    uid = F.col("user_id")
     if which == "reference":
-        return events.filter((d <= 15) & (F.col("user_id") % 11 != 0))
+        return events.filter(~is_current("ts")).withColumn("user_id", F.when(uid % 11 == 0, uid + 7_000_000).otherwise(uid))
     if which == "current":
-        return events.filter((d >= 16) & (F.col("user_id") % 13 != 0))
+        return events.filter(is_current("ts")).withColumn("user_id", F.when(uid % 13 == 0, uid + 14_000_000).otherwise(uid))
     raise ValueError(which)

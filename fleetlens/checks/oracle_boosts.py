@@ -9,17 +9,17 @@ reference window had an OOM for the recipe.
 from __future__ import annotations
 
 from .oracle import B16, BASE, ERR
-from .oracle_snapshots import B13_TEMPLATE, SNAP_FILTER
+from .oracle_snapshots import snapshot_ctes
 from .oracle import CAPACITY
 
 _b16_body = B16[len("WITH "):B16.rindex("\nSELECT d.job_id")]
 _b16_select = B16[B16.rindex("\nSELECT d.job_id"):]
 
 CTES = [_b16_body, "b16 AS (" + _b16_select + ")", CAPACITY,
-        B13_TEMPLATE.format(p="r_", filt=SNAP_FILTER["r_"]),
+        snapshot_ctes("r_"),
         """sig AS (SELECT job_id, cluster_name, recipe_filename, latest_driver_log_ts FROM b16),
-cur_sig AS (SELECT * FROM sig WHERE day(latest_driver_log_ts) >= 16),
-ref_sig AS (SELECT * FROM sig WHERE day(latest_driver_log_ts) <= 15),
+cur_sig AS (SELECT * FROM sig WHERE latest_driver_log_ts >= TIMESTAMP '2024-01-16'),
+ref_sig AS (SELECT * FROM sig WHERE latest_driver_log_ts < TIMESTAMP '2024-01-16'),
 cfg AS (
   SELECT m.cluster_name, m.recipe_filename,
          CAST(8 + 4 * (uid % 3) AS VARCHAR) || 'g' AS mem,
@@ -96,7 +96,7 @@ SELECT cluster_name, recipe_filename,
        CAST(CASE WHEN manual THEN inst ELSE mx END
             * CAST(replace(CASE WHEN change THEN boosted_memory ELSE mem END, 'g', '') AS INTEGER) AS INTEGER)
          AS total_executor_maximum_allocated_memory_gb,
-       CASE WHEN hstate IS NOT NULL THEN CAST(cumulative_factor AS VARCHAR)
+       CASE WHEN hstate IS NOT NULL THEN CAST(CAST(cumulative_factor AS DOUBLE) AS VARCHAR)
             WHEN prior IS NOT NULL THEN '1.5' END AS appliedMemoryHeapBoostFactor,
        CAST(NULL AS VARCHAR) AS appliedExecutorScaleFactor, CAST(NULL AS VARCHAR) AS lastTunedDate,
        CAST(NULL AS VARCHAR) AS keptWithoutCurrentDate
@@ -111,7 +111,7 @@ def boost_sql() -> dict[str, str]:
 
 def _scale_sql() -> str:
     from .oracle_snapshots import CUR_LONG, CURRENT_CTE
-    c_tmpl = B13_TEMPLATE.format(p="c_", filt=SNAP_FILTER["c_"])
+    c_tmpl = snapshot_ctes("c_")
     return "WITH " + ",\n".join([*CTES, c_tmpl, CURRENT_CTE, CUR_LONG, """st AS (
   SELECT metric_name, AVG(v) AS mean, STDDEV_POP(v) AS sd FROM long
   GROUP BY metric_name HAVING COUNT(*) >= 2 AND STDDEV_POP(v) <> 0),

@@ -16,7 +16,7 @@ def _signals(name: str, src: str) -> str:
     return f"""{name}_ev AS (SELECT * FROM {src} WHERE driver_exit_code = 247),
 {name}_jobs AS (
   SELECT cluster_name, COUNT(*) AS evicted_jobs,
-         list(job_id ORDER BY last_ts DESC, job_id ASC)[1:3] AS sample_jobs
+         list(job_id ORDER BY last_ts DESC, job_id ASC)[1:3] AS sample_jobs, list(job_id ORDER BY job_id) AS jobs
   FROM (SELECT cluster_name, job_id, MAX("timestamp") AS last_ts FROM {name}_ev GROUP BY cluster_name, job_id)
   GROUP BY cluster_name),
 {name}_evc AS (SELECT cluster_name, COUNT(*) AS eviction_count FROM {name}_ev GROUP BY cluster_name),
@@ -28,7 +28,7 @@ def _signals(name: str, src: str) -> str:
 {name} AS (
   SELECT COALESCE(e.cluster_name, d.cluster_name) AS cluster_name,
          COALESCE(e.eviction_count, 0) AS eviction_count, COALESCE(e.evicted_jobs, 0) AS evicted_jobs,
-         e.sample_jobs,
+         e.sample_jobs, e.jobs,
          'YARN driver evicted ' || CAST(e.eviction_count AS VARCHAR) || ' time(s) (exit 247). Sample jobs: '
            || array_to_string(e.sample_jobs, ', ') AS eviction_description,
          d.driver_exit_code AS dominant_exit_code, d.n AS dominant_count,
@@ -72,8 +72,8 @@ ladder AS (
 _masters = "[" + ", ".join(f"'{m}'" for m in DEPLOYED_MASTERS) + "]"
 MASTER_PROMOTION = "WITH " + ",\n".join([
     B14_CTES,
-    "cur_x AS (SELECT * FROM b14 WHERE day(\"timestamp\") >= 16)",
-    "ref_x AS (SELECT * FROM b14 WHERE day(\"timestamp\") <= 15)",
+    "cur_x AS (SELECT * FROM b14 WHERE \"timestamp\" >= TIMESTAMP '2024-01-16')",
+    "ref_x AS (SELECT * FROM b14 WHERE \"timestamp\" < TIMESTAMP '2024-01-16')",
     _signals("cur", "cur_x"), _signals("ref", "ref_x"), LADDER,
     f"""masters AS (
   SELECT cluster_name,

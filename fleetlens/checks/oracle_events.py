@@ -1,10 +1,8 @@
-"""Oracle SQL for the event-log queries (running counts, lifecycle, memory
-budget) and the streaming window counts."""
+"""Oracle SQL for the event-log queries (running counts, lifecycle) and the streaming window counts."""
 
 from __future__ import annotations
 
 from .oracle import BASE, with_
-from .oracle_boosts import CTES as BOOST_CTES
 
 RUNNING = with_(*BASE, """d AS (
   SELECT cluster_name, recipe_filename, event_id, evt_ts, executor_event,
@@ -36,28 +34,6 @@ SELECT r.cluster_name, r.recipe_filename, r.app_start_ts, r.app_end_ts,
        (epoch_us(r.app_end_ts) - epoch_us(r.app_start_ts)) // 1000 AS uptime_millis
 FROM runs r LEFT JOIN fin f USING (run_id)"""
 
-MB = 1024 * 1024
-BUDGET = "WITH " + ",\n".join(BOOST_CTES) + f""",
-b AS (
-  SELECT cluster_name, recipe_filename,
-         CAST(replace(mem, 'g', '') AS BIGINT) * 1024 * 1024 * 1024 AS heap,
-         CASE WHEN manual THEN inst ELSE mx END AS executors
-  FROM cfg),
-c AS (SELECT *, GREATEST({384 * MB}, CAST(heap * 0.10 AS BIGINT)) AS overhead,
-             CAST(heap * 0.6 AS BIGINT) AS unified FROM b),
-e AS (SELECT *, CAST(unified * 0.5 AS BIGINT) AS storage FROM c)
-SELECT cluster_name, recipe_filename, heap // {MB} AS executor_onheap_memory_mb,
-       overhead // {MB} AS executor_memory_overhead_mb_effective,
-       'default(0.10|384MB-min)' AS executor_memory_overhead_source, FALSE AS offheap_enabled,
-       unified // {MB} AS onheap_unified_region_mb, (unified - storage) // {MB} AS onheap_initial_execution_mb,
-       storage // {MB} AS onheap_initial_storage_mb, (unified - storage) // {MB} AS execution_memory_budget_mb,
-       storage // {MB} AS storage_memory_budget_mb, heap // {MB} * executors AS total_onheap_memory_mb,
-       overhead // {MB} * executors AS total_overhead_memory_mb,
-       (heap + overhead) // {MB} * executors AS total_allocated_container_memory_mb,
-       overhead >= 0 AS memory_overhead_covers_offheap,
-       CASE WHEN 2 * executors * 1 > 0 THEN 2 * executors * 1 ELSE 8 END AS recommended_partitions
-FROM e"""
-
 STREAM_COUNTS = with_(*BASE) + """
 SELECT date_trunc('day', evt_ts) AS window_start, cluster_name, executor_event, COUNT(*) AS events
 FROM xev GROUP BY 1, 2, 3"""
@@ -65,4 +41,4 @@ FROM xev GROUP BY 1, 2, 3"""
 
 def events_sql() -> dict[str, str]:
     return {"executor_running_counts": RUNNING, "stream_executor_counts": RUNNING,
-            "app_lifecycle": LIFECYCLE, "memory_budget": BUDGET, "stream_counts": STREAM_COUNTS}
+            "app_lifecycle": LIFECYCLE, "stream_counts": STREAM_COUNTS}

@@ -1 +1 @@
-"""Operators: interval join, bucketed scans, parameter broadcast, diff, layout."""
+"""Operators: interval join, bucketed scans, parameter tables, top-k, diff."""

@@ -1,50 +1,31 @@
-"""Broadcast only behind a proven size bound.
-
-Two ways to prove the bound:
-
-* ``broadcast_param`` -- parameter and dimension tables built on the driver
-  (executor caps, machine catalogue, price rates, strategy rows).  They are
-  driver-local relations, so their row count is known without running a job;
-  the hint is added only when it is at most ``max_rows``.  Any other input is
-  left as a plain join: Spark's AQE then picks broadcast or shuffle from the
-  runtime size of the materialised side.
-* ``broadcast_bounded`` -- derived tables whose row count is bounded by
-  construction, e.g. one statistics row per metric name from a fixed list.
-  The caller states the bound; no data is counted.
+"""Parameter tables: broadcast only what has a proven size bound.
+
+* ``param_table`` builds a table from rows that the driver holds (executor caps, machine
+  catalogue, price rates): their number is known, and the broadcast hint is given up to
+  ``MAX_BROADCAST_ROWS``.  Beyond it, and for tables that come from elsewhere, joins stay
+  plain and Spark chooses from the sizes it sees at run time.
+* ``broadcast_bounded`` hints a derived table whose rows are bounded by construction, e.g.
+  one statistics row per metric of a fixed list; the caller states the bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 100_000
-
-_checked: dict[int, tuple[DataFrame, bool]] = {}
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` is driver-local and has at most ``max_rows`` rows."""
-    key = id(df)
-    hit = _checked.get(key)
-    if hit is not None and hit[0] is df:
-        return hit[1]
-    ok = bool(df.isLocal()) and df.limit(max_rows + 1).count() <= max_rows
-    _checked[key] = (df, ok)
-    return ok
+MAX_BROADCAST_ROWS = 100_000
 
 
-def broadcast_param(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` for a driver-local table of at most ``max_rows`` rows."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def param_table(spark: SparkSession, rows: Sequence, schema) -> DataFrame:
+    """A table of driver-held rows, hinted for broadcast when there are few enough."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
 
 
 def broadcast_bounded(df: DataFrame, bound: int, why: str) -> DataFrame:
-    """Broadcast a derived table whose size is bounded by construction.
-
-    ``bound`` / ``why`` document the proof (e.g. ``6, "one row per metric"``);
-    a bound above the default limit is refused.
-    """
-    if bound > DEFAULT_MAX_BROADCAST_ROWS:
+    """Broadcast a derived table of at most ``bound`` rows (``why``: the proof, e.g. "one row per metric")."""
+    if bound > MAX_BROADCAST_ROWS:
         raise ValueError(f"bound {bound} too large to broadcast ({why})")
     return F.broadcast(df)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.params import broadcast_param
+from ..operators.params import param_table
+from ..sources.files import path_exists
 
 # Machine shapes per (family, variant): vCPU sizes, GB per vCPU.
 VARIANT_GB_PER_VCPU = {"standard": 4.0, "highmem": 8.0, "highcpu": 2.0}
@@ -64,34 +65,32 @@ def catalog_rows() -> list[tuple[int, str, str, str, int, int]]:
 
 
 def machine_catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        catalog_rows(),
+    return param_table(
+        spark, catalog_rows(),
         "catalog_idx int, machine_type string, family string, variant string, cores int, memory_gb int")
 
 
 def price_rates(spark: SparkSession, csv_path: str | None = None) -> DataFrame:
     """Per-family rates from a CSV (family, vCpu_eur_per_hour, memGb_eur_per_hour),
-    falling back to the fixed rates when the file is absent or yields no row."""
-    if csv_path:
-        try:
-            df = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-                  .option("ignoreTrailingWhiteSpace", True).csv(csv_path)
-                  .select(F.lower(F.trim("family")).alias("family"),
-                          F.col("vCpu_eur_per_hour").try_cast("double").alias("vcpu_eur_per_hour"),
-                          F.col("memGb_eur_per_hour").try_cast("double").alias("mem_gb_eur_per_hour"))
-                  .dropna())
-            if df.limit(1).count() > 0:
-                return df
-        except Exception:  # noqa: BLE001 - a missing file means "use the fallback rates"
-            pass
-    return spark.createDataFrame(FAMILY_RATES, "family string, vcpu_eur_per_hour double, mem_gb_eur_per_hour double")
+    falling back to the fixed rates when the file is absent or yields no row; any other read
+    error is raised."""
+    if csv_path and path_exists(spark, csv_path):
+        df = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
+              .option("ignoreTrailingWhiteSpace", True).csv(csv_path)
+              .select(F.lower(F.trim("family")).alias("family"),
+                      F.col("vCpu_eur_per_hour").try_cast("double").alias("vcpu_eur_per_hour"),
+                      F.col("memGb_eur_per_hour").try_cast("double").alias("mem_gb_eur_per_hour"))
+              .dropna())
+        if df.limit(1).count() > 0:
+            return df
+    return param_table(spark, FAMILY_RATES, "family string, vcpu_eur_per_hour double, mem_gb_eur_per_hour double")
 
 
 def machine_prices(spark: SparkSession, rates: DataFrame | None = None) -> DataFrame:
     """Hourly EUR price per catalogue shape; unknown family -> e2 rate."""
     rates = rates if rates is not None else price_rates(spark)
     cat = machine_catalog(spark)
-    fam = broadcast_param(rates)
+    fam = rates
     # unknown family -> the default family's rate: a second lookup keyed by that family
     default = fam.select(F.col("family").alias("_fallback_family"), F.col("vcpu_eur_per_hour").alias("_dv"),
                          F.col("mem_gb_eur_per_hour").alias("_dm"))

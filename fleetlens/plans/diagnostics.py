@@ -35,12 +35,14 @@ def exit_codes(b14: DataFrame) -> DataFrame:
 
 
 def exit_signals(exits: DataFrame) -> DataFrame:
-    """Per cluster -- YARN evictions (count, jobs, 3 most recent jobs) and the
+    """Per cluster -- YARN evictions (count, all distinct jobs, and the 3 most recent
+    for the description) and the
     dominant other non-zero exit code (mode; ties -> lowest code)."""
     ev = exits.filter(F.col("driver_exit_code") == YARN_EVICTION_CODE)
     per_job = ev.groupBy("cluster_name", "job_id").agg(F.max("_ts").alias("_last"))
     counts = ev.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("eviction_count"))
-    jobs = per_job.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("evicted_jobs"))
+    jobs = per_job.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("evicted_jobs"),
+                                               F.sort_array(F.collect_list("job_id")).alias("jobs"))
     sample = (top_k(per_job, ["cluster_name"], [F.desc("_last"), F.asc("job_id")], SAMPLE_JOBS,
                     salt_cols=["job_id"])
               .groupBy("cluster_name")
@@ -61,7 +63,7 @@ def exit_signals(exits: DataFrame) -> DataFrame:
         F.col("dominant_count").cast("string"), F.lit(" time(s)")))
     return evictions.join(dominant, "cluster_name", "full_outer").select(
         "cluster_name", F.coalesce("eviction_count", F.lit(0)).alias("eviction_count"),
-        F.coalesce("evicted_jobs", F.lit(0)).alias("evicted_jobs"), "sample_jobs", "eviction_description",
+        F.coalesce("evicted_jobs", F.lit(0)).alias("evicted_jobs"), "sample_jobs", "jobs", "eviction_description",
         "dominant_exit_code", "dominant_count", "pattern_description")
 
 

@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import (ceil_minute, mins_sec_text, p95, regexp_extract_or_null,
                                 safe_divide, seconds_between)
 from ..operators.interval import BUCKET, interval_join
-from ..operators.params import broadcast_param
 from ..operators.scan import DEFAULT_BUCKET_SECONDS, bucketed_lead, bucketed_running, time_bucket
 from ..sources import logs as L
 
@@ -82,7 +81,7 @@ def per_run(runs: DataFrame, events: DataFrame, capacity: DataFrame | None = Non
     """
     seg = run_segments(runs, events, bucket_seconds)
     if capacity is not None:
-        seg = seg.join(broadcast_param(capacity), "cluster_name", "left")
+        seg = seg.join(capacity, "cluster_name", "left")
         at_cap = F.when(F.col("max_exec_allowed").isNotNull()
                         & (F.col("current_no_executors") >= F.col("max_exec_allowed")),
                         F.col("seg_seconds")).otherwise(F.lit(0))
@@ -132,7 +131,7 @@ def _run_peaks(runs: DataFrame, events: DataFrame, bucket_seconds: int) -> DataF
 def b5_runs_reaching_cap(runs: DataFrame, events: DataFrame, capacity: DataFrame,
                          bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """Inner joins drop event-less runs and clusters without a cap (Q16)."""
-    p = _run_peaks(runs, events, bucket_seconds).join(broadcast_param(capacity), "cluster_name")
+    p = _run_peaks(runs, events, bucket_seconds).join(capacity, "cluster_name")
     hit = F.sum(F.when(F.col("run_max_executors") >= F.col("max_exec_allowed"), 1).otherwise(0))
     return (p.groupBy(*KEYS)
             .agg(hit.alias("runs_reaching_cap"), F.count(F.lit(1)).alias("total_runs"))
@@ -167,7 +166,7 @@ def b8_p95_duration(runs: DataFrame) -> DataFrame:
 def b9_seconds_at_cap(runs: DataFrame, events: DataFrame, capacity: DataFrame,
                       bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """Compares the *current* executor count with the cap."""
-    seg = run_segments(runs, events, bucket_seconds).join(broadcast_param(capacity), "cluster_name")
+    seg = run_segments(runs, events, bucket_seconds).join(capacity, "cluster_name")
     at = F.when(F.col("current_no_executors") >= F.col("max_exec_allowed"),
                 F.col("seg_seconds")).otherwise(0)
     return (seg.groupBy(*KEYS).agg(F.sum(at).alias("seconds_at_cap"))
@@ -228,7 +227,7 @@ def b13_metrics(runs: DataFrame, events: DataFrame, capacity: DataFrame,
                 bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """The one-stop metric row per (cluster, recipe); event-less runs kept."""
     pr = per_run(runs, events, capacity, bucket_seconds, keep_eventless=True)
-    pr = pr.join(broadcast_param(capacity), "cluster_name", "left")
+    pr = pr.join(capacity, "cluster_name", "left")
     capped = F.max("max_exec_allowed").isNotNull()
     hit = F.when(F.col("run_max_executors") >= F.col("max_exec_allowed"), 1).otherwise(0)
     agg = pr.groupBy(*KEYS).agg(

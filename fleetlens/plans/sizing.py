@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.params import broadcast_param
-from .catalog import FAMILY_RATES, catalog_rows, machine_catalog, price_of
+from .catalog import catalog_rows, machine_catalog, price_of
 from .snapshots import normalize_metrics
 
 # ---------------------------------------------------------------------------------
@@ -298,7 +297,7 @@ def cluster_plans(scored: DataFrame, s: Strategy = STRATEGIES["default"], scenar
 
 def _with_worker_shape(plans: DataFrame) -> DataFrame:
     """Worker variant / cores / memory from the catalogue (173 rows, broadcast)."""
-    cat = broadcast_param(machine_catalog(plans.sparkSession)).select(
+    cat = machine_catalog(plans.sparkSession).select(
         F.col("machine_type").alias("worker_machine_type"), F.col("variant").alias("worker_variant"),
         F.col("cores").alias("worker_cores"), F.col("memory_gb").alias("worker_memory_gb"))
     return plans.join(cat, "worker_machine_type", "left")
@@ -478,7 +477,7 @@ def cluster_summary(plans: DataFrame, metrics: DataFrame, cost: DataFrame | None
         F.coalesce("timer_time", F.lit("00:00")).alias("timer_time"))
 
 
-SUMMARY_ORDERS = {  # O3: report name -> descending metric (then cluster name ascending)
+SUMMARY_ORDERS = {  # O3: report name -> descending metric (base: workers, then jobs), then cluster name ascending
     "base": None, "by_jobs": "no_of_jobs", "by_workers": "num_of_workers",
     "by_cost": "estimated_cost_eur", "by_minutes": "total_active_minutes",
 }
@@ -488,7 +487,5 @@ def summary_report(summary: DataFrame, order: str = "by_cost", only_wf: bool = F
     """A sorted summary; ``only_wf`` keeps names starting ``cluster-wf-``."""
     out = summary.filter(F.col("cluster_name").startswith("cluster-wf-")) if only_wf else summary
     metric = SUMMARY_ORDERS[order]
-    return out.orderBy(*([F.desc(metric)] if metric else []), F.asc("cluster_name"))
-
-
-FAMILY_RATE_TABLE = FAMILY_RATES
+    first = [F.desc(metric)] if metric else [F.desc("num_of_workers"), F.desc("no_of_jobs")]
+    return out.orderBy(*first, F.asc("cluster_name"))

@@ -18,7 +18,6 @@ from .plans import log_queries as LQ
 from .plans import cost as CO
 from .operators import diff as DF
 from .plans import boosts as BO
-from .operators import layout as LY
 from .sources import inputs as IN
 from .streaming import eventlog as EL
 from .streaming import incremental as INC
@@ -225,8 +224,7 @@ def _diagnostic_queries() -> dict[str, Query]:
 
     def promotions(s, d):
         exits = cut_lineage(exit_code_table(s, d))
-        day = F.dayofmonth("_ts")
-        cur, ref = exits.filter(day >= 16), exits.filter(day <= 15)
+        cur, ref = exits.filter(B.is_current("_ts")), exits.filter(~B.is_current("_ts"))
         return DG.master_promotions(s, DG.exit_signals(cur), DG.exit_signals(ref), B.cluster_masters(cur, ref))
 
     return {
@@ -276,13 +274,12 @@ REFERENCE_DATE = "2024_01_15"
 
 
 def oom_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """b16 heap-OOM signals of the current (days 16-30) and reference (1-15) windows."""
+    """b16 heap-OOM signals of the current and reference windows."""
     ev = _events(spark, sf_dir)
     b16 = LQ.b16_oom_latest(B.driver_logs(ev).unionByName(B.telemetry_logs(ev))).select(
         "job_id", "cluster_name", "recipe_filename", "latest_driver_log_ts")
     b16 = cut_lineage(b16)
-    day = F.dayofmonth("latest_driver_log_ts")
-    return b16.filter(day >= 16), b16.filter(day <= 15)
+    return b16.filter(B.is_current("latest_driver_log_ts")), b16.filter(~B.is_current("latest_driver_log_ts"))
 
 
 def boost_inputs(spark: SparkSession, sf_dir: str):
@@ -387,20 +384,9 @@ def _event_queries() -> dict[str, Query]:
         ev = _events(s, d)
         return EL.app_lifecycle(B.runs(ev), LQ.status_events(B.status_logs(ev)), AS_OF)
 
-    def budget(s, d):
-        configs, _, _, _, _ = boost_inputs(s, d)
-        _, mx = BO.executor_counts()
-        return EL.memory_budget(configs.withColumn("_executors", mx), F.col("_executors")).select(
-            *app, "executor_onheap_memory_mb", "executor_memory_overhead_mb_effective",
-            "executor_memory_overhead_source", "offheap_enabled", "onheap_unified_region_mb",
-            "onheap_initial_execution_mb", "onheap_initial_storage_mb", "execution_memory_budget_mb",
-            "storage_memory_budget_mb", "total_onheap_memory_mb", "total_overhead_memory_mb",
-            "total_allocated_container_memory_mb", "memory_overhead_covers_offheap", "recommended_partitions")
-
     return {
         "executor_running_counts": running,
         "app_lifecycle": lifecycle,
-        "memory_budget": budget,
         "stream_counts": INC.stream_counts,
         "stream_executor_counts": INC.stream_executor_counts,
     }
@@ -430,17 +416,9 @@ def _io_queries() -> dict[str, Query]:
             out = v if out is None else out.unionByName(v)
         return out
 
-    def rebalanced(s, d):
-        li = B.table(s, d, "lineitem")
-        return (LY.rebalance(li, 8, ["l_orderkey"]).groupBy(F.spark_partition_id().alias("partition"))
-                .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_orderkey").alias("orders")))
-
     return {
         "metrics_merge_individual": merged,
         "input_validation": validation,
-        "rebalance": rebalanced,
-        "broadcast_plan": lambda s, d: LY.broadcast_plan(B.table(s, d, "supplier")).select(
-            "rows", "avg_row_bytes", "estimated_bytes_per_executor", "level"),
     }
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.snapshots import normalize_metrics
+from .files import path_exists
 from .logs import parse_ts
 
 KEYS = ["cluster_name", "recipe_filename"]
@@ -71,7 +72,7 @@ def load_flattened(spark: SparkSession, input_dir: str) -> DataFrame | None:
     """S3: the b13 export, else the b15-named flattened export, else None."""
     for name in (B13_FILE, B15_FLAT_FILE):
         p = os.path.join(input_dir, name)
-        if os.path.exists(p):
+        if path_exists(spark, p):
             return typed_metrics(read_csv(spark, p, METRIC_COLUMNS))
     return None
 
@@ -239,7 +240,7 @@ def load_snapshot(spark: SparkSession, input_dir: str) -> dict[str, DataFrame]:
     its schema when absent)."""
     def opt(name, schema, typer=lambda d: d):
         p = os.path.join(input_dir, name)
-        return typer(read_csv(spark, p)) if os.path.exists(p) else empty(spark, schema)
+        return typer(read_csv(spark, p)) if path_exists(spark, p) else empty(spark, schema)
     metrics = load_flattened(spark, input_dir)
     return {
         "metrics": metrics if metrics is not None else typed_metrics(empty(spark, ", ".join(

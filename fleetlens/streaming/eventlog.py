@@ -17,11 +17,6 @@ from ..operators.scan import bucketed_running_sum_extrema, time_bucket
 ADDED, REMOVED = "EXECUTOR_ADDED", "EXECUTOR_REMOVED"
 
 # Spark memory defaults used by the budget.
-OVERHEAD_FACTOR = 0.10
-OVERHEAD_FLOOR_BYTES = 384 * 1024 * 1024
-MEMORY_FRACTION = 0.6
-STORAGE_FRACTION = 0.5
-MB = 1024 * 1024
 
 
 def executor_running_counts(events: DataFrame, app: list[str], ts: str = "evt_ts", tie: str = "event_id",
@@ -54,55 +49,3 @@ def app_lifecycle(runs: DataFrame, status_events: DataFrame, as_of: str | None =
         F.timestamp_diff("MILLISECOND", F.col("app_start_ts"), F.col("app_end_ts")).alias("app_duration_millis"),
         F.coalesce("final_status", F.lit("UNKNOWN")).alias("final_status"),
         F.timestamp_diff("MILLISECOND", F.col("app_start_ts"), end).alias("uptime_millis"))
-
-
-def size_bytes(text: Column, default: str) -> Column:
-    """Spark size string (``"12g"``, ``"512m"``, ``"1024k"``, bytes) to bytes."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(default))))
-    num = F.regexp_extract(t, r"^([0-9]+)", 1).try_cast("long")
-    unit = F.regexp_extract(t, r"^[0-9]+\s*([kmgt]?)b?$", 1)
-    mult = (F.when(unit == "k", F.lit(1024)).when(unit == "m", F.lit(MB)).when(unit == "g", F.lit(1024 * MB))
-            .when(unit == "t", F.lit(1024 * 1024 * MB)).otherwise(F.lit(1)))
-    return num * mult
-
-
-def memory_budget(conf: DataFrame, executors: Column, conf_col: str = "spark_opts",
-                  repartition_factor: int = 2, default_parallelism: int = 8) -> DataFrame:
-    """E3 + E5 per application: heap, overhead (configured YARN -> generic ->
-    factor with a 384 MB floor), off-heap, unified region and initial execution /
-    storage split, totals over ``executors``, and the recommended partitions."""
-    o = lambda k: F.try_element_at(F.col(conf_col), F.lit(k))
-    heap = size_bytes(o("spark.executor.memory"), "1g")
-    yarn = size_bytes(o("spark.yarn.executor.memoryOverhead"), "0")
-    generic = size_bytes(o("spark.executor.memoryOverhead"), "0")
-    factor = F.coalesce(o("spark.executor.memoryOverheadFactor").try_cast("double"), F.lit(OVERHEAD_FACTOR))
-    configured = F.when(yarn > 0, yarn).otherwise(generic)
-    overhead = F.when(configured > 0, configured).otherwise(
-        F.greatest(F.lit(OVERHEAD_FLOOR_BYTES), (heap * factor).cast("long")))
-    off_on = F.coalesce(o("spark.memory.offHeap.enabled") == "true", F.lit(False))
-    off = F.when(off_on, size_bytes(o("spark.memory.offHeap.size"), "0")).otherwise(F.lit(0))
-    frac = F.coalesce(o("spark.memory.fraction").try_cast("double"), F.lit(MEMORY_FRACTION))
-    sfrac = F.coalesce(o("spark.memory.storageFraction").try_cast("double"), F.lit(STORAGE_FRACTION))
-    unified = (heap * frac).cast("long")
-    storage = (unified * sfrac).cast("long")
-    off_storage = (off * sfrac).cast("long")
-    cores = F.coalesce(o("spark.executor.cores").try_cast("int"), F.lit(1))
-    mb = lambda c: F.floor(c / MB).cast("long")
-    rec = repartition_factor * executors * cores
-    return conf.select(
-        "*",
-        mb(heap).alias("executor_onheap_memory_mb"),
-        mb(overhead).alias("executor_memory_overhead_mb_effective"),
-        F.when(yarn > 0, "yarn.configured").when(generic > 0, "generic.configured")
-        .when(o("spark.executor.memoryOverheadFactor").isNotNull(), F.concat(F.lit("factor("), factor.cast("string"), F.lit(")")))
-        .otherwise("default(0.10|384MB-min)").alias("executor_memory_overhead_source"),
-        off_on.alias("offheap_enabled"), mb(off).alias("offheap_size_mb"),
-        mb(unified).alias("onheap_unified_region_mb"),
-        mb(unified - storage).alias("onheap_initial_execution_mb"), mb(storage).alias("onheap_initial_storage_mb"),
-        mb(unified - storage + off - off_storage).alias("execution_memory_budget_mb"),
-        mb(storage + off_storage).alias("storage_memory_budget_mb"),
-        (mb(heap) * executors).alias("total_onheap_memory_mb"),
-        (mb(overhead) * executors).alias("total_overhead_memory_mb"),
-        (mb(heap + overhead) * executors).alias("total_allocated_container_memory_mb"),
-        (overhead >= off).alias("memory_overhead_covers_offheap"),
-        F.when(rec > 0, rec).otherwise(F.lit(default_parallelism)).alias("recommended_partitions"))

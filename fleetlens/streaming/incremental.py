@@ -1,102 +1,81 @@
-"""Structured Streaming variants (E6, and E1 with state).
-
-* ``stream_counts``: the stateless telemetry projection runs on ``readStream``;
-  executor churn is counted per event-time window with a watermark (late rows
-  beyond it are dropped by Spark).  Update-mode micro-batches are written by
-  ``foreachBatch`` to batch-numbered Parquet folders under the session's
-  checkpoint directory (re-running a batch overwrites its own folder, so a
-  retried batch is idempotent); the final table keeps the latest count per key.
-* ``stream_executor_counts``: E1 as an event-time stateful fold
-  (``applyInPandasWithState``) keyed by application -- state = running count,
-  max and min -- emitting one status row per event.
+"""Structured Streaming variants of the event queries (E6, and E1).
+
+Both take every row whenever it arrives: no watermark cuts rows off, so files may come in
+any order and the result equals the batch query over what has arrived.
+
+* ``stream_counts`` keeps one count per (window, cluster, event kind) in state; a late row
+  raises its window's count again.  State grows with the time span, not with the rows.
+* ``stream_executor_counts`` lands the executor events exactly once (file sink) and gives
+  the running counts of what has landed, in event time, by the bucketed scan of the batch
+  query: a running count is only defined over rows in event order, which no arrival order
+  gives.
+
+Work folders lie below ``spark.checkpoint.dir`` under a name made of the query and its
+input, so a restarted query goes on from its offsets and state.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import binding as B
 from ..session import ensure_checkpoint_dir
+from ..sources.files import make_folder
+from .eventlog import executor_running_counts
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
+COUNTS = "window_start timestamp, cluster_name string, executor_event string, events long"
+APP = ["cluster_name", "recipe_filename"]
 
 
-def _workdir(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+def _workdir(spark: SparkSession, name: str, sf_dir: str) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/streams/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
 
 
 def read_events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(f"{sf_dir}/events*.parquet"))
+            .option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet"))
 
 
-def stream_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """Executor events per (day window, cluster, event kind), incrementally."""
-    ev = B.executor_events(read_events_stream(spark, sf_dir))
-    agg = (ev.withWatermark("evt_ts", watermark)
+def stream_counts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> DataFrame:
+    """Executor events per (day window, cluster, event kind), incrementally.
+
+    A micro-batch writes the counts it changed to a folder of its number (a retried batch
+    writes the same folder again); the last count of a key is its count.
+    """
+    agg = (B.executor_events(read_events_stream(spark, sf_dir))
            .groupBy(F.window("evt_ts", window).alias("w"), "cluster_name", "executor_event")
            .agg(F.count(F.lit(1)).alias("events")))
-    work = _workdir(spark, "stream_counts")
-    out_dir = os.path.join(work, "batches")
+    work = _workdir(spark, "stream_counts", sf_dir)
+    out_dir = make_folder(spark, f"{work}/batches")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("window_start"), "cluster_name", "executor_event", "events",
-                      F.lit(batch_id).alias("batch_id"))
-         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}")))
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", os.path.join(work, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.option("basePath", out_dir).parquet(out_dir)
+        (batch.select(F.col("w.start").alias("window_start"), "cluster_name", "executor_event", "events")
+         .write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"))
+
+    (agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    res = spark.read.schema(f"{COUNTS}, batch long").option("basePath", out_dir).parquet(out_dir)
     return (res.groupBy("window_start", "cluster_name", "executor_event")
-            .agg(F.max_by("events", "batch_id").alias("events")))
-
-
-STATE_SCHEMA = "current long, max_seen long, min_seen long"
-STATUS_SCHEMA = ("cluster_name string, recipe_filename string, event_id long, evt_ts timestamp, "
-                 "executor_event string, current_executors long, max_executors_seen long, min_executors_seen long")
-
-
-def _fold(key, pdfs: Iterator[pd.DataFrame], state):
-    cur, mx, mn = state.get if state.exists else (0, None, None)
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["evt_ts", "event_id"])
-        d = pdf["executor_event"].map({"EXECUTOR_ADDED": 1, "EXECUTOR_REMOVED": -1}).fillna(0).astype("int64")
-        running = d.cumsum() + cur
-        run_max = running.cummax() if mx is None else running.cummax().clip(lower=mx)
-        run_min = running.cummin() if mn is None else running.cummin().clip(upper=mn)
-        out = pdf.assign(current_executors=running, max_executors_seen=run_max, min_executors_seen=run_min)
-        if len(out):
-            cur, mx, mn = int(running.iloc[-1]), int(run_max.iloc[-1]), int(run_min.iloc[-1])
-        yield out[["cluster_name", "recipe_filename", "event_id", "evt_ts", "executor_event",
-                   "current_executors", "max_executors_seen", "min_executors_seen"]]
-    state.update((cur, mx, mn))
-
-
-def stream_executor_counts(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
-    """E1 streaming: per-application running counts with event-time state."""
-    ev = B.executor_events(read_events_stream(spark, sf_dir, files_per_trigger=1))
-    ev = ev.filter(F.col("executor_event").isin("EXECUTOR_ADDED", "EXECUTOR_REMOVED")).withWatermark("evt_ts", watermark)
-    out = ev.groupBy("cluster_name", "recipe_filename").applyInPandasWithState(
-        _fold, outputStructType=STATUS_SCHEMA, stateStructType=STATE_SCHEMA, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
-    work = _workdir(spark, "stream_executor_counts")
-    q = (out.writeStream.outputMode("append").format("parquet")
-         .option("path", os.path.join(work, "out")).option("checkpointLocation", os.path.join(work, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(STATUS_SCHEMA).parquet(os.path.join(work, "out"))
+            .agg(F.max_by("events", "batch").alias("events")))
+
+
+def stream_executor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 streaming: running executor counts per application over the events landed so far."""
+    ev = B.executor_events(read_events_stream(spark, sf_dir)).select(*APP, "event_id", "evt_ts", "executor_event")
+    work = _workdir(spark, "stream_executor_counts", sf_dir)
+    landed = make_folder(spark, f"{work}/events")
+    (ev.writeStream.outputMode("append").format("parquet").option("path", landed)
+     .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    counts = executor_running_counts(spark.read.schema(ev.schema).parquet(landed), APP)
+    return counts.select(*APP, "event_id", "evt_ts", "executor_event", "current_executors", "max_executors_seen",
+                         "min_executors_seen")

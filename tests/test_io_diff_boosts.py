@@ -133,16 +133,6 @@ def test_signal_resolution_by_sibling_and_name(spark):
     assert got["other-20260411-0438"] == (None, "none")
 
 
-def test_memory_budget_defaults(spark):
-    conf = spark.createDataFrame([("c", "r", {"spark.executor.memory": "10g", "spark.executor.cores": "4"},
-                                   0, 0, {})], CONF)
-    b = EL.memory_budget(conf, F.lit(3)).first()
-    assert b.executor_onheap_memory_mb == 10240
-    assert b.executor_memory_overhead_mb_effective == 1024
-    assert b.onheap_unified_region_mb == 6144 and b.onheap_initial_storage_mb == 3072
-    assert b.recommended_partitions == 24
-
-
 def test_streaming_window_counts_match_batch(spark):
     from fleetlens import registry as R
     s = R.queries()["stream_counts"](spark, SF_SMALL)

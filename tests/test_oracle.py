@@ -1,21 +1,13 @@
-"""Registered queries against their DuckDB oracle on the smallest fixture.
-
-Set FLEETLENS_FULL_ORACLE=1 to check every registered query (sf0.001);
-by default a representative subset of each family runs.
-"""
-import os
-
+"""Every registered query against its DuckDB oracle on the smallest tables."""
 import pytest
 
 import __spark_entry__ as E
+from fleetlens import registry
 from fleetlens.checks.compare import compare, duck
 from conftest import SF_SMALL
 
-SUBSET = ["telemetry_parse", "b1_avg_executors", "b11_max_concurrent", "b13_metrics", "b15_latest_status",
-          "b16_oom_latest", "b20_incarnations", "evolution_decisions", "zscore_cluster",
-          "span_segments", "address_peak"]
-
-NAMES = sorted(E.oracle_sql()) if os.environ.get("FLEETLENS_FULL_ORACLE") else SUBSET
+# the training-data queries have tests of their own in tests/llm
+NAMES = sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
