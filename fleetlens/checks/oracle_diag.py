@@ -82,14 +82,14 @@ MASTER_PROMOTION = "WITH " + ",\n".join([
          cluster_name IN (SELECT cluster_name FROM ref_x WHERE driver_exit_code = 247) AS has_promotion_tag
   FROM (SELECT cluster_name FROM cur_x UNION SELECT cluster_name FROM ref_x)),
 j AS (
-  SELECT m.*, c.eviction_count AS cur_n, r.eviction_count AS ref_n,
+  SELECT m.*, NULLIF(c.eviction_count, 0) AS cur_n, c.cluster_name IS NOT NULL AS cur_any, r.eviction_count AS ref_n,
          CASE WHEN lr.memory_gb IS NOT NULL AND lr.memory_gb >= lf.memory_gb THEN m.reference_master
               ELSE m.fresh_master END AS baseline_master
   FROM masters m
   LEFT JOIN ladder lr ON lr.machine_type = m.reference_master
   LEFT JOIN ladder lf ON lf.machine_type = m.fresh_master
-  LEFT JOIN (SELECT * FROM cur WHERE eviction_count > 0) c USING (cluster_name)
-  LEFT JOIN (SELECT * FROM ref WHERE eviction_count > 0) r USING (cluster_name)),
+  LEFT JOIN cur c USING (cluster_name)
+  LEFT JOIN ref r USING (cluster_name)),
 k AS (SELECT j.*, COALESCE(l.promoted, j.baseline_master) AS promoted FROM j
       LEFT JOIN ladder l ON l.machine_type = j.baseline_master)"""]) + """
 SELECT cluster_name, baseline_master,
@@ -100,9 +100,9 @@ SELECT cluster_name, baseline_master,
             ELSE 'Current-date b14 driver eviction (247). Promoted ' || baseline_master || ' -> ' || promoted END
          AS reason,
        CASE WHEN cur_n IS NOT NULL AND has_promotion_tag THEN 're-boost' WHEN cur_n IS NOT NULL THEN 'new'
-            WHEN has_promotion_tag THEN 'holding' END AS state,
+            WHEN has_promotion_tag AND NOT cur_any THEN 'holding' END AS state,
        COALESCE(ref_n, 0) AS reference_evictions, COALESCE(cur_n, 0) AS current_evictions
-FROM k WHERE cur_n IS NOT NULL OR has_promotion_tag"""
+FROM k WHERE cur_n IS NOT NULL OR (has_promotion_tag AND NOT cur_any)"""
 
 
 def diagnostics_sql() -> dict[str, str]:

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     cols = [c for c in columns if c != key]
@@ -83,8 +85,9 @@ def dense_index(values: DataFrame, col: str, partitions: int | None = None) -> D
     of the preceding partitions (one row per partition)."""
     spark = values.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
-    d = values.select(col).filter(F.col(col).isNotNull()).distinct().repartitionByRange(n, col) \
-        .withColumn("_pid", F.spark_partition_id())
+    # range bounds come from a sample: both uses below must see one and the same division
+    d = cut_lineage(values.select(col).filter(F.col(col).isNotNull()).distinct().repartitionByRange(n, col)
+                    .withColumn("_pid", F.spark_partition_id()))
     local = d.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
     sizes = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(

@@ -191,9 +191,9 @@ def heap_boost_single(configs: DataFrame, signals: DataFrame, factor: float = HE
 
 
 def cap_touching(signals: DataFrame, configs: DataFrame, ratio: float = SCALE_CAP_TOUCH_RATIO) -> DataFrame:
-    """T13 gate: p95 run-max executors / current maxExecutors >= ratio."""
-    _, mx = executor_counts()
-    c = configs.select(*KEYS, mx.alias("_max"))
+    """T13 gate: p95 run-max executors / dynamicAllocation.maxExecutors >= ratio; recipes without a positive maximum never pass."""
+    c = configs.select(*KEYS, opt("spark_opts", "spark.dynamicAllocation.maxExecutors").try_cast("int").alias("_max")) \
+        .filter(F.col("_max") > 0)
     return signals.join(c, KEYS).filter(F.col("p95_run_max_executors") / F.col("_max") >= ratio).drop("_max")
 
 

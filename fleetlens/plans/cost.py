@@ -66,9 +66,13 @@ def _pricing(spans: DataFrame, pricing: DataFrame | None, worker: str, master: s
         return spans.select("*", F.lit(price_of(worker)).alias("worker_hourly_eur"),
                             F.lit(price_of(master)).alias("master_hourly_eur"),
                             F.lit(float(fallback_workers)).alias("fallback_workers"))
-    return spans.join(pricing.select("cluster_name", "worker_hourly_eur", "master_hourly_eur",
-                                     F.col("fallback_workers").cast("double").alias("fallback_workers")),
-                      "cluster_name", "left")
+    priced = spans.join(pricing.select("cluster_name", "worker_hourly_eur", "master_hourly_eur",
+                                       F.col("fallback_workers").cast("double").alias("fallback_workers")),
+                        "cluster_name", "left")
+    # a cluster without a pricing row has the default shapes, not a cost of nothing
+    return priced.withColumns({"worker_hourly_eur": F.coalesce("worker_hourly_eur", F.lit(price_of(worker))),
+                               "master_hourly_eur": F.coalesce("master_hourly_eur", F.lit(price_of(master))),
+                               "fallback_workers": F.coalesce("fallback_workers", F.lit(float(fallback_workers)))})
 
 
 def span_segments(spans: DataFrame, events: DataFrame, pricing: DataFrame | None = None,

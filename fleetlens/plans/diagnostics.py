@@ -116,15 +116,17 @@ def master_promotions(spark: SparkSession, current: DataFrame, reference: DataFr
     ``masters``: (cluster_name, reference_master, fresh_master, has_promotion_tag).
     Baseline = the reference master when it has at least the fresh master's
     memory, else the fresh master; promoted by the ladder.  Reason names the
-    persistent case (reference window also evicted) with both counts.
+    persistent case (the reference window has any exit signal too) with both eviction counts.
     State: re-boost when the reference config carries a promotion tag, else new;
-    tagged clusters without a current signal are holding.
+    tagged clusters without any current exit signal are holding.
     """
     ladder = broadcast_bounded(promotion_ladder(spark), 200, "one row per catalogue shape")
     mem = ladder.select(F.col("machine_type").alias("_mt"), F.col("memory_gb").alias("_mem"))
-    cur = current.filter(F.col("eviction_count") > 0).select("cluster_name", F.col("eviction_count").alias("cur_n"))
-    ref = (reference.filter(F.col("eviction_count") > 0).select("cluster_name", F.col("eviction_count").alias("ref_n"))
-           if reference is not None else cur.limit(0).withColumnRenamed("cur_n", "ref_n"))
+    # any exit signal of a window counts for "persistent" and against "holding"; only evictions promote
+    cur = current.select("cluster_name", F.col("eviction_count").alias("_cur_any"),
+                         F.when(F.col("eviction_count") > 0, F.col("eviction_count")).alias("cur_n"))
+    ref = (reference.select("cluster_name", F.col("eviction_count").alias("ref_n"))
+           if reference is not None else cur.limit(0).select("cluster_name", F.col("cur_n").alias("ref_n")))
     m = (masters.join(mem.withColumnRenamed("_mt", "reference_master").withColumnRenamed("_mem", "_rm"),
                       "reference_master", "left")
          .join(mem.withColumnRenamed("_mt", "fresh_master").withColumnRenamed("_mem", "_fm"), "fresh_master", "left"))
@@ -142,7 +144,7 @@ def master_promotions(spark: SparkSession, current: DataFrame, reference: DataFr
                                       F.col("baseline_master"), F.lit(" -> "), promoted))
     state = (F.when(F.col("cur_n").isNotNull() & F.col("has_promotion_tag"), "re-boost")
              .when(F.col("cur_n").isNotNull(), "new")
-             .when(F.col("has_promotion_tag"), "holding"))
+             .when(F.col("has_promotion_tag") & F.col("_cur_any").isNull(), "holding"))
     out = j.select("cluster_name", "baseline_master",
                    F.when(F.col("cur_n").isNotNull(), promoted).alias("promoted_master"),
                    F.when(F.col("cur_n").isNotNull(), reason).alias("reason"),

@@ -109,8 +109,8 @@ def _fmt1(c: Column) -> Column:
     return F.format_string("%.1f", c)
 
 
-def evolution_decisions(trends: DataFrame, keep_historical: bool = True) -> DataFrame:
-    """T4: action and reason text per (cluster, recipe)."""
+def evolution_decisions(trends: DataFrame, keep_historical: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """T4: action and reason text per (cluster, recipe); ``keep`` names columns of ``trends`` to pass on."""
     top_is_cap = F.abs(F.col("cap_pct_change")) >= F.abs(F.col("p95_pct_change"))
     top_name = F.when(top_is_cap, F.lit("fraction_reaching_cap")).otherwise(F.lit("p95_job_duration_ms"))
     top_pct = F.when(top_is_cap, F.col("cap_pct_change")).otherwise(F.col("p95_pct_change"))
@@ -132,7 +132,8 @@ def evolution_decisions(trends: DataFrame, keep_historical: bool = True) -> Data
                                           F.lit("). Keeping reference config.")))
               .when(t == NEW_ENTRY, F.lit("New recipe not present in reference date. Generating fresh config."))
               .otherwise(F.lit(dropped_reason)))
-    return trends.select(*KEYS, "trend", "confidence", action.alias("action"), reason.alias("reason"))
+    return trends.select(*KEYS, "trend", "confidence", action.alias("action"), reason.alias("reason"),
+                         *[c for c in keep if c in trends.columns])
 
 
 def cluster_actions(decisions: DataFrame) -> DataFrame:
@@ -161,12 +162,11 @@ def trend_counts(trends: DataFrame) -> DataFrame:
                                        F.count_distinct("cluster_name").alias("clusters"))
 
 
-def trend_summary(trends: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The trend-summary report row (p95 ref/cur/pct, action, reason)."""
-    d = decisions.select(*KEYS, "action", "reason")
-    return trends.join(d, KEYS, "left").select(
-        *KEYS, "trend", "confidence", "action", "reason", "p95_duration_ref", "p95_duration_cur",
-        F.col("p95_pct_change").alias("p95_duration_pct_change"))
+def trend_summary(trends: DataFrame) -> DataFrame:
+    """The trend-summary report row (p95 ref/cur/pct, action, reason), a projection of ``trends``."""
+    d = evolution_decisions(trends, keep=("p95_duration_ref", "p95_duration_cur", "p95_pct_change"))
+    return d.select(*KEYS, "trend", "confidence", "action", "reason", "p95_duration_ref", "p95_duration_cur",
+                    F.col("p95_pct_change").alias("p95_duration_pct_change"))
 
 
 def cluster_active_minutes(metrics: DataFrame) -> DataFrame:

@@ -131,12 +131,10 @@ def _snapshot_queries() -> dict[str, Query]:
 
     def run_summary(s, d):
         from .sources.sinks import run_summary as summary
-        t = trends(s, d)
-        return summary(t, SN.evolution_decisions(t))
+        return summary(decisions(s, d))
 
     def trend_summary(s, d):
-        t = trends(s, d)
-        return SN.trend_summary(t, SN.evolution_decisions(t))
+        return SN.trend_summary(trends(s, d))
 
     def scatter(s, d):
         ref, cur = snapshot_metrics(s, d)

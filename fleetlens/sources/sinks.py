@@ -42,8 +42,9 @@ def config_documents(cluster_conf: DataFrame, recipe_configs: DataFrame,
     doc = c.join(recipes, "cluster_name", "left")
     parts = [F.col("clusterConf"), F.col("recipeSparkConf")]
     if cost_timeline is not None:
-        doc = doc.join(cost_timeline.select("cluster_name", F.from_json("cost_timeline", "map<string,string>")
-                                            .alias("cost_timeline")), "cluster_name", "left")
+        # parsed to a variant, so arrays and numbers stay what they are in the document
+        doc = doc.join(cost_timeline.select("cluster_name", F.parse_json("cost_timeline").alias("cost_timeline")),
+                       "cluster_name", "left")
         parts.append(F.col("cost_timeline"))
     suffix = "manually-tuned" if flavour == "manual" else "auto-scale-tuned"
     return doc.select("cluster_name", F.concat(F.col("cluster_name"), F.lit(f"-{suffix}.json")).alias("file_name"),
@@ -75,14 +76,13 @@ def runs_index(analysis_metadata: DataFrame) -> DataFrame:
     return analysis_metadata.orderBy(F.desc("current_date"), F.desc("dir"))
 
 
-def run_summary(trends: DataFrame, decisions: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
+def run_summary(decisions: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
     """K8: counts by trend, by action, and boost groups with new / holding counts,
     as one long table (section, label, count)."""
-    t = trends.groupBy("trend").count().select(F.lit("trend").alias("section"), F.col("trend").alias("label"),
-                                               F.col("count").alias("n"))
-    a = decisions.groupBy("action").count().select(F.lit("action").alias("section"), F.col("action").alias("label"),
-                                                   F.col("count").alias("n"))
-    out = t.unionByName(a)
+    # decisions carry the trend, so one pass counts both
+    both = F.array(F.struct(F.lit("trend").alias("section"), F.col("trend").alias("label")),
+                   F.struct(F.lit("action").alias("section"), F.col("action").alias("label")))
+    out = decisions.select(F.inline(both)).groupBy("section", "label").agg(F.count(F.lit(1)).alias("n"))
     if boosts is not None:
         b = boosts.groupBy("state").agg(F.count_distinct(*KEYS).alias("n")).select(
             F.lit("boost").alias("section"), F.col("state").alias("label"), "n")
