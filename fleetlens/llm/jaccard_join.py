@@ -45,7 +45,7 @@ WORDS = 5
 SHARE, SHARE_OF = 75, 100
 EPS = 1 - SHARE / SHARE_OF
 #: Classes per cell that one task joins.
-CELL = 4_096
+CELL = 1_024
 PIVOTS = 6
 #: Word hashes a worker keeps (about 40 MB).
 MAX_CACHED_WORDS = 200_000
