@@ -46,19 +46,18 @@ def bucketed_lead(df: DataFrame, part: Sequence[str], bucket: str,
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
     w_in = Window.partitionBy(*part, bucket).orderBy(*[F.col(c) for c in order])
-    with_in = df.select("*", *[F.lead(v).over(w_in).alias(f"_lead_in{i}") for i, v in enumerate(values)],
-                        F.lead(F.lit(1)).over(w_in).alias("_has_next"))
-    firsts = df.groupBy(*part, bucket).agg(
-        F.min_by(F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]),
-                 F.struct(*[F.col(c) for c in order])).alias("_first"))
-    w_next = Window.partitionBy(*part).orderBy(bucket)
-    carry = firsts.select(*part, bucket, F.lead("_first").over(w_next).alias("_next_first"))
-    joined = with_in.join(carry, on=[*part, bucket], how="left")
-    same_bucket = F.col("_has_next").isNotNull()
-    return joined.select(
-        *[c for c in df.columns],
-        *[F.when(same_bucket, F.col(f"_lead_in{i}")).otherwise(F.col(f"_next_first.v{i}")).alias(o)
-          for i, o in enumerate(outs)])
+    whole = w_in.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    d = df.select("*", F.lead(row).over(w_in).alias("_next"), F.first(row).over(whole).alias("_first"))
+    # the last row of each bucket looks up the next bucket's first: these rows (one per part and
+    # bucket) form one window partition per part, all others stay in their bucket's; the input is
+    # computed once
+    d = d.withColumn("_last", F.col("_next").isNull())
+    d = d.withColumn("_place", F.when(F.col("_last"), F.lit(None).cast("long")).otherwise(F.col(bucket).cast("long")))
+    w_next = Window.partitionBy(*part, "_last", "_place").orderBy(bucket)
+    d = d.withColumn("_after", F.lead("_first").over(w_next))
+    found = F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))
+    return d.select(*df.columns, *[found[f"v{i}"].alias(o) for i, o in enumerate(outs)])
 
 
 _COMBINE = {
