@@ -18,7 +18,10 @@ Rules (fixed values of the binding, shared with the oracle SQL):
   lifecycle cluster = 'fleet-' || user_id ; signup = CreateCluster,
                       error = DeleteCluster, other events = other cluster logs
   autoscaler        = purchase -> RECOMMENDING (current k%8+2, target k%10+2,
-                      NULL when k%9 = 0, bounds 2..11); view -> COOLDOWN
+                      NULL when k%9 = 0, bounds 2..11); view -> COOLDOWN; clusters of
+                      users divisible by 17 are pools ('pool-' || user_id) without audit logs
+  home cluster      = a fleet's or pool's executor cluster: its user id % 7
+  DAG and timer     = one per region: of cluster r_regionkey, of cluster r_regionkey + 2
   driver logs       = error events, message kind by k % 5
   exit-code logs    = error events, message kind by (k div 5) % 5
   status logs       = purchase events, STATUS by k % 3
@@ -72,6 +75,28 @@ def lifecycle_cluster(user_id: Column) -> Column:
     return F.concat(F.lit("fleet-"), user_id.cast("string"))
 
 
+def autoscaled_cluster(user_id: Column) -> Column:
+    return F.concat(F.when(user_id % 17 == 0, "pool-").otherwise("fleet-"), user_id.cast("string"))
+
+
+def at_home(by_span: DataFrame) -> DataFrame:
+    """Spans or segments of fleets and pools as those of the executor cluster they serve."""
+    owner = F.regexp_extract("cluster_name", r"(\d+)$", 1).cast("long")
+    return by_span.withColumns({"incarnation_idx": F.concat_ws("/", "cluster_name", "incarnation_idx"),
+                                "cluster_name": executor_cluster(owner)})
+
+
+def dag_map(region: DataFrame) -> DataFrame:
+    return region.select(F.concat(F.lit("cluster-"), "r_regionkey").alias("cluster_name"),
+                         F.concat(F.lit("dag_"), F.lower("r_name")).alias("dag_id"))
+
+
+def timer_map(region: DataFrame) -> DataFrame:
+    return region.select(F.concat(F.lit("cluster-"), F.col("r_regionkey") + 2).alias("cluster_name"),
+                         F.concat(F.lit("timer_"), F.lower("r_name")).alias("timer_name"),
+                         F.concat(F.lit("0"), "r_regionkey", F.lit(":30")).alias("timer_time"))
+
+
 def typed_events(events: DataFrame) -> DataFrame:
     """``events`` with a zoned TIMESTAMP (session zone UTC) and ``k``."""
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
@@ -304,7 +329,7 @@ def autoscaler_logs(events: DataFrame) -> DataFrame:
                                  F.when(rec, recommendation).alias("recommendation")))
     return e.select(*_record(
         F.col("ts"), F.col("event_id"), F.lit("INFO"), AUTOSCALER_LOG, RT_CLUSTER,
-        _labels(cluster_name=lifecycle_cluster(F.col("user_id"))), json_payload=payload))
+        _labels(cluster_name=autoscaled_cluster(F.col("user_id"))), json_payload=payload))
 
 
 def raw_logs(events: DataFrame) -> DataFrame:

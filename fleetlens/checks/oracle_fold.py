@@ -1,5 +1,5 @@
 """Oracle SQL for the quota fold (P7) as a recursive CTE, and the roll-ups of
-the plans it produces.  The Spark side is a pandas fold per scenario; here the
+the plans it produces.  The Spark side is a fold over compact rows per scenario; here the
 same admission rule runs one cluster per recursion step: the candidate order
 (pool tier, score + quota pressure, family priority, catalogue order) picks
 within quota first, then within the hard constraints, then anything.
@@ -7,22 +7,13 @@ within quota first, then within the hard constraints, then anything.
 
 from __future__ import annotations
 
-from ..plans.sizing import QUOTAS
-from .oracle_sizing import CANDIDATE_SCORES
+from .oracle_cost import COST_CTES
+from .oracle_sizing import STRATEGY_RULES, candidate_ctes, score
 
-body = CANDIDATE_SCORES[:CANDIDATE_SCORES.rindex("\nSELECT cluster_name, machine_type, ROUND(demand")]
+# Cores per machine family that one scenario may use.
+QUOTAS = {"e2": 5000, "n2": 5000, "n2d": 3000, "c3": 500, "c4": 500, "n4": 500, "n4d": 500}
 q = QUOTAS
-scored = """,
-scored AS (
-  SELECT cluster_name, demand, catalog_idx, machine_type, family, cores, family_priority,
-         CAST(executors_per_worker AS INTEGER) AS executors_per_worker, workers,
-         0.4 * (hourly_cost - cmin) / GREATEST(1e-9, cmax - cmin)
-         + 0.3 * (workers - wmin) / GREATEST(1e-9, CAST(wmax - wmin AS DOUBLE))
-         - 0.5 * core_sufficiency - 0.3 * utilization
-         + CASE WHEN capacity_shortfall > 0 THEN 100.0 * (capacity_shortfall / req_slots) ELSE 0.0 END
-         + CASE WHEN oversize_ratio > 1.5 THEN 0.2 * (oversize_ratio - 1.5) ELSE 0.0 END
-         + CASE WHEN cores = 32 THEN -0.10 ELSE 0.0 END AS base_score
-  FROM ev4),
+admission = """,
 ord AS (SELECT cluster_name, ROW_NUMBER() OVER (ORDER BY demand DESC, cluster_name) AS n
         FROM (SELECT DISTINCT cluster_name, demand FROM scored)),
 cand_n AS (SELECT s.*, o.n FROM scored s JOIN ord o USING (cluster_name)),
@@ -60,11 +51,19 @@ fold AS (
     ORDER BY tier, score, family_priority, catalog_idx LIMIT 1) p
   WHERE f.step < (SELECT MAX(n) FROM ord))"""
 for k, v in {"QE2": q["e2"], "QN2D": q["n2d"], "QN2": q["n2"], "QC3": q["c3"], "QC4": q["c4"]}.items():
-    scored = scored.replace(k, f"{float(v)}")
+    admission = admission.replace(k, f"{float(v)}")
+
 
-FOLD = "WITH RECURSIVE " + body[len("WITH "):] + scored + """,
+def fold(strategy: str) -> str:
+    rule = STRATEGY_RULES[strategy]
+    return f"""WITH RECURSIVE {candidate_ctes(rule)},
+scored AS (
+  SELECT cluster_name, demand, catalog_idx, machine_type, family, cores, family_priority,
+         CAST(executors_per_worker AS INTEGER) AS executors_per_worker, workers,
+         {score(rule)} AS base_score
+  FROM ev4){admission},
 plans AS (
-  SELECT 'default' AS scenario, CAST(step - 1 AS INTEGER) AS plan_order, cluster_name,
+  SELECT '{strategy}' AS scenario, CAST(step - 1 AS INTEGER) AS plan_order, cluster_name,
          machine_type AS worker_machine_type, machine_type AS master_machine_type, workers,
          executors_per_worker, workers * executors_per_worker AS max_executors_supported, score, pool,
          CAST(split_part(machine_type, '-', 3) AS INTEGER) AS cores, split_part(machine_type, '-', 1) AS family
@@ -73,9 +72,23 @@ ceil_w AS (SELECT *, CASE WHEN workers <= 4 THEN 4 WHEN workers <= 6 THEN 6 WHEN
                           WHEN workers <= 10 THEN 10 ELSE workers END AS ceiling FROM plans)
 """
 
-CLUSTER_PLAN = FOLD + """SELECT scenario, plan_order, cluster_name, worker_machine_type, master_machine_type, workers,
+
+FOLD = fold("default")
+
+
+def cluster_plan(strategy: str) -> str:
+    return fold(strategy) + """SELECT scenario, plan_order, cluster_name, worker_machine_type, master_machine_type, workers,
   executors_per_worker, max_executors_supported, ROUND(score, 6) AS score, pool FROM plans"""
 
+
+CLUSTER_PLAN = cluster_plan("default")
+STRATEGY_PLANS = "\nUNION ALL\n".join(f"SELECT * FROM ({cluster_plan(name)})" for name in STRATEGY_RULES)
+
+GENERATION_ENTRIES = FOLD + """SELECT scenario, cluster_name, worker_machine_type, family AS worker_family,
+  workers AS num_workers, ceiling AS max_workers_from_policy, workers * cores AS total_cores,
+  ceiling * cores AS max_total_cores, 'cost_performance_balance' AS bias_mode, '8cx1GBpc' AS topology
+FROM ceil_w"""
+
 MACHINE_ROLLUP = FOLD + """SELECT worker_machine_type AS machine_type, SUM(workers) AS estimated_max_no_of_workers,
   SUM(workers) * MAX(cores) AS estimated_max_no_of_cores, SUM(ceiling) AS real_max_no_of_workers,
   SUM(ceiling) * MAX(cores) AS real_max_no_of_cores,
@@ -128,12 +141,29 @@ SELECT cluster_name, recipe_filename, mn AS min_executors, mx AS max_executors,
   8 AS spark_executor_cores, exec_mem AS spark_executor_memory_gb, mn > mx AS min_exceeds_max
 FROM d3"""
 
-CLUSTER_SUMMARY = FOLD + """, jobs AS (SELECT cluster_name, COUNT(*) AS no_of_jobs FROM b13 GROUP BY cluster_name)
-SELECT p.cluster_name, 'UNKNOWN_DAG_ID' AS dag_id, COALESCE(j.no_of_jobs, 0) AS no_of_jobs,
+CLUSTER_SUMMARY = FOLD + ", homes AS (WITH " + ",\n".join(COST_CTES) + """
+  SELECT 'cluster-' || (CAST(regexp_extract(cluster_name, '[0-9]+$') AS BIGINT) % 7) AS cluster_name,
+         SUM(span_minutes) AS minutes, SUM(total_cost_eur) AS cost, MAX(least_w) AS least_w, MAX(most_w) AS most_w,
+         SUM(ws) / NULLIF(SUM(secs), 0) AS mean_w
+  FROM (SELECT i.cluster_name, i.incarnation_idx, ANY_VALUE(i.span_minutes) AS span_minutes,
+               ANY_VALUE(i.total_cost_eur) AS total_cost_eur, MIN(g.workers) AS least_w, MAX(g.workers) AS most_w,
+               SUM(g.workers * g.seg_seconds) AS ws, SUM(g.seg_seconds) AS secs
+        FROM inc i LEFT JOIN seg2 g ON g.cluster_name = i.cluster_name AND g.incarnation_idx = i.incarnation_idx
+        GROUP BY i.cluster_name, i.incarnation_idx)
+  GROUP BY 1),
+jobs AS (SELECT cluster_name, COUNT(*) AS no_of_jobs FROM b13 GROUP BY cluster_name),
+dags AS (SELECT 'cluster-' || r_regionkey AS cluster_name, 'dag_' || lower(r_name) AS dag_id FROM region),
+timers AS (SELECT 'cluster-' || (r_regionkey + 2) AS cluster_name, 'timer_' || lower(r_name) AS timer_name,
+                  '0' || r_regionkey || ':30' AS timer_time FROM region)
+SELECT p.cluster_name, COALESCE(d.dag_id, 'UNKNOWN_DAG_ID') AS dag_id, COALESCE(j.no_of_jobs, 0) AS no_of_jobs,
   p.workers AS num_of_workers, p.worker_machine_type, p.master_machine_type,
-  0.0 AS real_used_avg_num_of_workers, 0 AS real_used_min_workers, 0 AS real_used_max_workers,
-  0.0 AS total_active_minutes, 0.0 AS estimated_cost_eur, 'ZERO_TIMER' AS timer_name, '00:00' AS timer_time
-FROM plans p LEFT JOIN jobs j USING (cluster_name)"""
+  ROUND(COALESCE(h.mean_w, 0.0), 6) AS real_used_avg_num_of_workers,
+  COALESCE(CAST(h.least_w AS INTEGER), 0) AS real_used_min_workers,
+  COALESCE(CAST(h.most_w AS INTEGER), 0) AS real_used_max_workers,
+  ROUND(COALESCE(h.minutes, 0.0), 6) AS total_active_minutes, ROUND(COALESCE(h.cost, 0.0), 6) AS estimated_cost_eur,
+  COALESCE(t.timer_name, 'ZERO_TIMER') AS timer_name, COALESCE(t.timer_time, '00:00') AS timer_time
+FROM plans p LEFT JOIN homes h USING (cluster_name) LEFT JOIN jobs j USING (cluster_name)
+LEFT JOIN dags d USING (cluster_name) LEFT JOIN timers t USING (cluster_name)"""
 
 CLUSTER_CONFIG = PLAN_RECIPES + """, man AS (
   SELECT cluster_name,
@@ -151,6 +181,7 @@ FROM plans p JOIN cand c ON c.machine_type = p.worker_machine_type LEFT JOIN acc
 
 
 def fold_sql() -> dict[str, str]:
-    return {"cluster_plan": CLUSTER_PLAN, "machine_rollup": MACHINE_ROLLUP, "quota_usage": QUOTA_USAGE,
+    return {"cluster_plan": CLUSTER_PLAN, "strategy_plans": STRATEGY_PLANS, "generation_entries": GENERATION_ENTRIES,
+            "machine_rollup": MACHINE_ROLLUP, "quota_usage": QUOTA_USAGE,
             "generation_totals": GENERATION_TOTALS, "manual_plan": MANUAL_PLAN, "da_plan": DA_PLAN,
             "cluster_summary_sorted": CLUSTER_SUMMARY, "cluster_config": CLUSTER_CONFIG}

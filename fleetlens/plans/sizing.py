@@ -5,22 +5,25 @@ Flow (one scenario = one strategy over one metric snapshot):
   metrics (b13) --groupBy cluster--> demand (P4)
   demand x 23 candidate shapes (explode of the fixed, filtered catalogue)
       --> candidate evaluation + min-max normalised score (P5, P6)   [distributed]
-  scored candidates --applyInPandas per scenario--> quota fold (P7)   [ordered]
+  scored candidates --one compact row per cluster--> quota fold (P7)  [ordered, one task per scenario]
   plan x recipe metrics --> manual plan (P9), DA plan (P10), roll-ups (P11, P12)
 
 P7 is the only ordered step: the pick for one cluster changes the quota
-pressure seen by the next (clusters in demand order).  It receives only the
-pre-scored candidate rows -- 23 per cluster, one row group per scenario, so
-its size follows the number of clusters in the fleet, never the log volume --
-and scenarios (strategy x topology x date) run in parallel.
+pressure seen by the next (clusters in demand order).  It receives one row per
+cluster with the candidates that can win (at most 23, mostly a handful), so a
+group's size follows the number of clusters that share one quota, never the log
+volume, and scenarios (each a quota pool of its own) run in parallel.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from collections import defaultdict
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,11 +212,10 @@ def candidate_scores(metrics: DataFrame, s: Strategy = STRATEGIES["default"]) ->
         (base_cost + penalty).alias("hourly_cost"),
         (total_cores / F.greatest(F.lit(1.0), desired)).alias("oversize_ratio"),
     ).withColumn("capacity_shortfall", F.greatest(F.lit(0.0), F.col("req_slots") - F.col("capacity_slots")))
-    # Min-max normalisation across the 23 candidates of a cluster (a bounded group)
-    rng = d.groupBy("cluster_name").agg(
-        F.min("hourly_cost").alias("_cmin"), F.max("hourly_cost").alias("_cmax"),
-        F.min("workers").alias("_wmin"), F.max("workers").alias("_wmax"))
-    d = d.join(rng, "cluster_name")
+    # Min-max normalisation across the 23 candidates of a cluster; the rows already lie by cluster
+    same = Window.partitionBy("cluster_name")
+    d = d.withColumns({"_cmin": F.min("hourly_cost").over(same), "_cmax": F.max("hourly_cost").over(same),
+                       "_wmin": F.min("workers").over(same), "_wmax": F.max("workers").over(same)})
     cost_norm = (F.col("hourly_cost") - F.col("_cmin")) / F.greatest(F.lit(1e-9), F.col("_cmax") - F.col("_cmin"))
     workers_norm = (F.col("workers") - F.col("_wmin")) / F.greatest(F.lit(1e-9), (F.col("_wmax") - F.col("_wmin")).cast("double"))
     cap_pen = F.when(F.col("capacity_shortfall") > 0, 100.0 * (F.col("capacity_shortfall") / F.col("req_slots"))) \
@@ -231,7 +233,10 @@ def candidate_scores(metrics: DataFrame, s: Strategy = STRATEGIES["default"]) ->
 
 
 # ---------------------------------------------------------------------------------
-# The quota fold (ordered), one pandas group per scenario.
+# The quota fold.  The pick for one cluster changes the pressure on the next, so it is ordered by nature.
+# Its group is one quota pool (scenario): one row per cluster with the few candidates that can win.
+
+POOLS = ("within_quota", "hard_constraints", "all")
 
 PLAN_SCHEMA = T.StructType([
     T.StructField("scenario", T.StringType()), T.StructField("plan_order", T.IntegerType()),
@@ -242,54 +247,75 @@ PLAN_SCHEMA = T.StructType([
 ])
 
 
-def _quota_fold(quotas: dict, by: str):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = {f: 0 for f in quotas}
-        c3 = c4 = 0
-        order = pdf[["cluster_name", "demand"]].drop_duplicates()
-        if by == "name":
-            order = order.sort_values("cluster_name")
-        else:
-            order = order.sort_values(["demand", "cluster_name"], ascending=[False, True])
-        groups = {k: g for k, g in pdf.groupby("cluster_name", sort=False)}
+def _quota_fold(quotas: dict[str, dict], by: str):
+    """The fold over one row per cluster; ``quotas``: family quotas per scenario."""
+    keys, ascending = (["cluster_name"], [True]) if by == "name" else (["demand", "cluster_name"], [False, True])
+    most_clusters = {"c3": C3_MAX_CLUSTERS, "c4": C4_MAX_CLUSTERS}
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        limit = quotas[key[0]]
+        used, clusters = defaultdict(int), defaultdict(int)
+
+        def rank(c: dict) -> tuple:
+            family, quota = c["family"], limit.get(c["family"], 0)
+            blocked = clusters[family] >= most_clusters.get(family, math.inf)
+            fits = quota == 0 or used[family] + c["total_cores"] <= quota
+            pressure = used[family] / quota if quota > 0 else 0.0
+            return (2 if blocked else 0 if fits else 1, c["base_score"] + FAMILY_PRIORITY_WEIGHT * pressure,
+                    c["family_priority"], c["catalog_idx"])
+
         out = []
-        for n, cluster in enumerate(order["cluster_name"]):
-            g = groups[cluster].sort_values("catalog_idx")
-            fam = g["family"]
-            quota = fam.map(lambda f: quotas.get(f, 0))
-            pressure = fam.map(lambda f: used.get(f, 0) / quotas[f] if quotas.get(f, 0) > 0 else 0.0)
-            score = g["base_score"] + FAMILY_PRIORITY_WEIGHT * pressure
-            hard = ((fam == "c3") & (c3 >= C3_MAX_CLUSTERS)) | ((fam == "c4") & (c4 >= C4_MAX_CLUSTERS))
-            projected = fam.map(lambda f: used.get(f, 0)) + g["cores"] * g["workers"]
-            soft = ~hard & ((quota == 0) | (projected <= quota))
-            if soft.any():
-                pool, name = soft, "within_quota"
-            elif (~hard).any():
-                pool, name = ~hard, "hard_constraints"
-            else:
-                pool, name = pd.Series(True, index=g.index), "all"
-            cand = g[pool].assign(_score=score[pool])
-            best = cand.sort_values(["_score", "family_priority", "catalog_idx"], kind="mergesort").iloc[0]
-            f = best["family"]
-            used[f] = used.get(f, 0) + int(best["cores"]) * int(best["workers"])
-            c3 += f == "c3"
-            c4 += f == "c4"
-            out.append((best["scenario"], n, cluster, best["machine_type"], best["machine_type"],
-                        int(best["workers"]), int(best["executors_per_worker"]),
-                        int(best["workers"]) * int(best["executors_per_worker"]), float(best["_score"]), name))
+        for n, row in enumerate(pdf.sort_values(keys, ascending=ascending).itertuples(index=False)):
+            best = min(row.candidates, key=rank)
+            tier, score, *_ = rank(best)
+            used[best["family"]] += best["total_cores"]
+            clusters[best["family"]] += 1
+            out.append((key[0], n, row.cluster_name, best["machine_type"], best["machine_type"], best["workers"],
+                        best["executors_per_worker"], best["workers"] * best["executors_per_worker"], score, POOLS[tier]))
         return pd.DataFrame(out, columns=[f.name for f in PLAN_SCHEMA.fields])
+
     return fold
 
 
+def possible_winners(scored: DataFrame) -> DataFrame:
+    """One row per (scenario, cluster) with the candidates that can win, whatever was admitted before.
+
+    Pressure, quota and blocking are the same within a family, so a candidate that another one of its
+    family beats in score and order, with no more cores, never wins.
+    """
+    c = scored.groupBy("scenario", "cluster_name").agg(
+        F.max("demand").alias("demand"),
+        F.collect_list(F.struct("family", "machine_type", "catalog_idx", "family_priority", "executors_per_worker",
+                                "workers", "total_cores", "base_score")).alias("candidates"))  # 23 shapes at most
+
+    def beats(y: Column, x: Column) -> Column:
+        return ((y["family"] == x["family"]) & (y["total_cores"] <= x["total_cores"])
+                & (y["base_score"] <= x["base_score"]) & (y["catalog_idx"] < x["catalog_idx"])) | (
+            (y["family"] == x["family"]) & (y["total_cores"] <= x["total_cores"]) & (y["base_score"] < x["base_score"] - 1e-9))
+
+    return c.withColumn("candidates", F.filter(
+        "candidates", lambda x: ~F.exists("candidates", lambda y: beats(y, x))))
+
+
+def fold_scenarios(scored: DataFrame, strategies: dict[str, Strategy], order: str = "demand") -> DataFrame:
+    """P7 for several scenarios (column ``scenario``), each with quotas of its own and a task of its own."""
+    fold = _quota_fold({name: dict(s.quotas) for name, s in strategies.items()}, order)
+    return possible_winners(scored).groupBy("scenario").applyInPandas(fold, schema=PLAN_SCHEMA)
+
+
 def cluster_plans(scored: DataFrame, s: Strategy = STRATEGIES["default"], scenario: str | None = None,
                   order: str = "demand") -> DataFrame:
     """Quota admission (within quota -> not hard-blocked -> all); arg-min of
     (score + pressure, family priority, catalogue order).  ``order``: ``demand``
     (single-snapshot tuner, most demanding first) or ``name`` (comparison run)."""
-    cols = ["cluster_name", "demand", "catalog_idx", "machine_type", "family", "cores", "family_priority",
-            "executors_per_worker", "workers", "base_score"]
-    tagged = scored.select(F.lit(scenario or s.name).alias("scenario"), *cols)
-    return tagged.groupBy("scenario").applyInPandas(_quota_fold(s.quotas, order), schema=PLAN_SCHEMA)
+    name = scenario or s.name
+    return fold_scenarios(scored.withColumn("scenario", F.lit(name)), {name: s}, order)
+
+
+def strategy_plans(metrics: DataFrame, strategies: dict[str, Strategy] = STRATEGIES) -> DataFrame:
+    """P7 + P13: the plans of every strategy over the same metrics."""
+    scored = [candidate_scores(metrics, s).withColumn("scenario", F.lit(name)) for name, s in strategies.items()]
+    return fold_scenarios(functools.reduce(DataFrame.unionByName, scored), strategies)
 
 
 # ---------------------------------------------------------------------------------
@@ -414,15 +440,17 @@ def quota_usage(plans: DataFrame, s: Strategy = STRATEGIES["default"]) -> DataFr
                     .otherwise(0.0).alias("pct_used")))
 
 
-def generation_summary(plans: DataFrame, signals: DataFrame | None = None) -> DataFrame:
-    """P14 entries: shape, ceiling, cores, diagnostic descriptions per cluster."""
+def generation_summary(plans: DataFrame, s: Strategy = STRATEGIES["default"],
+                       signals: DataFrame | None = None) -> DataFrame:
+    """K5 / P14 entries: shape, ceiling, cores, bias mode, topology, diagnostic descriptions per cluster."""
     p = _with_worker_shape(plans)
     ceiling = max_workers_for_cluster(F.col("workers"))
     out = p.select("cluster_name", "worker_machine_type",
                    F.split_part("worker_machine_type", F.lit("-"), F.lit(1)).alias("worker_family"),
                    F.col("workers").alias("num_workers"), ceiling.alias("max_workers_from_policy"),
                    (F.col("workers") * F.col("worker_cores")).alias("total_cores"),
-                   (ceiling * F.col("worker_cores")).alias("max_total_cores"), "scenario")
+                   (ceiling * F.col("worker_cores")).alias("max_total_cores"), "scenario",
+                   F.lit(s.bias).alias("bias_mode"), F.lit(s.topology).alias("topology"))
     if signals is not None:
         d = signals.select("cluster_name", F.filter(F.array("eviction_description", "pattern_description"),
                                                    lambda x: x.isNotNull()).alias("diagnostic_signals"))

@@ -182,12 +182,13 @@ def fleet_spans_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return cut_lineage(spans), cut_lineage(events)
 
 
-def _cost_queries() -> dict[str, Query]:
-    def spans_and_segments(s, d):
-        spans, events = fleet_spans_events(s, d)
-        all_spans = CO.with_synthetic(spans, events)
-        return all_spans, CO.span_segments(all_spans, events)
+def spans_and_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    spans, events = fleet_spans_events(spark, sf_dir)
+    all_spans = CO.with_synthetic(spans, events)
+    return all_spans, CO.span_segments(all_spans, events)
+
 
+def _cost_queries() -> dict[str, Query]:
     def segments(s, d):
         return spans_and_segments(s, d)[1]
 
@@ -251,13 +252,19 @@ def _sizing_queries() -> dict[str, Query]:
 
     def summary(s, d):
         m, plans = fleet_plans(s, d)
-        return SZ.summary_report(SZ.cluster_summary(plans, m), "by_cost")
+        spans, segments = (cut_lineage(B.at_home(x)) for x in spans_and_segments(s, d))
+        region = B.table(s, d, "region")
+        return SZ.summary_report(SZ.cluster_summary(
+            plans, m, CO.cluster_cost(spans, segments), CO.worker_stats(segments),
+            B.dag_map(region), B.timer_map(region)), "by_cost")
 
     return {
         "candidate_scores": lambda s, d: SZ.candidate_scores(fleet_metrics(s, d)).select(
             "cluster_name", "machine_type", "demand", "req_slots", "executors_per_worker", "workers",
             "capacity_slots", "total_cores", "core_sufficiency", "utilization", "hourly_cost", "base_score"),
         "cluster_plan": lambda s, d: fleet_plans(s, d)[1],
+        "strategy_plans": lambda s, d: SZ.strategy_plans(fleet_metrics(s, d)),
+        "generation_entries": lambda s, d: SZ.generation_summary(fleet_plans(s, d)[1]),
         "manual_plan": lambda s, d: SZ.manual_plans(*fleet_plans(s, d)[::-1], SZ.STRATEGIES["default"]),
         "da_plan": lambda s, d: SZ.da_plans(*fleet_plans(s, d)[::-1], SZ.STRATEGIES["default"]),
         "cluster_config": config,
