@@ -397,17 +397,36 @@ def is_current(ts: Column | str) -> Column:
     return F.col(ts) >= F.to_timestamp(F.lit(SNAPSHOT_BOUNDARY)) if isinstance(ts, str) else ts >= F.to_timestamp(F.lit(SNAPSHOT_BOUNDARY))
 
 
+#: Residues (user id % 7) whose users share recipes, per window: busy in both, in the first, in the second.
+SHARED_RECIPES = {"reference": (1, 5, 2), "current": (1, 5, 3)}
+
+
+def with_scale_tags(configs: DataFrame, touching: DataFrame) -> DataFrame:
+    """Deployed configs of recipes that touched their ceiling carry the scale tag of the run before."""
+    keys = ["cluster_name", "recipe_filename"]
+    tags = touching.select(*keys).distinct().withColumn("_t", F.lit(True))
+    tag = F.create_map(F.lit("appliedExecutorScaleFactor"), F.lit("1.5"))
+    return (configs.join(tags, keys, "left")
+            .withColumn("extra", F.when(F.col("_t"), F.map_concat("extra", tag)).otherwise(F.col("extra"))).drop("_t"))
+
+
 def snapshot_events(events: DataFrame, which: str) -> DataFrame:
     """The events of one comparison window, every one of them.
 
+    Some users share a recipe: in every 20 ids of a cluster with a residue of
+    ``SHARED_RECIPES``, the second to sixth run the recipe of the first, whose runs become
+    long ones (the scale signals).
+
     Some recipes go by another name in one window, which makes paired, new and dropped
     recipes: users divisible by 11 are renamed in the reference window (id + 7,000,000),
     those divisible by 13 in the current one (id + 14,000,000); both offsets keep the
     user's cluster.
     """
-    uid = F.col("user_id")
-    if which == "reference":
-        return events.filter(~is_current("ts")).withColumn("user_id", F.when(uid % 11 == 0, uid + 7_000_000).otherwise(uid))
-    if which == "current":
-        return events.filter(is_current("ts")).withColumn("user_id", F.when(uid % 13 == 0, uid + 14_000_000).otherwise(uid))
-    raise ValueError(which)
+    uid, place = F.col("user_id"), F.floor(F.col("user_id") / 7) % 20
+    if which not in SHARED_RECIPES:
+        raise ValueError(which)
+    retired, offset = (11, 7_000_000) if which == "reference" else (13, 14_000_000)
+    named = (F.when(place.between(1, 5) & (uid % 7).isin(*SHARED_RECIPES[which]), uid - 7 * place)
+             .when(uid % retired == 0, uid + offset).otherwise(uid))
+    inside = is_current("ts") if which == "current" else ~is_current("ts")
+    return events.filter(inside).withColumn("user_id", named)

@@ -103,31 +103,32 @@ SELECT cluster_name, recipe_filename,
 FROM j"""
 
 
+def _touching(p: str, other: str) -> str:
+    """{p}touch: dynamic recipes of both windows, long-running in window p and at half their ceiling or more."""
+    return f"""{p}dur AS (
+  SELECT cluster_name, recipe_filename, p95_run_max_executors AS peak, unnest(['avg', 'p95']) AS what,
+         unnest([avg_job_duration_ms, p95_job_duration_ms]) AS v FROM {p}m),
+{p}far AS (
+  SELECT *, (v - AVG(v) OVER w) / NULLIF(STDDEV_POP(v) OVER w, 0) AS far FROM {p}dur WINDOW w AS (PARTITION BY what)),
+{p}touch AS (
+  SELECT DISTINCT d.cluster_name, d.recipe_filename
+  FROM {p}far d JOIN {other}m o USING (cluster_name, recipe_filename) JOIN cfg c USING (cluster_name, recipe_filename)
+  WHERE d.far >= 3 AND NOT c.manual AND d.peak / c.mx >= 0.5)"""
+
+
+SCALE_BOOST_STATE = "WITH " + ",\n".join([*CTES, snapshot_ctes("c_"), _touching("r_", "c_"), _touching("c_", "r_")]) + """
+SELECT c.cluster_name, c.recipe_filename, c.mx AS original_max_executors,
+       CAST(CASE WHEN now.cluster_name IS NULL THEN c.mx ELSE GREATEST(c.mx + 1, CEIL(c.mx * 1.5)) END AS INTEGER)
+         AS boosted_max_executors,
+       1.5 AS boost_factor,
+       CASE WHEN old.cluster_name IS NOT NULL AND now.cluster_name IS NOT NULL THEN 2.25 ELSE 1.5 END AS cumulative_factor,
+       CASE WHEN now.cluster_name IS NULL THEN 'holding' WHEN old.cluster_name IS NULL THEN 'new' ELSE 're-boost' END AS state
+FROM cfg c LEFT JOIN r_touch old USING (cluster_name, recipe_filename)
+LEFT JOIN c_touch now USING (cluster_name, recipe_filename)
+WHERE old.cluster_name IS NOT NULL OR now.cluster_name IS NOT NULL"""
+
+
 def boost_sql() -> dict[str, str]:
     return {"heap_boost_state": HEAP_BOOST_STATE, "heap_boost_counters": HEAP_BOOST_COUNTERS,
             "signal_resolution": SIGNAL_RESOLUTION, "boosted_configs": BOOSTED_CONFIGS,
             "scale_boost_state": SCALE_BOOST_STATE}
-
-
-def _scale_sql() -> str:
-    from .oracle_snapshots import CUR_LONG, CURRENT_CTE
-    c_tmpl = snapshot_ctes("c_")
-    return "WITH " + ",\n".join([*CTES, c_tmpl, CURRENT_CTE, CUR_LONG, """st AS (
-  SELECT metric_name, AVG(v) AS mean, STDDEV_POP(v) AS sd FROM long
-  GROUP BY metric_name HAVING COUNT(*) >= 2 AND STDDEV_POP(v) <> 0),
-z AS (SELECT l.*, (l.v - s.mean) / s.sd AS z_score FROM long l JOIN st s ON l.metric_name = s.metric_name),
-ss AS (
-  SELECT z.cluster_name, z.recipe_filename, cv.p95_run_max_executors FROM z JOIN cv USING (cluster_name, recipe_filename)
-  WHERE ABS(z.z_score) >= 2.0 AND NOT z.is_new_entry
-    AND z.metric_name IN ('avg_job_duration_ms', 'p95_job_duration_ms') AND z.z_score >= 3.0),
-gated AS (
-  SELECT DISTINCT ss.cluster_name, ss.recipe_filename FROM ss JOIN cfg c USING (cluster_name, recipe_filename)
-  WHERE ss.p95_run_max_executors / (CASE WHEN c.manual THEN c.inst ELSE c.mx END) >= 0.5)"""]) + """
-SELECT c.cluster_name, c.recipe_filename, c.mx AS original_max_executors,
-       CAST(GREATEST(c.mx + 1, CEIL(c.mx * 1.5)) AS INTEGER) AS boosted_max_executors,
-       1.5 AS boost_factor, 1.5 AS cumulative_factor, 'new' AS state
-FROM cfg c JOIN gated g USING (cluster_name, recipe_filename)
-WHERE NOT c.manual AND c.mn <> c.mx"""
-
-
-SCALE_BOOST_STATE = _scale_sql()

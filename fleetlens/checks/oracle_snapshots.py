@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from .oracle import CAPACITY, EV, metric_ctes
 
-#: The rows of each window; retired and not yet onboarded users go by another id in one of them.
-SNAP_EVENTS = {
-    "r_": "SELECT * REPLACE (CASE WHEN user_id % 11 = 0 THEN user_id + 7000000 ELSE user_id END AS user_id) FROM ev WHERE ts < TIMESTAMP '2024-01-16'",
-    "c_": "SELECT * REPLACE (CASE WHEN user_id % 13 = 0 THEN user_id + 14000000 ELSE user_id END AS user_id) FROM ev WHERE ts >= TIMESTAMP '2024-01-16'",
-}
+
+def _renamed(residues: str, every: int, offset: int, window: str) -> str:
+    """The rows of a window: users that share a recipe, and those that go by another id in it."""
+    return f"""SELECT * REPLACE (CASE WHEN (user_id // 7) % 20 BETWEEN 1 AND 5 AND user_id % 7 IN ({residues})
+      THEN user_id - 7 * ((user_id // 7) % 20) WHEN user_id % {every} = 0 THEN user_id + {offset} ELSE user_id END AS user_id)
+    FROM ev WHERE ts {window} TIMESTAMP '2024-01-16'"""
+
+
+SNAP_EVENTS = {"r_": _renamed("1, 2, 5", 11, 7000000, "<"), "c_": _renamed("1, 3, 5", 13, 14000000, ">=")}
 
 
 def snapshot_ctes(p: str) -> str:

@@ -25,7 +25,8 @@ KEYS = ["cluster_name", "recipe_filename"]
 
 def evolve_configs(reference_metrics: DataFrame, current_metrics: DataFrame, reference_configs: DataFrame,
                    current_oom: DataFrame, reference_oom: DataFrame, scale_signals: DataFrame | None,
-                   reference_date: str, strategy: SZ.Strategy = SZ.STRATEGIES["default"]) -> DataFrame:
+                   reference_date: str, strategy: SZ.Strategy = SZ.STRATEGIES["default"],
+                   reference_scale: DataFrame | None = None) -> DataFrame:
     # Each step below reads the previous one in several branches; checkpoints at
     # the step boundaries keep the plans (and a retry after a lost executor) small.
     trends = cut_lineage(SN.trend_class(SN.pair_snapshots(reference_metrics, current_metrics)))
@@ -52,6 +53,7 @@ def evolve_configs(reference_metrics: DataFrame, current_metrics: DataFrame, ref
     heap = BO.heap_boost_state(configs, all_oom, current_oom)
     configs = cut_lineage(BO.apply_heap_boosts(configs, heap))
     if scale_signals is not None:
-        gated = BO.cap_touching(scale_signals, configs)
-        configs = BO.apply_scale_boosts(configs, BO.scale_boost_state(configs, gated, gated))
+        now = BO.cap_touching(scale_signals, configs)
+        ever = now if reference_scale is None else now.unionByName(BO.cap_touching(reference_scale, configs))
+        configs = BO.apply_scale_boosts(configs, BO.scale_boost_state(configs, ever, now))
     return configs.join(actions, "cluster_name", "left")

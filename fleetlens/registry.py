@@ -305,8 +305,8 @@ def _boost_queries() -> dict[str, Query]:
 
     def scale_states(s, d):
         configs, _, _, ref_m, cur_m = boost_inputs(s, d)
-        sig = BO.cap_touching(ST.scale_signals(cur_m, ref_m), configs)
-        return BO.scale_boost_state(configs, sig, sig)
+        now, before = (cut_lineage(BO.cap_touching(x, configs)) for x in (ST.scale_signals(cur_m, ref_m), ST.scale_signals(ref_m, cur_m)))
+        return BO.scale_boost_state(B.with_scale_tags(configs, before), before.unionByName(now), now)
 
     def boosted(s, d):
         configs, cur, ref, _, _ = boost_inputs(s, d)
@@ -323,7 +323,8 @@ def _boost_queries() -> dict[str, Query]:
     def evolved(s, d):
         from .plans import evolution as EV
         configs, cur, ref, ref_m, cur_m = boost_inputs(s, d)
-        out = EV.evolve_configs(ref_m, cur_m, configs, cur, ref, ST.scale_signals(cur_m, ref_m), REFERENCE_DATE)
+        out = EV.evolve_configs(ref_m, cur_m, configs, cur, ref, ST.scale_signals(cur_m, ref_m), REFERENCE_DATE,
+                                reference_scale=ST.scale_signals(ref_m, cur_m))
         return BO.flat_config(out).join(out.select(*BO.KEYS, "cluster_action"), BO.KEYS)
 
     def kept(s, d):
