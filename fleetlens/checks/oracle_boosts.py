@@ -103,7 +103,7 @@ SELECT cluster_name, recipe_filename,
 FROM j"""
 
 
-def _touching(p: str, other: str) -> str:
+def _touching(p: str, other: str, configs: str = "cfg") -> str:
     """{p}touch: dynamic recipes of both windows, long-running in window p and at half their ceiling or more."""
     return f"""{p}dur AS (
   SELECT cluster_name, recipe_filename, p95_run_max_executors AS peak, unnest(['avg', 'p95']) AS what,
@@ -112,7 +112,7 @@ def _touching(p: str, other: str) -> str:
   SELECT *, (v - AVG(v) OVER w) / NULLIF(STDDEV_POP(v) OVER w, 0) AS far FROM {p}dur WINDOW w AS (PARTITION BY what)),
 {p}touch AS (
   SELECT DISTINCT d.cluster_name, d.recipe_filename
-  FROM {p}far d JOIN {other}m o USING (cluster_name, recipe_filename) JOIN cfg c USING (cluster_name, recipe_filename)
+  FROM {p}far d JOIN {other}m o USING (cluster_name, recipe_filename) JOIN {configs} c USING (cluster_name, recipe_filename)
   WHERE d.far >= 3 AND NOT c.manual AND d.peak / c.mx >= 0.5)"""
 
 

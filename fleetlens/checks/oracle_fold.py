@@ -7,6 +7,7 @@ within quota first, then within the hard constraints, then anything.
 
 from __future__ import annotations
 
+from .oracle import B13_CTES
 from .oracle_cost import COST_CTES
 from .oracle_sizing import STRATEGY_RULES, candidate_ctes, score
 
@@ -14,7 +15,7 @@ from .oracle_sizing import STRATEGY_RULES, candidate_ctes, score
 QUOTAS = {"e2": 5000, "n2": 5000, "n2d": 3000, "c3": 500, "c4": 500, "n4": 500, "n4d": 500}
 q = QUOTAS
 admission = """,
-ord AS (SELECT cluster_name, ROW_NUMBER() OVER (ORDER BY demand DESC, cluster_name) AS n
+ord AS (SELECT cluster_name, ROW_NUMBER() OVER (ORDER BY ADMISSION_ORDER) AS n
         FROM (SELECT DISTINCT cluster_name, demand FROM scored)),
 cand_n AS (SELECT s.*, o.n FROM scored s JOIN ord o USING (cluster_name)),
 fold AS (
@@ -54,14 +55,14 @@ for k, v in {"QE2": q["e2"], "QN2D": q["n2d"], "QN2": q["n2"], "QC3": q["c3"], "
     admission = admission.replace(k, f"{float(v)}")
 
 
-def fold(strategy: str) -> str:
+def fold(strategy: str, metrics: tuple[str, ...] = tuple(B13_CTES), order: str = "demand DESC, cluster_name") -> str:
     rule = STRATEGY_RULES[strategy]
-    return f"""WITH RECURSIVE {candidate_ctes(rule)},
+    return f"""WITH RECURSIVE {candidate_ctes(rule, metrics)},
 scored AS (
   SELECT cluster_name, demand, catalog_idx, machine_type, family, cores, family_priority,
          CAST(executors_per_worker AS INTEGER) AS executors_per_worker, workers,
          {score(rule)} AS base_score
-  FROM ev4){admission},
+  FROM ev4){admission.replace("ADMISSION_ORDER", order)},
 plans AS (
   SELECT '{strategy}' AS scenario, CAST(step - 1 AS INTEGER) AS plan_order, cluster_name,
          machine_type AS worker_machine_type, machine_type AS master_machine_type, workers,
@@ -109,7 +110,7 @@ GENERATION_TOTALS = FOLD + """SELECT COUNT(*) AS total_clusters, SUM(workers + 1
 
 
 
-PLAN_RECIPES = FOLD + """, m AS (
+RECIPE_CTES = """, m AS (
   SELECT b.cluster_name, b.recipe_filename,
          COALESCE(CAST(b.avg_executors_per_job AS DOUBLE), 1.0) AS avg_e,
          COALESCE(CAST(b.p95_run_max_executors AS DOUBLE), 1.0) AS p95_e,
@@ -126,13 +127,15 @@ rec AS (
     AS exec_mem FROM mem)
 """
 
+PLAN_RECIPES = FOLD + RECIPE_CTES
+
 MANUAL_PLAN = PLAN_RECIPES + """SELECT cluster_name, recipe_filename,
   CAST(GREATEST(1, LEAST(CEIL(CASE WHEN frac >= 0.30 THEN p95_e * 1.2 ELSE p95_e END), sup)) AS INTEGER)
     AS spark_executor_instances,
   8 AS spark_executor_cores, exec_mem AS spark_executor_memory_gb
 FROM rec"""
 
-DA_PLAN = PLAN_RECIPES + """, d AS (
+DA_SELECT = """, d AS (
   SELECT *, CAST(GREATEST(2, GREATEST(1, CEIL(avg_e))) AS INTEGER) AS mn FROM rec),
 d2 AS (SELECT *, CAST(GREATEST(2, LEAST(mn, sup)) AS INTEGER) AS ini FROM d),
 d3 AS (SELECT *, CAST(GREATEST(ini, LEAST(CASE WHEN p95_e > mn + 1 THEN CEIL(p95_e) ELSE mn + 1 END, sup))
@@ -141,6 +144,14 @@ SELECT cluster_name, recipe_filename, mn AS min_executors, mx AS max_executors,
   8 AS spark_executor_cores, exec_mem AS spark_executor_memory_gb, mn > mx AS min_exceeds_max
 FROM d3"""
 
+DA_PLAN = PLAN_RECIPES + DA_SELECT
+
+
+def da_plan(metrics: str, order: str = "demand DESC, cluster_name") -> str:
+    """The dynamic-allocation plan over a metric table (a query, run inside a larger one)."""
+    return fold("default", (f"b13 AS ({metrics})",), order) + RECIPE_CTES + DA_SELECT
+
+
 CLUSTER_SUMMARY = FOLD + ", homes AS (WITH " + ",\n".join(COST_CTES) + """
   SELECT 'cluster-' || (CAST(regexp_extract(cluster_name, '[0-9]+$') AS BIGINT) % 7) AS cluster_name,
          SUM(span_minutes) AS minutes, SUM(total_cost_eur) AS cost, MAX(least_w) AS least_w, MAX(most_w) AS most_w,

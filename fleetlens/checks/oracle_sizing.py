@@ -27,8 +27,9 @@ def score(r: dict) -> str:
          + CASE WHEN cores = 32 THEN -0.10 ELSE 0.0 END"""
 
 
-def candidate_ctes(r: dict) -> str:
-    return ",\n".join([*B13_CTES, f"""cand AS (
+def candidate_ctes(r: dict, metrics: tuple[str, ...] = tuple(B13_CTES)) -> str:
+    """``metrics``: CTEs that end in b13."""
+    return ",\n".join([*metrics, f"""cand AS (
   SELECT * FROM (VALUES
     {_cands}) t(catalog_idx, machine_type, family, cores, memory_gb, price, family_priority)),
 demand AS (

@@ -444,9 +444,11 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle_boosts import boost_sql
     from .checks.oracle_misc import misc_sql
     from .checks.oracle_events import events_sql
+    from .checks.oracle_evolution import evolution_sql
     from .checks.oracle_fold import fold_sql
     from .checks.oracle_io import io_sql
     from .checks.oracle_sizing import sizing_sql
     from .checks.oracle_snapshots import snapshot_sql
     return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql(),
-            **boost_sql(), **misc_sql(), **events_sql(), **io_sql(), **fold_sql()}
+            **boost_sql(), **misc_sql(), **events_sql(), **io_sql(), **fold_sql(),
+            **evolution_sql()}
