@@ -47,8 +47,10 @@ SHARD_BYTES = 512 << 10
 HOT_SLICES = 8_192
 #: Grams that are named one by one to tasks; beyond that all bytes are sent.
 MAX_NAMED = 100_000
+#: Groups of documents per shuffle partition; a worker and its JVM hold one group at once.
+GROUPS = 2
 #: Bytes hashed at once, and of one document at once (windows overlap by LENGTH - 1).
-BUFFER, STRETCH = 256 << 10, 1 << 20
+BUFFER, STRETCH = 128 << 10, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -272,7 +274,7 @@ def _sorted_shard(key: tuple, rows: pa.Table) -> pa.Table:
 def _dealt(docs: DataFrame, *more: str) -> DataFrame:
     width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
-    return rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")).repartition(width, "grp")
+    return rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS * width)).cast("int")).repartition(width, "grp")
 
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT_SLICES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
