@@ -47,7 +47,7 @@ EPS = 1 - SHARE / SHARE_OF
 #: Classes per cell that one task joins.
 CELL = 1_024
 PIVOTS = 6
-#: Word hashes a worker keeps (about 40 MB).
+#: Word hashes kept while a table of texts is read (about 40 MB); a worker keeps none between tasks.
 MAX_CACHED_WORDS = 200_000
 #: Regions up to this size are compared directly.
 SMALL = 48
@@ -68,21 +68,18 @@ class _WordHashes(dict):
         return got
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text."""
+def shingles(text: str, n: int = WORDS, hashes: _WordHashes | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams of a text; ``hashes`` may be shared by several texts."""
     words = text.encode().translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), "<u8")
+    h = np.frombuffer(b"".join(map((_WordHashes() if hashes is None else hashes).__getitem__, words)), "<u8")
     n = min(n, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -92,7 +89,8 @@ def shingles(text: str, n: int = WORDS) -> np.ndarray:
 
 def _sets(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several texts end to end, and the size of each set."""
-    found = [shingles(t) for part in ([texts] if isinstance(texts, pa.Array) else texts.chunks) for i in range(0, len(part), 500) for t in part.slice(i, 500).to_pylist()]
+    hashes = _WordHashes()
+    found = [shingles(t, hashes=hashes) for part in ([texts] if isinstance(texts, pa.Array) else texts.chunks) for i in range(0, len(part), 500) for t in part.slice(i, 500).to_pylist()]
     sizes = np.array([len(s) for s in found], np.int64)
     return (np.concatenate(found) if found else np.empty(0, np.uint64)), sizes
 
