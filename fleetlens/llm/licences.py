@@ -1,17 +1,20 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
-A paragraph (a line that has words) is described by its word n-grams (one to three
-words).  A sparse multinomial logistic regression, trained here on the template
-notices below and cut, joined and shuffled variants of them against paragraphs of
-the corpus itself (a bounded sample as the unknown class), gives a probability per
-licence family.  A temperature fitted on held-out variants calibrates it; below
-``MIN_PROBABILITY`` the paragraph is unknown.  A prediction counts only when the
-paragraph is also close to a template of that family (cosine of n-gram counts on
-the template's side): the classifier proposes, the template confirms.
-
-Only n-grams of the templates have weights, so a paragraph's features are looked
-up in a table of a few thousand n-grams; a paragraph that shares no word with any
-template is unknown without further work, which is what its score would say.
+A paragraph is a run of lines that are not blank, so a notice wrapped over lines is
+read as one.  Inside it, windows a little longer than each template slide over the
+words; the parts that hold enough of a template's n-grams (one to three words; cosine
+of counts on the template's side) are its matches.  A sparse multinomial logistic
+regression, trained here on the template notices below and variants of them with words
+dropped and put around against lines of the corpus itself (a bounded sample as the
+unknown class), gives each match a probability per licence family.  A temperature
+fitted on held-out variants calibrates it.  A match counts only when its template's
+family is the likeliest and reaches ``MIN_PROBABILITY``, and of overlapping matches the
+one that holds most of its template counts.
+
+A window can hold enough of a template only if it holds one of the template's seeds,
+its most telling word pairs: without them less than ``MIN_TEMPLATE_COSINE`` is left
+(of templates of two words the pair itself is asked for).  So only the words around
+seeds are looked at, and a paragraph without a seed is unknown without further work.
 
 Edge cases: null or empty text has no paragraphs and no licence; ties between
 families go to the first in alphabetical order; repeated rows are scanned once each;
@@ -24,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,43 +42,90 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License",
+        "Apache License 2.0",
+        "Apache License Version 2.0, January 2004",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "BSD License",
+        "BSD 2-Clause License",
+        "BSD 3-Clause License",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES",
     ),
     "cc_by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
         "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "Creative Commons Attribution 4.0 International",
+        "Creative Commons Attribution-ShareAlike 4.0 International",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
     "cc_by_nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     ),
     "cc0": (
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
         "Released into the public domain under CC0 1.0.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "CC0 1.0 Universal",
+        "Creative Commons Zero v1.0 Universal",
+        "CC0 1.0 Universal Public Domain Dedication",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "GNU GENERAL PUBLIC LICENSE",
+        "GNU General Public License v3.0",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Licensed under the GPL v3.",
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1 or later.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "GNU LESSER GENERAL PUBLIC LICENSE",
+        "GNU LIBRARY GENERAL PUBLIC LICENSE",
+        "GNU Lesser General Public License v2.1",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Licensed under the LGPL v3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "The MIT License (MIT)",
+        "Licensed under the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License",
+        "Mozilla Public License 2.0",
+        "Mozilla Public License Version 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
     ),
 }
 UNKNOWN = "unknown"
@@ -83,6 +134,9 @@ MAX_NEGATIVE_PARAGRAPHS = 4_096
 MIN_PROBABILITY = 0.5
 MIN_TEMPLATE_COSINE = 0.6
 
+#: Words that tell little: pairs with fewer of them are chosen as seeds first.
+COMMON = frozenset("a all an and any are as at be but by can file for free from has if in is it later met not of on one or possible see software that the this to under use version with without work you your".split())
+
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
@@ -105,17 +159,86 @@ def variants(rng: np.random.Generator, notice: str, filler: list[str], count: in
     return out
 
 
+class Template:
+    """One notice: the counts of its n-grams, the width of its windows and its seeds."""
+
+    def __init__(self, family: int, notice: str):
+        tokens = words(notice)
+        self.family, self.counts = family, dict(grams(tokens))
+        self.norm = sum(n * n for n in self.counts.values())
+        self.width = len(tokens) + len(tokens) // 4 + 4
+        pairs = sorted({g for g in self.counts if g.count(" ") == 1}, key=lambda g: (sum(w in COMMON or w.isdigit() for w in g.split()), g))
+        self.seeds: set[str] = set()
+        for g in pairs:  # until what holds no seed is too little
+            self.seeds.add(g)
+            if self.without_seeds() < MIN_TEMPLATE_COSINE:
+                break
+
+    def without_seeds(self) -> float:
+        """Largest share that a text without any seed can hold."""
+        free = lambda g: not any(" ".join(p) in self.seeds for p in zip(g.split(), g.split()[1:]))
+        return sum(n * n for g, n in self.counts.items() if free(g)) / self.norm
+
+    def matches(self, tokens: list[str], seeds: list[int]) -> Iterator[tuple[float, int, int]]:
+        """Share, start and end of the parts that hold enough of this notice, left to right and apart; ``seeds`` are its seeds' places, in order."""
+        at = 0
+        while at < len(seeds):
+            low, last = max(0, seeds[at] - self.width), at
+            while last + 1 < len(seeds) and seeds[last + 1] - seeds[last] <= 2 * self.width:
+                last += 1
+            yield from self._matches(tokens[low : seeds[last] + self.width], low)
+            at = last + 1
+
+    def _matches(self, tokens: list[str], offset: int) -> Iterator[tuple[float, int, int]]:
+        ends = [[g for n in (1, 2, 3) if i + 1 >= n and (g := " ".join(tokens[i + 1 - n : i + 1])) in self.counts] for i in range(len(tokens))]
+        start = 0
+        while start < len(tokens):
+            held: Counter = Counter()
+            score, best, part = 0, 0, None
+            i = first = start
+            while i < len(tokens) and (part is None or (best < self.norm and i < part[1] + self.width)):
+                if i - first >= self.width:  # the word that leaves takes the n-grams that begin with it
+                    score -= self._leave(ends, held, first, i)
+                    first += 1
+                for g in ends[i]:
+                    if i - g.count(" ") >= first:
+                        held[g] += 1
+                        score += self.counts[g] if held[g] <= self.counts[g] else 0
+                i += 1
+                if score > best and score >= MIN_TEMPLATE_COSINE * self.norm:
+                    best, part = score, (first, i)
+            if part is None:
+                return
+            low, high = part
+            own = Counter(g for k in range(low, high) for g in ends[k] if k - g.count(" ") >= low)
+            while not self._leave(ends, own, low, high):  # words before the first that counts
+                low += 1
+            if any(g in self.seeds for k in range(low, high) for g in ends[k] if k - g.count(" ") >= low):
+                yield best / self.norm, offset + low, offset + high
+            start = high
+
+    def _leave(self, ends: list[list[str]], held: Counter, first: int, end: int) -> int:
+        """Take out what begins at ``first`` in the window up to ``end``; the score that goes with it."""
+        lost = 0
+        for k in range(first, min(first + 3, end)):
+            for g in ends[k]:
+                if k - g.count(" ") == first:
+                    lost += self.counts[g] if held[g] <= self.counts[g] else 0
+                    held[g] -= 1
+        return lost
+
+
 @dataclass
 class Model:
-    """Weights of the templates' n-grams per family (unknown last), temperature and template vectors."""
+    """Weights of the templates' n-grams per family (unknown last), temperature, templates, and the templates by seed."""
 
     families: list[str]
     grams: dict[str, int]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    templates: list[list[tuple[dict[str, float], float]]]
-    vocabulary: frozenset[str]
+    templates: list[Template]
+    seeds: dict[tuple[str, str], list[int]]
 
     def features(self, tokens: list[str]) -> list[int]:
         return [i for i in map(self.grams.get, grams(tokens)) if i is not None]
@@ -125,22 +248,34 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def confirmed(self, family: int, tokens: list[str]) -> float:
-        """Largest share of a template's n-gram weight that the paragraph holds."""
-        held = grams(tokens)
-        return max((sum(min(held.get(g, 0), n) * n for g, n in t.items()) / norm for t, norm in self.templates[family]), default=0.0)
+    def notices(self, paragraph: str) -> list[tuple[str, float, float]]:
+        """Family, its probability and the share of a template, for each notice in a paragraph."""
+        tokens = words(paragraph)
+        if self.seeds.keys().isdisjoint(zip(tokens, tokens[1:])):
+            return []
+        places: dict[int, list[int]] = {}
+        for i, pair in enumerate(zip(tokens, tokens[1:])):
+            for t in self.seeds.get(pair, ()):
+                places.setdefault(t, []).append(i)
+        found = [(share, low, high, self.templates[t].family) for t, at in places.items() for share, low, high in self.templates[t].matches(tokens, at)]
+        taken, out = bytearray(len(tokens)), []
+        for share, low, high, family in sorted(found, key=lambda m: (-m[0], m[1] - m[2], m[3], m[1])):
+            if any(taken[low:high]):
+                continue
+            p = self.probabilities(self.features(tokens[low:high]))
+            if p[:-1].argmax() == family and p[family] >= MIN_PROBABILITY:
+                taken[low:high] = b"\1" * (high - low)
+                out.append((self.families[family], float(p[family]), share))
+        return out
 
     def scan(self, paragraph: str) -> tuple[str, float, float]:
-        """Family (or unknown), its probability, and how far a template confirms it."""
-        tokens = words(paragraph)
-        if self.vocabulary.isdisjoint(tokens):
-            return UNKNOWN, 1.0, 0.0
-        p = self.probabilities(self.features(tokens))
-        k = int(p[:-1].argmax())
-        close = self.confirmed(k, tokens) if p[k] >= MIN_PROBABILITY else 0.0
-        if close < MIN_TEMPLATE_COSINE:
-            return UNKNOWN, float(1 - p[k]), close
-        return self.families[k], float(p[k]), close
+        """Family (or unknown), its probability, and how far a template confirms it, of the likeliest notice."""
+        return max(self.notices(paragraph), key=lambda f: (f[1], f[2]), default=(UNKNOWN, 1.0, 0.0))
+
+
+def paragraphs(text: str) -> list[str]:
+    """Runs of lines that are not blank."""
+    return ["\n".join(lines) for blank, lines in groupby(text.split("\n"), lambda p: not p or p.isspace()) if not blank]
 
 
 def negatives(docs: DataFrame, most: int = MAX_NEGATIVE_PARAGRAPHS) -> list[str]:
@@ -165,7 +300,7 @@ def train(corpus_lines: list[str], per_notice: int = 60, epochs: int = 300, seed
     families = sorted(TEMPLATES)
     filler = [w for p in corpus_lines[:200] for w in words(p)][:5000]
     names = {g: i for i, g in enumerate(sorted({g for f in families for t in TEMPLATES[f] for g in grams(words(t))}))}
-    generic = ["This text is free to read.", "All rights reserved.", "The license plate was lost.", "See the terms of use and the privacy policy.", "Version 2.0 was released in source and binary form.", "The general public is permitted to use the work.", "Permission to enter was granted by law."]
+    generic = ["This text is free to read.", "All rights reserved.", "The license plate was lost.", "See the terms of use and the privacy policy.", "Version 2.0 was released in source and binary form.", "The general public is permitted to use the work.", "Permission to enter was granted by law.", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: Unlicense"]
     rows = [(k, v) for k, f in enumerate(families) for t in TEMPLATES[f] for v in [t, *variants(rng, t, filler, per_notice)]]
     unknown = [v for t in generic for v in [t, *variants(rng, t, filler, per_notice // 2)]] + corpus_lines
     rows += [(len(families), p) for p in unknown]
@@ -178,11 +313,12 @@ def train(corpus_lines: list[str], per_notice: int = 60, epochs: int = 300, seed
     weight /= weight.sum()
     fit = rng.random(len(rows)) < 0.8
     onehot = np.eye(len(families) + 1)[y]
-    w, b = np.zeros((len(names), len(families) + 1)), np.zeros(len(families) + 1)
+    xf, onehot, weight = x[fit], onehot[fit].astype(np.float32), weight[fit, None].astype(np.float32)
+    w, b = np.zeros((len(names), len(families) + 1), np.float32), np.zeros(len(families) + 1, np.float32)
     gw, gb = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     for _ in range(epochs):
-        g = (_softmax(x[fit] @ w + b) - onehot[fit]) * weight[fit, None]
-        dw, db = x[fit].T @ g, g.sum(0)
+        g = (_softmax(xf @ w + b) - onehot) * weight
+        dw, db = xf.T @ g, g.sum(0)
         gw += dw * dw
         gb += db * db
         w -= 0.3 * dw / np.sqrt(gw)
@@ -191,8 +327,12 @@ def train(corpus_lines: list[str], per_notice: int = 60, epochs: int = 300, seed
     z, held = x[~fit] @ w + b, y[~fit]
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(held)), held] + 1e-12).mean()
     temperature = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss) if len(held) else 1.0
-    templates = [[(dict(c), float(sum(n * n for n in c.values()))) for c in (grams(words(t)) for t in TEMPLATES[f])] for f in families]
-    return Model(families, names, w, b, float(temperature), templates, frozenset(g for g in names if " " not in g))
+    templates = [Template(k, t) for k, f in enumerate(families) for t in TEMPLATES[f]]
+    seeds: dict[tuple[str, str], list[int]] = {}
+    for i, t in enumerate(templates):
+        for g in sorted(t.seeds):
+            seeds.setdefault(tuple(g.split()), []).append(i)
+    return Model(families, names, w, b, float(temperature), templates, seeds)
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
@@ -203,10 +343,10 @@ def scan_documents(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = [p for p in text.split("\n") if p and not p.isspace()]
-                found = [f for f in map(model.scan, lines) if f[0] != UNKNOWN]
+                each = [model.notices(p) for p in paragraphs(text)]
+                found = [f for fs in each for f in fs]
                 best = max(found, key=lambda f: (f[1], f[2]), default=(UNKNOWN, 0.0, 0.0))
-                out.append((doc_id, len(lines), len(found), ",".join(sorted({f[0] for f in found})), *best))
+                out.append((doc_id, len(each), sum(map(bool, each)), ",".join(sorted({f[0] for f in found})), *best))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "n_paragraphs", "n_licensed", "families", "family", "probability", "template_share"])
 
     return text_rows(docs).mapInArrow(run, "doc_id long, n_paragraphs long, n_licensed long, families string, family string, probability double, template_share double")

@@ -372,5 +372,33 @@ def test_licences_of_documents(spark):
     assert licences.scan_documents(docs.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "apache": "# Copyright 2031 Some Body\n# Licensed under the Apache License, Version 2.0 (the\n# \"License\"); you may not use this file except in\n# compliance with the License. You may obtain a copy",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the notice",
+    "gpl": " * Foo is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as\n * published by the Free Software Foundation, either version 2 of\n * the License, or any later version",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License",
+    "mit": "// Permission is hereby granted, free of charge, to any\n// person obtaining a copy of this software and associated\n// documentation files (the Software), to deal in the Software",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not\ndistributed with this file, You can obtain one at here",
+    "cc0": "To the extent possible under law, Some Body has\nwaived all copyright and related or neighboring rights\nto this work",
+}
+HEADINGS = {"mit": ("The MIT License (MIT)", "MIT License"), "apache": ("Apache License 2.0", "Apache License\n  Version 2.0, January 2004"), "gpl": ("GNU GENERAL PUBLIC LICENSE",), "lgpl": ("GNU LESSER GENERAL PUBLIC LICENSE",), "mpl": ("Mozilla Public License 2.0", "Mozilla Public License\nVersion 2.0"), "bsd": ("BSD 2-Clause License",), "cc_by_nc": ("Creative Commons Attribution-NonCommercial\n4.0 International",), "cc_by": ("Creative Commons\nAttribution 4.0 International",)}
+
+
+def test_licences_of_wrapped_notices_and_headings(spark):
+    prose = "\n".join(["plain words of the text that are free to read by all"] * 300)
+    texts = [(f, t) for f, t in WRAPPED.items()] + [(f, t) for f, ts in HEADINGS.items() for t in ts]
+    rows = [(i, around[0] + t + around[1]) for i, (_, t) in enumerate(texts) for around in [[("", ""), (prose + "\n", "\n" + prose), ("\r\n\r\n", "\n \n" + prose)][i % 3]]]
+    rows += [(100, prose + "\nMIT License\n" + prose + "\n" + WRAPPED["gpl"] + "\n\n" + WRAPPED["bsd"]), (101, prose + "\n\n" + prose), (102, "SPDX-License-Identifier: ISC")]
+    got = {r.doc_id: r for r in licences.scan_documents(brute.odd_docs(spark, rows)).collect()}
+    assert [got[i].families for i in range(len(texts))] == [f for f, _ in texts]
+    assert (got[100].families, got[100].n_paragraphs, got[100].n_licensed) == ("bsd,gpl,mit", 2, 2)
+    assert got[101].n_licensed == got[102].n_licensed == 0 and got[101].n_paragraphs == 2
+
+
+def test_licence_seeds_lose_no_match():
+    templates = [licences.Template(0, t) for ts in licences.TEMPLATES.values() for t in ts]
+    assert all(t.without_seeds() < licences.MIN_TEMPLATE_COSINE or len(t.counts) == 3 for t in templates)
+
+
 def test_registered():
     assert [n for n in range(1, 11) if any(q.startswith(f"op{n}_") for q in queries.queries())] == list(range(1, 11))
