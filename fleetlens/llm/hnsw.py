@@ -3,8 +3,10 @@
 Equal vectors are one class.  Classes are dealt to shards of a bounded size; each
 shard's graph is built by one task and kept as a table in the shared folder.  Every
 class queries every shard, in blocks.  A block's beam starts at ``BEAM`` and doubles
-until an audit passes: for some queries the true partners in the shard are counted by
-brute force, and the search must have found ``AUDIT_RECALL`` of them.  A query whose
+until an audit passes: for some queries the true partners in the shard (not the query
+itself) are counted by brute force, and the search must have found ``AUDIT_RECALL`` of
+them, on average over the queries and on average over the groups, so that one large
+group of near vectors can't hide the loss of small ones.  A query whose
 whole beam is near enough could have more partners, so its own beam doubles too, until
 it reaches farther than the threshold (a beam of the shard's size is exhaustive).
 What is found is verified by cosine in double precision, a link found from either end
@@ -38,6 +40,8 @@ LINKS, BASE_LINKS = 16, 32
 BUILD_BEAM, BEAM = 48, 32
 #: One query in so many is audited; the share of true partners that must be found.
 AUDIT_EVERY, AUDIT_RECALL = 16, 0.99
+#: Share of a full list that is kept for links out of the near group.
+LONG = 0.25
 AT_ONCE = 256
 #: Single precision may fall this far short of the double-precision cosine.
 SLACK = 1e-4
@@ -108,7 +112,7 @@ class Layer:
         self._add(own, b, a)
 
     def _add(self, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        """Add b to the lists of a, keeping the nearest where a list is full."""
+        """Add b to the lists of a.  A full list keeps the nearest, and in ``LONG`` of its places links that leave the near group, no two in one direction."""
         nodes, inverse = np.unique(a, return_inverse=True)
         order = np.argsort(inverse, kind="stable")
         counts = np.bincount(inverse)
@@ -122,8 +126,28 @@ class Layer:
             some = lists[i : i + 1024]
             sims = np.einsum("qd,qkd->qk", own[nodes[i : i + 1024]], own[some])
             sims[some < 0] = -np.inf
-            best = np.argsort(-sims, 1)[:, : self.links]
-            self.near[nodes[i : i + 1024]] = np.take_along_axis(some, best, 1)
+            order = np.argsort(-sims, 1)
+            some, sims = np.take_along_axis(some, order, 1), np.take_along_axis(sims, order, 1)
+            full = np.flatnonzero(some[:, self.links :].max(1, initial=-1) >= 0)
+            if len(full):
+                long = self._leaving(own, some[full], sims[full])
+                some[full] = np.take_along_axis(some[full], np.argsort(~long, 1, kind="stable"), 1)
+            self.near[nodes[i : i + 1024]] = some[:, : self.links]
+
+    def _leaving(self, own: np.ndarray, lists: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Which links (nearest first) are kept as long ones: below the threshold, and nearer to the node than to a long one kept before."""
+        most = int(self.links * LONG)
+        kept = np.full((len(lists), most), -1, np.int64)
+        count, out = np.zeros(len(lists), int), np.zeros(lists.shape, bool)
+        for c in range(lists.shape[1]):
+            rows = np.flatnonzero((lists[:, c] >= 0) & (sims[:, c] < THRESHOLD) & (count < most))
+            among = np.einsum("qkd,qd->qk", own[kept[rows]], own[lists[rows, c]])
+            among[kept[rows] < 0] = -np.inf
+            rows = rows[among.max(1, initial=-np.inf) <= sims[rows, c]]
+            kept[rows, count[rows]] = lists[rows, c]
+            count[rows] += 1
+            out[rows, c] = True
+        return out
 
 
 class Graph:
@@ -216,15 +240,25 @@ class Graph:
         return cls(vectors, layers)
 
 
-def audited(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[list[np.ndarray], float, int]:
-    """Rows near each query, the audited recall and the beam it took."""
+def audited(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[list[np.ndarray], float, int]:
+    """Rows near each query, the audited recall and the beam it took.
+
+    ``own`` is each query's row in the graph (-1: none; not given: the rows equal to it), which
+    is no partner.  The recall is the smaller of two means over the audited queries that have
+    partners: each query alike, and each weighed by 1 / size of its group, so each group alike.
+    """
     sample = np.arange(0, len(queries), AUDIT_EVERY)
-    truth = [np.flatnonzero(s >= least) for i in range(0, len(sample), AT_ONCE) for s in queries[sample[i : i + AT_ONCE]] @ graph.vectors.T]
-    wanted = sum(map(len, truth))
+    truth = []
+    for i in range(0, len(sample), AT_ONCE):
+        for q, sims in zip(sample[i : i + AT_ONCE], queries[sample[i : i + AT_ONCE]] @ graph.vectors.T):
+            rows = np.flatnonzero(sims >= least)
+            truth.append(rows[rows != own[q]] if own is not None else rows[(graph.vectors[rows] != queries[q]).any(1)])
+    asked = [k for k, t in enumerate(truth) if len(t)]
+    weight = 1 / (1 + np.array([len(truth[k]) for k in asked]))
     while True:
-        trial = graph.near(queries[sample], least, beam)
-        hit = sum(len(np.intersect1d(t, f)) for t, f in zip(truth, trial))
-        recall = hit / wanted if wanted else 1.0
+        trial = graph.near(queries[sample[asked]], least, beam)
+        found = np.array([len(np.intersect1d(truth[k], f)) / len(truth[k]) for k, f in zip(asked, trial)])
+        recall = float(min(found.mean(), np.average(found, weights=weight))) if asked else 1.0
         if recall >= AUDIT_RECALL or beam >= len(graph.vectors):
             return graph.near(queries, least, beam), recall, beam
         beam *= 2
@@ -256,7 +290,8 @@ def _search(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
     graph = Graph.from_bytes(index.column("graph")[0].as_py())
     ids, exact = index.column("ids")[0].values.to_numpy(), _unit(np.array(index.column("raw")[0].as_py()))
     asked, own = _unit(_matrix(queries.column("embedding"))), queries.column("class_id").to_numpy()
-    found, _, _ = audited(graph, asked.astype(np.float32), THRESHOLD - SLACK)
+    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # _build sorts by class_id
+    found, _, _ = audited(graph, asked.astype(np.float32), THRESHOLD - SLACK, own=np.where(ids[at] == own, at, -1))
     q = np.repeat(np.arange(len(own)), [len(f) for f in found])
     r = np.concatenate(found) if found else np.empty(0, np.int64)
     ok = np.concatenate([np.einsum("ij,ij->i", asked[q[i : i + 50_000]], exact[r[i : i + 50_000]]) >= THRESHOLD for i in range(0, len(q), 50_000)]) if len(q) else np.empty(0, bool)

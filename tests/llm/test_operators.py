@@ -314,6 +314,48 @@ def test_beams_widen_until_the_audit_passes():
     assert recall >= 0.99 and all(len(f) == 600 for f in found)
 
 
+def unit(x):
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_small_groups_are_found_beside_a_large_one():
+    rng, group, pairs = np.random.default_rng(8), 1000, 300
+    ends = rng.normal(size=(pairs, 64))
+    near = rng.normal(size=(1, 64)) + rng.normal(scale=0.15, size=(group, 64))
+    x = unit(np.concatenate([near, ends, rng.normal(size=(2000, 64))]))
+    partners = unit(ends + rng.normal(scale=0.4, size=ends.shape))
+    row = np.random.default_rng(1).permutation(np.concatenate([np.arange(160), group + np.arange(pairs)]))  # of the query or its partner
+    queries = np.array([x[r] if r < group else partners[r - group] for r in row])
+    found, recall, _ = hnsw.audited(hnsw.Graph.build(x), queries, 0.9, beam=2, own=np.where(row < group, row, -1))
+    wanted = [(r, f) for r, f, q in zip(row, found, queries) if r >= group and x[r] @ q >= 0.9]
+    assert len(wanted) > 250 and recall >= hnsw.AUDIT_RECALL
+    assert sum(r in f for r, f in wanted) >= 0.98 * len(wanted)
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_audit_is_not_passed_by_one_large_group_and_self_hits(given):
+    class Blind:
+        """Finds all of a group of 500, but of pairs only the query itself below a beam of 8."""
+
+        vectors = unit(np.concatenate([np.eye(128)[:1] + 0.001 * np.eye(128)[np.arange(500) % 128], np.repeat(np.eye(128)[1:121], 2, 0)]) + 1e-5 * np.random.default_rng(2).normal(size=(740, 128)))
+
+        def near(self, queries, least, beam):
+            full = [np.flatnonzero(s >= least) for s in queries @ self.vectors.T]
+            return full if beam >= 8 else [f if len(f) > 2 else f[[(self.vectors[r] == q).all() for r in f]] for q, f in zip(queries, full)]
+
+    found, recall, beam = hnsw.audited(Blind(), Blind.vectors, 0.9, 2, *([np.arange(740)] if given else []))
+    assert (recall, beam) == (1.0, 8) and all(len(f) == (500 if i < 500 else 2) for i, f in enumerate(found))
+
+
+def test_full_lists_keep_links_out_of_their_group():
+    x = unit(np.concatenate([np.eye(32)[:1], np.eye(32)[1:5], np.eye(32)[:1] + np.random.default_rng(3).normal(scale=0.02, size=(60, 32))]))
+    layer = hnsw.Layer(np.arange(65), 32, 65)
+    layer._add(x, np.zeros(4, np.int64), np.arange(1, 5))
+    for i in range(5, 65, 20):
+        layer._add(x, np.zeros(20, np.int64), np.arange(i, i + 20))
+    assert set(range(1, 5)) <= set(layer.near[0].tolist()) and (layer.near[0] >= 5).sum() == 28
+
+
 # op7 ------------------------------------------------------------------------------------------------
 
 
