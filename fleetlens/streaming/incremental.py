@@ -10,8 +10,11 @@ any order and the result equals the batch query over what has arrived.
   query: a running count is only defined over rows in event order, which no arrival order
   gives.
 
-Work folders lie below ``spark.checkpoint.dir`` under a name made of the query and its
-input, so a restarted query goes on from its offsets and state.
+Work folders lie below ``spark.checkpoint.dir``.  A stream with a name keeps its folder, so
+a restarted query goes on from its offsets and state and takes what has been added; its
+files must not be replaced, since Spark knows read files by their paths.  Without a name
+(the registered queries) the folder is named by the query and the paths, sizes and
+modification times of the files there are, so other files at the same paths are read anew.
 """
 
 from __future__ import annotations
@@ -36,17 +39,21 @@ COUNTS = "window_start timestamp, cluster_name string, executor_event string, ev
 APP = ["cluster_name", "recipe_filename"]
 
 
-def _workdir(spark: SparkSession, name: str, sf_dir: str) -> str:
+def _workdir(spark: SparkSession, query: str, sf_dir: str, name: str | None) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/streams/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    files = [] if name else (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events*.parquet")
+                             .select("path", "length", F.unix_millis("modificationTime").alias("changed")).collect())
+    of = repr((sf_dir, name, sorted(tuple(f) for f in files)))
+    return f"{base}/streams/{query}-{hashlib.sha256(of.encode()).hexdigest()[:16]}"
 
 
 def read_events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+            .option("maxFileAge", "36500d")  # a file is read however old it is
             .option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet"))
 
 
-def stream_counts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> DataFrame:
+def stream_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", name: str | None = None) -> DataFrame:
     """Executor events per (day window, cluster, event kind), incrementally.
 
     A micro-batch writes the counts it changed to a folder of its number (a retried batch
@@ -55,7 +62,7 @@ def stream_counts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> Da
     agg = (B.executor_events(read_events_stream(spark, sf_dir))
            .groupBy(F.window("evt_ts", window).alias("w"), "cluster_name", "executor_event")
            .agg(F.count(F.lit(1)).alias("events")))
-    work = _workdir(spark, "stream_counts", sf_dir)
+    work = _workdir(spark, "stream_counts", sf_dir, name)
     out_dir = make_folder(spark, f"{work}/batches")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -69,10 +76,10 @@ def stream_counts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> Da
             .agg(F.max_by("events", "batch").alias("events")))
 
 
-def stream_executor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_executor_counts(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """E1 streaming: running executor counts per application over the events landed so far."""
     ev = B.executor_events(read_events_stream(spark, sf_dir)).select(*APP, "event_id", "evt_ts", "executor_event")
-    work = _workdir(spark, "stream_executor_counts", sf_dir)
+    work = _workdir(spark, "stream_executor_counts", sf_dir, name)
     landed = make_folder(spark, f"{work}/events")
     (ev.writeStream.outputMode("append").format("parquet").option("path", landed)
      .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination())
