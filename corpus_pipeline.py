@@ -11,7 +11,9 @@ the next one's docs.  All but the last return the columns of documents:
 4. packing: what is left is packed into sequences of 2048 tokens.
 
 Edge cases follow the operators'.  Rows with a null doc_id can't be named as the copy of
-another and stay; a document whose whole text repeats stays with an empty text.
+another and stay, all of them, and link no others here; a doc_id that repeats with other
+texts names one document per text, and of rows equal in both one stays.  A document whose
+whole text repeats stays with an empty text.
 """
 
 from __future__ import annotations
@@ -35,11 +37,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = materialise(jaccard_join.shingle_components(docs), "near-copies")
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return left.dropDuplicates(["doc_id", "text"]).select(docs.columns) if repeated.head(1) else left.select(docs.columns)
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").head(1):
+        found = materialise(jaccard_join.shingle_components(docs), "near-copies")
+        copies = found.where("component_id <> doc_id").select("doc_id")
+        return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    # a doc_id repeats: rows get a number of their own, in order of doc_id, so that the smallest of a group is still the first
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    keyed = named.select(F.col("doc_id").alias("own_id"), digest.alias("own_digest"), "text")
+    one = materialise(keyed.groupBy("own_id", "own_digest").agg(F.first("text").alias("text")), "own-texts")
+    pairs = materialise(one.select("own_id", "own_digest").orderBy("own_id", "own_digest").withColumn("own_key", F.monotonically_increasing_id()), "own-keys")
+    found = jaccard_join.shingle_components(one.join(pairs, ["own_id", "own_digest"]).select(F.col("own_key").alias("doc_id"), "text"))
+    firsts = found.where("component_id = doc_id").select(F.col("doc_id").alias("own_key"))
+    kept = pairs.join(firsts, "own_key", "left_semi").select(F.struct(F.col("own_id"), F.col("own_digest")).alias("own_row"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("own_id"), digest.alias("own_digest"))).alias("own_row"))
+    left = rows.where("own_row is not null").join(kept, "own_row", "left_semi").groupBy("own_row").agg(F.first("row").alias("row")).select("row.*")
+    return left.unionByName(rows.where("own_row is null").select("row.*"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ the space is first cut to where they do:
 Edge cases: null text is empty; a document without words has no shingles and links
 with nothing; with fewer than five words the whole sequence is its one shingle;
 repeated rows are one class and come back once each; rows with a null doc_id link
-others but have a null component if nothing else is in it; an empty table gives no
-rows; extra columns are ignored.
+nothing, and have a component only through named rows of the same set; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

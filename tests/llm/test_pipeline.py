@@ -47,6 +47,21 @@ def test_stages_equal_plain_versions(spark):
     assert sorted((r.doc_id, r.piece, r.start, r.ids_crc32) for r in packed) == sorted(pieces)
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [
+        (1, text("a")), (2, text("a") + " end"), (2, text("b")),  # one row of 2 is a copy of 1, the other is clean
+        (3, text("c")), (3, text("c") + " end"),  # near copies of one id
+        (4, text("d")), (4, text("d")),  # equal rows
+        (None, text("e")), (None, text("e")), (5, None), (5, ""), (6, text("f")),
+    ]
+    docs = brute.odd_docs(spark, rows)
+    out = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, SF)
+    got = sorted((r.doc_id or 0, (r.text or "")[:1]) for r in out.collect())
+    assert out.columns == docs.columns
+    assert got == [(0, "e"), (0, "e"), (1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, ""), (6, "f")]
+
+
 def test_odd_rows_pass_all_stages(spark):
     docs = brute.odd_docs(spark)
     for empty in (False, True):
