@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import hnsw, jaccard_join, licences, packing, pieces, spotsigs, suffix_dedup, token_files, toxicity, urls
+from fleetlens.llm import hnsw, jaccard_join, language, licences, packing, pieces, ranked, resampling, spotsigs, suffix_dedup, token_files, toxicity, urls
 from fleetlens.llm.common import table
 from fleetlens.session import ship_package
 
@@ -70,9 +70,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op5_suffix_dedup, op6_hnsw_near_dedup, op7_jaccard_join, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing)}
+    return {f.__name__: _shipped(f) for f in (op1_toxicity, op2_url_filters, op3_token_files, op4_spotsigs, op5_suffix_dedup, op6_hnsw_near_dedup, op7_jaccard_join, op8_piece_encoding, op9_licence_scan, op10_best_fit_packing, op11_language, op12_resampling, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.ORACLE, "op4_spotsigs": spotsigs.ORACLE}
+    return {"op2_url_filters": urls.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op12_resampling": resampling.ORACLE, "op13_ranked_search": ranked.ORACLE}
