@@ -47,15 +47,15 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        """Over host + newline + path (neither holds a newline that a rule could ask for)."""
+        """Over host and path joined: a host holds no ``/`` and a path is empty or starts with one, so nothing is lost."""
         if self.host is not None:
-            return rf"^([^\n]*\.)?{_quoted(self.host)}\n{_quoted(self.path)}"
-        return "[^\\n]*".join(_quoted(p) for p in str(self.pattern).split("*"))
+            return rf"^([^/]*\.)?{_quoted(self.host)}{_quoted(self.path)}"
+        return "(?s)" + ".*".join(_quoted(p) for p in str(self.pattern).split("*"))
 
     @property
     def tokens(self) -> list[str]:
         """Literal tokens that are bounded on both sides inside the rule."""
-        text = f".{self.host}\n{self.path}" if self.host is not None else str(self.pattern)
+        text = f".{self.host}{self.path}" if self.host is not None else str(self.pattern)
         found = re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", text.lower())
         return sorted(set(found))
 
@@ -88,7 +88,7 @@ def path_of(url: Column) -> Column:
 
 def url_tokens(host: Column, path: Column) -> Column:
     """Distinct runs of letters and digits of a URL, and the empty token."""
-    text = F.translate(F.concat_ws("\n", host, path), UPPER, LOWER)
+    text = F.translate(F.concat(host, path), UPPER, LOWER)
     return F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
 
 
@@ -119,7 +119,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_
         index = F.broadcast(index)
     numbered = base.withColumn("row_no", F.monotonically_increasing_id())
     asked = numbered.withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
-    fits = F.regexp_like(F.concat_ws("\n", "host", "path"), F.col("regex")) & ~(F.col("is_host") & (F.col("host") == ""))
+    fits = F.regexp_like(F.concat("host", "path"), F.col("regex")) & ~(F.col("is_host") & (F.col("host") == ""))
     # hosts before patterns, then the longest, then the first listed
     best = F.when(fits, F.struct(F.col("is_host"), F.length("rule").alias("n"), (-F.col("rule_no")).alias("order"), F.col("rule"), F.col("action")))
     judged = asked.join(index, "token", "left").withColumn("best", best)
@@ -143,7 +143,7 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || chr(10) || path, '[./]cheap-pills\.|[./]spam-farm\.|-casino\.|-casino-|\.casino-|/casino/|/poker/|/wp-login\.') THEN 'block'
+    WHEN regexp_matches(host || path, '[./]cheap-pills\.|[./]spam-farm\.|-casino\.|-casino-|\.casino-|/casino/|/poker/|/wp-login\.') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
