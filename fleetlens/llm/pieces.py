@@ -19,7 +19,9 @@ kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,10 @@ from fleetlens.llm.common import slices, text_rows
 from fleetlens.llm.tokens import WordCache
 
 BLANK = "▁"
+#: Words up to this length are merged without a heap.
+SHORT = 24
+BYTE_BY_BYTE = "one replacement a byte"
+codecs.register_error(BYTE_BY_BYTE, lambda bad: ("\ufffd", bad.start + 1))
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -63,8 +69,35 @@ class PrefixEncoder:
         self.cache = WordCache(lambda words: [np.array(self.word(w), "<u4").tobytes() for w in words], limit=800_000)
 
     def merged(self, text: str) -> list[str]:
-        """Merge neighbours whose joint piece has the best score, leftmost first, until none is left."""
+        """Merge neighbours whose joint piece has the best score, leftmost first, until none is left.
+
+        Candidate merges wait in a heap; one is passed over if either side has changed since.
+        """
         parts, rank = list(text), self.rank
+        if len(parts) <= SHORT:
+            return self._merged_short(parts)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get(a + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != a or j == len(parts) or parts[j] != b:
+                continue
+            parts[i], parts[j] = a + b, ""
+            k = after[i] = after[j]
+            if k < len(parts):
+                before[k] = i
+                if (r := rank.get(parts[i] + parts[k])) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
+            h = before[i]
+            if h >= 0 and (r := rank.get(parts[h] + parts[i])) is not None:
+                heapq.heappush(heap, (r, h, parts[h], parts[i]))
+        return [p for p in parts if p]
+
+    def _merged_short(self, parts: list[str]) -> list[str]:
+        """The same by looking at every neighbour again after each merge."""
+        rank = self.rank
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -156,19 +189,7 @@ class PrefixEncoder:
         raw = b"".join(map(self.surface.__getitem__, ids))
         if at is not None and ids[at] not in self.byte_of and raw[:1] == b" ":
             raw = raw[1:]
-        try:
-            raw.decode()
-            return raw
-        except UnicodeDecodeError:
-            out = []
-            while raw:
-                try:
-                    out.append(raw.decode())
-                    break
-                except UnicodeDecodeError as bad:
-                    out.append(raw[: bad.start].decode() + "�")
-                    raw = raw[bad.start + 1 :]
-            return "".join(out).encode()
+        return raw.decode(errors=BYTE_BY_BYTE).encode()
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
