@@ -48,16 +48,13 @@ def bucketed_lead(df: DataFrame, part: Sequence[str], bucket: str,
     w_in = Window.partitionBy(*part, bucket).orderBy(*[F.col(c) for c in order])
     whole = w_in.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     row = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
-    d = df.select("*", F.lead(row).over(w_in).alias("_next"), F.first(row).over(whole).alias("_first"))
-    # the last row of each bucket looks up the next bucket's first: these rows (one per part and
-    # bucket) form one window partition per part, all others stay in their bucket's; the input is
-    # computed once
-    d = d.withColumn("_last", F.col("_next").isNull())
-    d = d.withColumn("_place", F.when(F.col("_last"), F.lit(None).cast("long")).otherwise(F.col(bucket).cast("long")))
-    w_next = Window.partitionBy(*part, "_last", "_place").orderBy(bucket)
-    d = d.withColumn("_after", F.lead("_first").over(w_next))
-    found = F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))
-    return d.select(*df.columns, *[found[f"v{i}"].alias(o) for i, o in enumerate(outs)])
+    # the struct is a column of its own, so that both branches below ask for the same exchange
+    d = df.select("*", row.alias("_row")).select("*", F.lead("_row").over(w_in).alias("_next"), F.first("_row").over(whole).alias("_first"))
+    # the last row of each bucket looks up the next bucket's first: only these rows (one per part and
+    # bucket) move once more; both branches read the one exchange by (part, bucket)
+    inner = d.where(F.col("_next").isNotNull()).drop("_first")
+    edge = d.where(F.col("_next").isNull()).withColumn("_next", F.lead("_first").over(Window.partitionBy(*part).orderBy(bucket))).drop("_first")
+    return inner.unionByName(edge).select(*df.columns, *[F.col(f"_next.v{i}").alias(o) for i, o in enumerate(outs)])
 
 
 _COMBINE = {
