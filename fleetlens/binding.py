@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.params import param_table
+from .sources import event_log as EVL
 from .sources.logs import (AUDIT_LOG, AUTOSCALER_LOG, CLUSTER_LOG, DRIVER_LOG,
                            RT_CLUSTER, RT_JOB, TELEMETRY_LOG)
 
@@ -342,6 +343,33 @@ def raw_logs(events: DataFrame) -> DataFrame:
     return out
 
 
+def event_log_lines(events: DataFrame) -> DataFrame:
+    """Spark event-log lines of every user's application (app, roll, at, line), ten days to a rolling file.
+
+    A run is heard of by its real start, by its context's start, or by both (the real start up
+    to 1.5 s later): kinds by (user_id + day of month) % 3.  Users with user_id % 5 = 4 never end.
+    """
+    def place(ts: Column, rank: int, event_id: Column) -> list[Column]:
+        return [F.concat(F.lit("app-"), F.col("user_id").cast("string")).alias("app"),
+                F.floor(F.datediff(ts, F.lit("2024-01-01")) / 10).cast("long").alias("roll"),
+                F.struct(F.unix_micros(ts).alias("us"), F.lit(rank).alias("rank"), event_id.alias("id")).alias("at")]
+
+    e = typed_events(events).withColumn("kind", F.when(F.col("event_type") == "signup", "EXECUTOR_ADDED").when(
+        F.col("event_type") == "error", "EXECUTOR_REMOVED")).where("kind is not null")
+    executors = e.select(*place(F.col("ts"), 2, F.col("event_id")), EVL.executor_line(
+        F.col("kind"), F.unix_millis("ts"), F.col("event_id").cast("string")).alias("line"))
+    r = runs(events).withColumn("how", (F.col("user_id") + F.dayofmonth("run_date")) % 3)
+    name = F.concat_ws("/", "cluster_name", "recipe_filename")
+    zero = F.lit(0).cast("long")
+    begun, ended = F.unix_millis("app_start_ts"), F.unix_millis("app_end_ts")
+    real = F.timestamp_millis(begun + F.when(F.col("how") == 2, F.col("user_id") % 4 * 500).otherwise(0))
+    contexts = r.where("how > 0").select(*place(F.timestamp_millis(begun), 0, zero), EVL.environment_line(begun, name).alias("line"))
+    starts = r.where("how <> 1").withColumn("real", real).select(*place(F.col("real"), 1, zero), EVL.start_line(
+        F.unix_millis("real"), name, F.concat(F.lit("app-"), F.col("user_id").cast("string"))).alias("line"))
+    ends = r.where("user_id % 5 <> 4").select(*place(F.timestamp_millis(ended), 3, zero), EVL.end_line(ended).alias("line"))
+    return executors.unionByName(contexts).unionByName(starts).unionByName(ends)
+
+
 def cluster_masters(exits: DataFrame, reference_exits: DataFrame) -> DataFrame:
     """Deployed / fresh master per executor cluster seen in the exit-code logs;
     the reference config carries a promotion tag when the reference window had

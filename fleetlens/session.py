@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared checkpoint folder (made by who writes there)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers (once per application).
 
