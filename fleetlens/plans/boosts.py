@@ -138,13 +138,15 @@ def resolve_signals(signals: DataFrame, configs: DataFrame) -> DataFrame:
                     how.alias("resolution"))
 
 
-def unresolved_report(resolved: DataFrame, vitamin: str, source: str) -> DataFrame:
-    """K9: unresolved signals deduplicated by (vitamin, job, cluster), counted per source."""
-    u = (resolved.filter(~F.col("resolved"))
-         .select(F.lit(vitamin).alias("vitamin_name"), F.lit(source).alias("csv_source"), "job_id", "cluster_name")
-         .dropDuplicates(["vitamin_name", "job_id", "cluster_name"]))
-    return u.groupBy("vitamin_name", "csv_source").agg(F.count(F.lit(1)).alias("unresolved"),
-                                                       F.count_distinct("cluster_name").alias("clusters"))
+def unresolved_signals(resolved: DataFrame, vitamin: str, source: str) -> DataFrame:
+    """K9: the unresolved signals, one row per (vitamin, job, cluster): the latest one, with the number of them
+    per vitamin and source."""
+    rest = [c for c in ("latest_driver_log_ts", "latest_driver_message") if c in resolved.columns]
+    u = (resolved.filter(~F.col("resolved")).select(F.lit(vitamin).alias("vitamin_name"), F.lit(source).alias("csv_source"), "job_id", "cluster_name", *rest)
+         .groupBy("vitamin_name", "csv_source", "job_id", "cluster_name")
+         .agg(*[F.max(c).alias(c) for c in rest]))
+    counts = u.groupBy("vitamin_name", "csv_source").agg(F.count(F.lit(1)).alias("unresolved_count"))
+    return u.join(counts, ["vitamin_name", "csv_source"])
 
 
 # --- D7 / D8 / D9: lifecycles -----------------------------------------------------------
@@ -190,6 +192,34 @@ def heap_boost_single(configs: DataFrame, signals: DataFrame, factor: float = HE
                     F.when(done, "holding").otherwise("new").alias("state"))
 
 
+def heap_boost_chain(configs: DataFrame, dated_signals: DataFrame, dates: list[str], factor: float = HEAP_BOOST_FACTOR) -> DataFrame:
+    """D7 over any number of dates: each date's run starts from the memory and factor the run before left.
+
+    ``dated_signals`` has (cluster, recipe, snapshot_date); ``dates`` are the runs, in order.  A
+    recipe's dates with a signal are one array (at most as many as there are dates), folded by
+    one ordered ``aggregate``: new, re-boost or holding per date from the first boost on, or
+    from the first date for a recipe that is tagged already.
+    """
+    hit = dated_signals.where(F.col("snapshot_date").isin(dates)).groupBy(*KEYS).agg(F.collect_set("snapshot_date").alias("_hits"))
+    j = configs.join(hit, KEYS, "left").select(
+        *KEYS, memory_gb(F.coalesce(opt("spark_opts", MEMORY_KEY), F.lit(DEFAULT_MEMORY))).cast("int").alias("_gb"),
+        opt("extra", HEAP_TAG).try_cast("double").alias("_factor"), F.coalesce("_hits", F.array().cast("array<string>")).alias("_hits"))
+    step = "struct<snapshot_date:string,state:string,original_memory_gb:int,boosted_memory_gb:int,cumulative_factor:double>"
+    start = F.struct(F.col("_gb").alias("gb"), F.col("_factor").alias("factor"), F.array().cast(f"array<{step}>").alias("steps"))
+
+    def run(acc: Column, date: Column) -> Column:
+        signal = F.array_contains("_hits", date)
+        state = F.when(signal & acc["factor"].isNull(), "new").when(signal, "re-boost").when(acc["factor"].isNotNull(), "holding")
+        gb = F.when(signal, F.ceil(acc["gb"] * factor).cast("int")).otherwise(acc["gb"])
+        total = F.when(signal, F.coalesce(acc["factor"], F.lit(1.0)) * factor).otherwise(acc["factor"])
+        row = F.struct(date.alias("snapshot_date"), state.alias("state"), acc["gb"].alias("original_memory_gb"), gb.alias("boosted_memory_gb"),
+                       total.alias("cumulative_factor"))
+        return F.struct(gb.alias("gb"), total.alias("factor"), F.concat(acc["steps"], F.array(row)).alias("steps"))
+
+    folded = F.aggregate(F.array(*[F.lit(d) for d in dates]), start, run)["steps"]
+    return j.select(*KEYS, F.inline(folded)).where("state is not null")
+
+
 def cap_touching(signals: DataFrame, configs: DataFrame, ratio: float = SCALE_CAP_TOUCH_RATIO) -> DataFrame:
     """T13 gate: p95 run-max executors / dynamicAllocation.maxExecutors >= ratio; recipes without a positive maximum never pass."""
     c = configs.select(*KEYS, opt("spark_opts", "spark.dynamicAllocation.maxExecutors").try_cast("int").alias("_max")) \

@@ -21,13 +21,16 @@ from .plans import boosts as BO
 from .sources import inputs as IN
 from .streaming import eventlog as EL
 from .streaming import incremental as INC
+from .streaming import online as ON
 from .plans import diagnostics as DG
 from .plans import integrity as IG
 from .plans import sizing as SZ
 from .plans import snapshots as SN
 from .plans import statistics as ST
-from .session import cut_lineage
+from .session import cut_lineage, new_folder
+from .sources import event_log as EVL
 from .sources import logs as L
+from .sources import store as SS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,18 +107,22 @@ def _log_queries() -> dict[str, Query]:
 
 
 def snapshot_metrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """b13 metric tables of the reference and current comparison windows.
+    """b13 metric tables of the reference and current comparison windows, from the snapshot store (written once)."""
+    ev, cap = _events(spark, sf_dir), B.capacity(spark)
+    folder = _store(spark, sf_dir)
+
+    def one(which: str) -> DataFrame:
+        def make() -> DataFrame:
+            e = B.snapshot_events(ev, which)
+            return LQ.b13_metrics(B.runs(e), B.executor_events(e), cap)
+        return SS.stored(spark, folder, "metrics", which, make)
+
+    return one("reference"), one("current")
 
-    Left lazy: most comparison queries read each snapshot once, and an eager
-    checkpoint would also compute a snapshot a query does not use (measured
-    slower at sf0.1).  On a cluster the snapshots are written per date."""
-    ev = _events(spark, sf_dir)
-    cap = B.capacity(spark)
-    out = []
-    for which in ("reference", "current"):
-        e = B.snapshot_events(ev, which)
-        out.append(LQ.b13_metrics(B.runs(e), B.executor_events(e), cap))
-    return out[0], out[1]
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """The snapshot store of an events table: tables that many queries read are computed once."""
+    return SS.folder_of_input(spark, "snapshots", f"{sf_dir}/events*.parquet")
 
 
 def _snapshot_queries() -> dict[str, Query]:
@@ -176,10 +183,9 @@ ALIVE_AT = "2024-01-15 12:00:00"
 def fleet_spans_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Incarnations (b20) and cost-moving autoscaler events (b21 + S8)."""
     ev = _events(spark, sf_dir)
-    spans = LQ.b20_incarnations(B.audit_logs(ev), ordered=False)
-    events = CO.cost_events(LQ.b21_recommendations(B.autoscaler_logs(ev), ordered=False))
-    # both feed several branches of every cost plan: materialise once
-    return cut_lineage(spans), cut_lineage(events)
+    folder = _store(spark, sf_dir)
+    return (SS.stored(spark, folder, "spans", "all", lambda: LQ.b20_incarnations(B.audit_logs(ev), ordered=False)),
+            SS.stored(spark, folder, "autoscaler", "all", lambda: CO.cost_events(LQ.b21_recommendations(B.autoscaler_logs(ev), ordered=False))))
 
 
 def spans_and_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +242,7 @@ def _diagnostic_queries() -> dict[str, Query]:
 def fleet_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """b13 metric table over the whole events table (the single-snapshot tuner input)."""
     ev = _events(spark, sf_dir)
-    return cut_lineage(LQ.b13_metrics(B.runs(ev), B.executor_events(ev), B.capacity(spark)))
+    return SS.stored(spark, _store(spark, sf_dir), "metrics", "fleet", lambda: LQ.b13_metrics(B.runs(ev), B.executor_events(ev), B.capacity(spark)))
 
 
 def fleet_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -278,12 +284,15 @@ def _sizing_queries() -> dict[str, Query]:
 REFERENCE_DATE = "2024_01_15"
 
 
+def all_oom_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _events(spark, sf_dir)
+    return SS.stored(spark, _store(spark, sf_dir), "oom", "all", lambda: LQ.b16_oom_latest(B.driver_logs(ev).unionByName(B.telemetry_logs(ev))).select(
+        "job_id", "cluster_name", "recipe_filename", "latest_driver_log_ts"))
+
+
 def oom_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """b16 heap-OOM signals of the current and reference windows."""
-    ev = _events(spark, sf_dir)
-    b16 = LQ.b16_oom_latest(B.driver_logs(ev).unionByName(B.telemetry_logs(ev))).select(
-        "job_id", "cluster_name", "recipe_filename", "latest_driver_log_ts")
-    b16 = cut_lineage(b16)
+    b16 = all_oom_signals(spark, sf_dir)
     return b16.filter(B.is_current("latest_driver_log_ts")), b16.filter(~B.is_current("latest_driver_log_ts"))
 
 
@@ -390,11 +399,46 @@ def _event_queries() -> dict[str, Query]:
         ev = _events(s, d)
         return EL.app_lifecycle(B.runs(ev), LQ.status_events(B.status_logs(ev)), AS_OF)
 
+    def logged(s, d):
+        return EVL.read_event_log(s, EVL.write_event_log(B.event_log_lines(_events(s, d)), new_folder(s, "event-log")))
+
+    def logged_counts(s, d):
+        counts = EL.executor_running_counts(EVL.executor_events_of(logged(s, d)), app, tie="place")
+        return counts.select(*app, F.col("executor_id").cast("long").alias("event_id"), "evt_ts", "executor_event",
+                             "current_executors", "max_executors_seen", "min_executors_seen")
+
+    def logged_lifecycle(s, d):
+        log = logged(s, d)
+        real, context, ends = EVL.starts_of(log)
+        lived = EL.started_lifecycle(EL.reconciled_starts(real, context), ends, AS_OF)
+        return lived.join(EVL.app_names(log), "app_id").drop("app_id")
+
+    def in_parts(s, d, run, parts=3):
+        """The events as files that arrive one after another, each with every parts-th event of the whole time span;
+        a stream that is started anew for each file, from the state the last run left."""
+        work, ev = new_folder(s, "online"), _events(s, d)
+        for k in range(parts):
+            ev.where(F.col("event_id") % parts == k).write.parquet(f"{work}/arrived/part={k}")
+            stream = (s.readStream.schema(INC.EVENTS_SCHEMA).option("maxFileAge", "36500d").option("recursiveFileLookup", "true")
+                      .option("pathGlobFilter", "*.parquet").parquet(f"{work}/arrived"))
+            run(B.executor_events(stream), work)
+        return work
+
+    def online_counts(s, d):
+        return ON.running_counts(s, in_parts(s, d, ON.fold_running_counts))
+
+    def online_windows(s, d):
+        return ON.window_counts(s, in_parts(s, d, ON.count_windows))
+
     return {
         "executor_running_counts": running,
         "app_lifecycle": lifecycle,
         "stream_counts": INC.stream_counts,
         "stream_executor_counts": INC.stream_executor_counts,
+        "event_log_counts": logged_counts,
+        "event_log_lifecycle": logged_lifecycle,
+        "online_executor_counts": online_counts,
+        "online_window_counts": online_windows,
     }
 
 
@@ -429,9 +473,11 @@ def _io_queries() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_documents
     out: dict[str, Query] = {}
     for group in (_log_queries(), _snapshot_queries(), _cost_queries(), _diagnostic_queries(),
-                  _sizing_queries(), _boost_queries(), _misc_queries(), _event_queries(), _io_queries()):
+                  _sizing_queries(), _boost_queries(), _misc_queries(), _event_queries(), _io_queries(),
+                  registry_documents.queries()):
         for name, fn in group.items():
             out[name] = _q(fn)
     return out
@@ -440,6 +486,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from .checks.oracle import log_query_sql
     from .checks.oracle_cost import cost_sql
+    from .checks.oracle_documents import document_sql
     from .checks.oracle_diag import diagnostics_sql
     from .checks.oracle_boosts import boost_sql
     from .checks.oracle_misc import misc_sql
@@ -451,4 +498,4 @@ def oracle_sql() -> dict[str, str]:
     from .checks.oracle_snapshots import snapshot_sql
     return {**log_query_sql(), **snapshot_sql(), **cost_sql(), **diagnostics_sql(), **sizing_sql(),
             **boost_sql(), **misc_sql(), **events_sql(), **io_sql(), **fold_sql(),
-            **evolution_sql()}
+            **evolution_sql(), **document_sql()}

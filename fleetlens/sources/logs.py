@@ -59,12 +59,35 @@ def read_raw_logs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
 
 
+#: Partition columns of a stored raw log.
+PARTITIONS = ("date", "resource_type")
+
+
+def with_partitions(logs: DataFrame) -> DataFrame:
+    """A raw log with the columns a stored one is partitioned by, its rows dealt by them and by a slice of the
+    rows' ids, so that a partition has few files and a large one many tasks."""
+    out = logs.withColumns({"date": F.to_date("timestamp"), "resource_type": F.col("resource.type")})
+    return out.repartition("date", "resource_type", F.pmod(F.xxhash64("insert_id"), F.lit(4)))
+
+
+def read_stored_logs(spark: SparkSession, path: str) -> DataFrame:
+    """A raw log stored by date and resource type; filters and joins on them choose the files that are read."""
+    return spark.read.schema(T.StructType([*RAW_LOG_SCHEMA.fields, T.StructField("date", T.DateType()),
+                                           T.StructField("resource_type", T.StringType())])).parquet(path)
+
+
+def of_dates(logs: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows of a stored log whose date is in a table of dates (a calendar, a list of failed days): the join's other
+    side chooses at run time which partitions are read."""
+    return logs.join(dates.select("date"), "date", "left_semi")
+
+
 def scan(logs: DataFrame, resource_type: str | None = None,
          log_name_like: str | None = None) -> DataFrame:
-    """The raw log view filtered by resource type and log-name pattern."""
+    """The raw log view filtered by resource type (the partition column where the log has one) and log-name pattern."""
     out = logs
     if resource_type is not None:
-        out = out.filter(F.col("resource.type") == resource_type)
+        out = out.filter(F.col("resource_type" if "resource_type" in logs.columns else "resource.type") == resource_type)
     if log_name_like is not None:
         out = out.filter(F.col("log_name").like(log_name_like))
     return out

@@ -19,10 +19,10 @@ from ..plans.boosts import KEYS
 def config_documents(cluster_conf: DataFrame, recipe_configs: DataFrame,
                      cost_timeline: DataFrame | None = None, flavour: str = "manual") -> DataFrame:
     """One JSON document per cluster -- ``clusterConf`` (fields in a
-    fixed order), ``recipeSparkConf`` (recipes by name) and an optional
-    ``cost_timeline``."""
+    fixed order), ``recipeSparkConf`` (recipes by ``position`` where that column is
+    given, else by name) and an optional ``cost_timeline``."""
     r = recipe_configs.select(
-        "cluster_name", "recipe_filename",
+        "cluster_name", "recipe_filename", F.col("position" if "position" in recipe_configs.columns else "recipe_filename").alias("_at"),
         F.struct(F.lit(5).alias("parallelizationFactor"), F.col("spark_opts").alias("sparkOptsMap"),
                  "total_executor_minimum_allocated_memory_gb", "total_executor_maximum_allocated_memory_gb",
                  F.try_element_at("extra", F.lit("appliedMemoryHeapBoostFactor")).cast("double")
@@ -33,10 +33,10 @@ def config_documents(cluster_conf: DataFrame, recipe_configs: DataFrame,
                  F.try_element_at("extra", F.lit("keptWithoutCurrentDate")).cast("boolean")
                  .alias("keptWithoutCurrentDate")).alias("conf"))
     recipes = r.groupBy("cluster_name").agg(
-        F.map_from_entries(F.array_sort(
-            F.collect_list(F.struct("recipe_filename", "conf")),
-            lambda a, b: F.when(a["recipe_filename"] < b["recipe_filename"], -1)
-            .when(a["recipe_filename"] > b["recipe_filename"], 1).otherwise(0))).alias("recipeSparkConf"))
+        F.map_from_entries(F.transform(F.array_sort(
+            F.collect_list(F.struct("_at", "recipe_filename", "conf")),
+            lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)),
+            lambda e: F.struct(e["recipe_filename"], e["conf"]))).alias("recipeSparkConf"))
     fields = [c for c in cluster_conf.columns if c != "cluster_name"]
     c = cluster_conf.select("cluster_name", F.create_map(F.col("cluster_name"), F.struct(*fields)).alias("clusterConf"))
     doc = c.join(recipes, "cluster_name", "left")
@@ -63,19 +63,6 @@ def write_report(df: DataFrame, out_dir: str, single_file: bool = True, mode: st
     out.write.mode(mode).option("header", True).csv(out_dir)
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Analysis outputs and snapshot tables as Parquet, partitioned (e.g. by date)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def runs_index(analysis_metadata: DataFrame) -> DataFrame:
-    """K7: analysis runs newest first (current date desc, then folder desc)."""
-    return analysis_metadata.orderBy(F.desc("current_date"), F.desc("dir"))
-
-
 def run_summary(decisions: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
     """K8: counts by trend, by action, and boost groups with new / holding counts,
     as one long table (section, label, count)."""
