@@ -232,3 +232,37 @@ def test_bounds_settle_members_and_ties():
 def test_matches_oracle(spark, name):
     r = compare(spark, name, queries.queries()[name], queries.oracle_sql()[name], SF, duck(SF))
     assert r["cols"] and r["values"] and r["rows"][0] == r["rows"][1], r["detail"]
+
+
+# op1: pairs -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rule", ["both", "one of two"])
+def test_toxicity_of_pairs_alone(spark, rule):
+    """Only the combination of two words decides; of `one of two` neither word tells anything by itself."""
+    import random
+
+    from fleetlens.llm import toxicity
+
+    rng = random.Random(4)
+    plain = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices(plain, k=30) + ["insult"] * a + ["folk"] * b
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(a and b) if rule == "both" else int(a != b)))
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = dict(labels)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == want[r.doc_id] for r in held) >= 0.9 * len(held) > 0
+
+
+def test_toxicity_sample_is_bounded_when_an_id_repeats(spark):
+    from fleetlens.llm import toxicity
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2)) and all(r.text in ("text 0", "b") for r in rows)
