@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .oracle import B13, B14, B20, CAPACITY, EV, metric_ctes
 from .oracle_boosts import CTES
-from .oracle_fold import CLUSTER_CONFIG
+from .oracle_cost import COST_CTES, PRICE
+from .oracle_diag import B14_CTES, MASTER_PROMOTION, _signals
+from .oracle_evolution import EVOLVED
+from .oracle_fold import CLUSTER_CONFIG, CLUSTER_SUMMARY
 from .oracle_snapshots import METRICS, SNAP_CTES, ZSCORE_DELTA, _pct
 from .oracle_snapshots import DECISIONS_CTE, TRENDS_CTE
 
@@ -139,8 +142,43 @@ UNION ALL SELECT file_name, place || '.total_executor_maximum_allocated_memory_g
 UNION ALL SELECT file_name, place || '.appliedMemoryHeapBoostFactor', CAST(CAST(prior AS DOUBLE) AS VARCHAR), CAST(factor AS VARCHAR) FROM b"""
 
 
+COST_DOCUMENTS = "WITH " + ",\n".join(COST_CTES) + f""", held AS (
+  SELECT s.cluster_name, s.incarnation_idx, COUNT(e.event_ts) AS events_count
+  FROM spans s LEFT JOIN cev e ON e.cluster_name = s.cluster_name AND e.event_ts BETWEEN s.span_start_ts AND s.span_end_ts GROUP BY 1, 2),
+used AS (
+  SELECT cluster_name, SUM(ws) / SUM(secs) AS mean_w, MAX(least_w) AS least_w, MAX(most_w) AS most_w
+  FROM (SELECT cluster_name, incarnation_idx, SUM(workers * seg_seconds) AS ws, SUM(seg_seconds) AS secs, MIN(workers) AS least_w, MAX(workers) AS most_w
+        FROM seg2 GROUP BY 1, 2) GROUP BY 1),
+total AS (SELECT cluster_name, SUM(total_cost_eur) AS cost, bool_or(cluster_name IN (SELECT cluster_name FROM synth)) AS made FROM inc GROUP BY 1)
+SELECT g.cluster_name, 'e2-standard-8' AS worker_machine_type, ROUND({PRICE}, 6) AS worker_hourly_eur, ROUND(u.mean_w, 6) AS real_used_avg_num_of_workers,
+       CAST(u.least_w AS INTEGER) AS real_used_min_workers, CAST(u.most_w AS INTEGER) AS real_used_max_workers, ROUND(t.cost, 6) AS total_cost_eur,
+       t.made AS has_synthetic_span, CAST(p.pos AS INTEGER) AS incarnation_pos, CAST(i.incarnation_idx AS INTEGER) AS idx, ROUND(i.span_minutes, 6) AS span_minutes,
+       ROUND(i.total_cost_eur, 6) AS span_cost_eur, t.made AS synthetic_span, h.events_count,
+       CAST(row_number() OVER (PARTITION BY g.cluster_name, g.incarnation_idx ORDER BY g.from_ts, g.to_ts) - 1 AS INTEGER) AS interval_pos,
+       g.from_ts, g.to_ts, g.workers, ROUND(g.seg_seconds, 6) AS seg_seconds, ROUND(g.worker_cost_eur + g.master_cost_eur, 6) AS seg_cost_eur
+FROM seg2 g JOIN inc i USING (cluster_name, incarnation_idx) JOIN held h USING (cluster_name, incarnation_idx) JOIN used u USING (cluster_name)
+JOIN total t USING (cluster_name)
+JOIN (SELECT cluster_name, incarnation_idx, row_number() OVER (PARTITION BY cluster_name ORDER BY incarnation_idx) - 1 AS pos FROM spans) p USING (cluster_name, incarnation_idx)"""
+
+EVOLVED_CLUSTERS = f"""WITH e AS ({EVOLVED}), p AS ({MASTER_PROMOTION}), s AS ({CLUSTER_SUMMARY}), o AS (
+  SELECT cluster_name, eviction_description AS diagnostic_reason FROM (
+    {"WITH " + ", ".join([B14_CTES, "cur_x AS (SELECT * FROM b14 WHERE timestamp >= TIMESTAMP '2024-01-16')", _signals("cur", "cur_x")])} SELECT * FROM cur) WHERE eviction_count > 0),
+g AS (
+  SELECT cluster_name, any_value(cluster_action) AS cluster_action, COUNT(*) AS recipes, COUNT(keptWithoutCurrentDate) AS kept_recipes,
+         COUNT(appliedMemoryHeapBoostFactor) AS heaps, string_agg(recipe_filename, ';' ORDER BY recipe_filename) FILTER (appliedMemoryHeapBoostFactor IS NOT NULL) AS heap_names,
+         COUNT(appliedExecutorScaleFactor) AS scales, string_agg(recipe_filename, ';' ORDER BY recipe_filename) FILTER (appliedExecutorScaleFactor IS NOT NULL) AS scale_names
+  FROM e GROUP BY 1)
+SELECT g.cluster_name, cluster_action, recipes, kept_recipes, p.promoted_master, p.reason AS promotion_reason, p.state AS promotion_state,
+       CASE WHEN o.cluster_name IS NOT NULL THEN 8 END AS driver_memory_gb, CASE WHEN o.cluster_name IS NOT NULL THEN 4 END AS driver_cores,
+       CASE WHEN o.cluster_name IS NOT NULL THEN 2 END AS driver_memory_overhead_gb, o.diagnostic_reason,
+       heaps AS "boostedMemoryHeapJobCount", heap_names AS "boostedMemoryHeapJobList", scales AS "scaledMaxExecutorsJobCount", scale_names AS "scaledMaxExecutorsJobList",
+       s.total_active_minutes AS wall_clock_minutes, s.estimated_cost_eur
+FROM g LEFT JOIN p USING (cluster_name) LEFT JOIN o USING (cluster_name) LEFT JOIN s USING (cluster_name)"""
+
+
 def document_sql() -> dict[str, str]:
     return {"snapshot_store": SNAPSHOT_STORE, "runs_index": RUNS_INDEX, "stored_b13_metrics": B13, "stored_b14_nonzero_exits": B14,
             "stored_b20_incarnations": B20, "heap_boost_chain": HEAP_BOOST_CHAIN, "heap_boost_single": HEAP_BOOST_SINGLE,
             "prioritised_signals": PRIORITISED, "unresolved_signals": UNRESOLVED, "divergence_report": ZSCORE_DELTA,
-            "analysis_document": ANALYSIS, "boosted_documents": BOOSTED_DOCUMENTS, "content_diff": CONTENT_DIFF, "path_diff": PATH_DIFF}
+            "analysis_document": ANALYSIS, "boosted_documents": BOOSTED_DOCUMENTS, "content_diff": CONTENT_DIFF, "path_diff": PATH_DIFF,
+            "cost_documents": COST_DOCUMENTS, "evolved_clusters": EVOLVED_CLUSTERS}

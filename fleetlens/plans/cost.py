@@ -177,27 +177,53 @@ def cost_timeline(spans: DataFrame, segments: DataFrame) -> DataFrame:
         .join(inc, ["cluster_name", "incarnation_idx"])
 
 
-def cost_timeline_json(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """N6 nested: cluster -> incarnations -> intervals, as one JSON string per cluster.
+INCARNATIONS_PER_DOCUMENT = 1000
 
-    Only for the per-cluster config sink; the nested value holds one cluster's
-    intervals (bounded by its autoscaler decisions in the window).
+
+def cost_timeline_documents(spans: DataFrame, segments: DataFrame, events: DataFrame, worker: str = "e2-standard-8",
+                            master: str = "e2-standard-8", per_document: int = INCARNATIONS_PER_DOCUMENT) -> DataFrame:
+    """N6 nested: cluster -> incarnations -> intervals, with machine types, hourly prices, the workers really used and flags.
+
+    A document holds ``per_document`` incarnations of a cluster (``part`` numbers them); its
+    header and totals are the cluster's.  ``spans`` say which are ``synthetic``; the events
+    inside a span are counted.
     """
-    iv = segments.groupBy("cluster_name", "incarnation_idx").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("from_ts"), F.col("to_ts"), F.col("workers"), F.round("seg_seconds", 0).alias("seg_seconds"),
-            F.round(F.col("worker_cost_eur") + F.col("master_cost_eur"), 4).alias("seg_cost_eur")))).alias("intervals"))
-    inc = incarnation_cost(spans, segments).join(iv, ["cluster_name", "incarnation_idx"], "left")
-    per_cluster = inc.groupBy("cluster_name").agg(
-        F.round(F.sum("total_cost_eur"), 4).alias("total_cost_eur"),
-        F.array_sort(F.collect_list(F.struct(
-            F.col("incarnation_idx").alias("idx"), "span_start_ts", "span_end_ts",
-            F.round("span_minutes", 2).alias("span_minutes"), F.round("avg_workers", 2).alias("avg_workers"),
-            "min_workers", "max_workers", F.round("worker_cost_eur", 4).alias("worker_cost_eur"),
-            F.round("master_cost_eur", 4).alias("master_cost_eur"),
-            F.round("total_cost_eur", 4).alias("total_cost_eur"), "intervals"))).alias("incarnations"))
-    return per_cluster.select("cluster_name", F.to_json(F.struct("total_cost_eur", "incarnations"))
-                              .alias("cost_timeline"))
+    key = ["cluster_name", "incarnation_idx"]
+    inside = interval_join(spans.select(*SPAN_COLS), events.select("cluster_name", "event_ts", "_tie"), ["cluster_name"], "span_start_ts",
+                           "span_end_ts", "event_ts", how="inner", bucket_seconds=DAY).groupBy(*key).agg(F.count(F.lit(1)).alias("events_count"))
+    intervals = segments.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+        "from_ts", "to_ts", "workers", "seg_seconds", (F.col("worker_cost_eur") + F.col("master_cost_eur")).alias("seg_cost_eur")))).alias("intervals"))
+    inc = (incarnation_cost(spans, segments).join(spans.select(*key, F.col("synthetic").alias("synthetic_span")), key)
+           .join(inside, key, "left").join(intervals, key, "left"))
+    totals = inc.groupBy("cluster_name").agg(F.sum("total_cost_eur").alias("total_cost_eur"), F.bool_or("synthetic_span").alias("has_synthetic_span"))
+    used = worker_stats(segments).select("cluster_name", F.col("avg_workers").alias("real_used_avg_num_of_workers"),
+                                         F.col("min_workers").alias("real_used_min_workers"), F.col("max_workers").alias("real_used_max_workers"))
+    one = F.struct(F.col("incarnation_idx").alias("idx"), "span_start_ts", "span_end_ts", "span_minutes", "avg_workers", "min_workers", "max_workers",
+                   "worker_cost_eur", "master_cost_eur", "total_cost_eur", "synthetic_span",
+                   F.coalesce("events_count", F.lit(0)).alias("events_count"),
+                   F.coalesce("intervals", F.array().cast(intervals.schema["intervals"].dataType)).alias("intervals"))
+    docs = inc.groupBy("cluster_name", F.floor(F.col("incarnation_idx") / per_document).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_list(one), lambda a, b: a["idx"] - b["idx"]).alias("incarnations"))
+    return docs.join(totals, "cluster_name").join(used, "cluster_name", "left").select(
+        "cluster_name", "part", F.lit(worker).alias("worker_machine_type"), F.lit(master).alias("master_machine_type"),
+        F.lit(price_of(worker)).alias("worker_hourly_eur"), F.lit(price_of(master)).alias("master_hourly_eur"),
+        F.coalesce("real_used_avg_num_of_workers", F.lit(0.0)).alias("real_used_avg_num_of_workers"),
+        F.coalesce("real_used_min_workers", F.lit(0)).alias("real_used_min_workers"),
+        F.coalesce("real_used_max_workers", F.lit(0)).alias("real_used_max_workers"), "total_cost_eur", "has_synthetic_span", "incarnations")
+
+
+def cost_timeline_json(documents: DataFrame) -> DataFrame:
+    """The documents as JSON text (cluster_name, part, cost_timeline), numbers rounded as in the report."""
+    places = {"span_minutes": 2, "avg_workers": 2, "worker_cost_eur": 4, "master_cost_eur": 4, "total_cost_eur": 4, "seg_seconds": 0, "seg_cost_eur": 4}
+    field = lambda r, c: (F.round(r[c], places[c]) if c in places else r[c]).alias(c)
+    kind = documents.schema["incarnations"].dataType.elementType
+    part = kind["intervals"].dataType.elementType
+    incarnations = F.transform("incarnations", lambda r: F.struct(
+        *[field(r, c) for c in kind.names if c != "intervals"],
+        F.transform(r["intervals"], lambda s: F.struct(*[field(s, c) for c in part.names])).alias("intervals")))
+    head = [F.round(c, 4).alias(c) if c.endswith("_eur") else F.round(c, 2).alias(c) if c == "real_used_avg_num_of_workers" else F.col(c)
+            for c in documents.columns if c not in ("cluster_name", "part", "incarnations")]
+    return documents.select("cluster_name", "part", F.to_json(F.struct(*head, incarnations.alias("incarnations"))).alias("cost_timeline"))
 
 
 def address_level(ips: Column, quota: int = IP_QUOTA, warn_pct: int = IP_WARN_PCT,
@@ -256,7 +282,7 @@ def deployed_pricing(cluster_conf: DataFrame, prices: DataFrame, default_machine
     default_price = price_of(default_machine)
     w = p.select(F.col("machine_type").alias("worker_machine_type"), F.col("price_eur_per_hour").alias("_wp"))
     m = p.select(F.col("machine_type").alias("master_machine_type"), F.col("price_eur_per_hour").alias("_mp"))
-    c = cluster_conf.join(F.broadcast(w), "worker_machine_type", "left").join(F.broadcast(m), "master_machine_type", "left")
+    c = cluster_conf.join(w, "worker_machine_type", "left").join(m, "master_machine_type", "left")
     return c.select("cluster_name", F.coalesce("_wp", F.lit(default_price)).alias("worker_hourly_eur"),
                     F.coalesce("_mp", F.lit(default_price)).alias("master_hourly_eur"),
                     F.coalesce(F.col("num_workers").cast("double"), F.lit(float(default_workers))).alias("fallback_workers"))

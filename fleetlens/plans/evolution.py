@@ -23,10 +23,11 @@ from . import snapshots as SN
 KEYS = ["cluster_name", "recipe_filename"]
 
 
-def evolve_configs(reference_metrics: DataFrame, current_metrics: DataFrame, reference_configs: DataFrame,
-                   current_oom: DataFrame, reference_oom: DataFrame, scale_signals: DataFrame | None,
-                   reference_date: str, strategy: SZ.Strategy = SZ.STRATEGIES["default"],
-                   reference_scale: DataFrame | None = None) -> DataFrame:
+def evolve(reference_metrics: DataFrame, current_metrics: DataFrame, reference_configs: DataFrame,
+           current_oom: DataFrame, reference_oom: DataFrame, scale_signals: DataFrame | None,
+           reference_date: str, strategy: SZ.Strategy = SZ.STRATEGIES["default"],
+           reference_scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Evolved recipe configs (with their cluster's action), and the heap and scale boosts that were applied."""
     # Each step below reads the previous one in several branches; checkpoints at
     # the step boundaries keep the plans (and a retry after a lost executor) small.
     trends = cut_lineage(SN.trend_class(SN.pair_snapshots(reference_metrics, current_metrics)))
@@ -50,10 +51,35 @@ def evolve_configs(reference_metrics: DataFrame, current_metrics: DataFrame, ref
 
     configs = cut_lineage(kept_ref.unionByName(fresh).drop("kept"))
     all_oom = current_oom.unionByName(reference_oom)
-    heap = BO.heap_boost_state(configs, all_oom, current_oom)
+    heap = cut_lineage(BO.heap_boost_state(configs, all_oom, current_oom))
     configs = cut_lineage(BO.apply_heap_boosts(configs, heap))
+    scale = None
     if scale_signals is not None:
         now = BO.cap_touching(scale_signals, configs)
         ever = now if reference_scale is None else now.unionByName(BO.cap_touching(reference_scale, configs))
-        configs = BO.apply_scale_boosts(configs, BO.scale_boost_state(configs, ever, now))
-    return configs.join(actions, "cluster_name", "left")
+        scale = cut_lineage(BO.scale_boost_state(configs, ever, now))
+        configs = BO.apply_scale_boosts(configs, scale)
+    return configs.join(actions, "cluster_name", "left"), heap, scale
+
+
+def evolve_configs(*args, **more) -> DataFrame:
+    """The configs of ``evolve``."""
+    return evolve(*args, **more)[0]
+
+
+def evolved_clusters(configs: DataFrame, heap: DataFrame, scale: DataFrame | None, promotions: DataFrame, overrides: DataFrame,
+                     cost: DataFrame) -> DataFrame:
+    """One row per cluster of what the evolution job decides besides the recipes: action, master promotion (a promoted
+    master replaces the deployed one; "holding" keeps it), driver overrides, boost counters with the recipes' names, cost."""
+    def counters(boosts: DataFrame | None, names: tuple[str, str]) -> DataFrame:
+        some = configs.limit(0).select(*KEYS) if boosts is None else boosts.select(*KEYS)
+        return some.groupBy("cluster_name").agg(F.count_distinct("recipe_filename").alias(names[0]),
+                                                F.array_join(F.array_sort(F.collect_set("recipe_filename")), ";").alias(names[1]))
+
+    out = configs.groupBy("cluster_name").agg(F.first("cluster_action").alias("cluster_action"), F.count(F.lit(1)).alias("recipes"),
+                                              F.count(BO.opt("extra", BO.KEPT_TAG)).alias("kept_recipes"))
+    promoted = promotions.select("cluster_name", "promoted_master", F.col("reason").alias("promotion_reason"), F.col("state").alias("promotion_state"))
+    for more in (promoted, overrides, counters(heap, BO.HEAP_COUNTERS), counters(scale, BO.SCALE_COUNTERS),
+                 cost.select("cluster_name", "wall_clock_minutes", "estimated_cost_eur")):
+        out = out.join(more, "cluster_name", "left")
+    return out.na.fill(0, [BO.HEAP_COUNTERS[0], BO.SCALE_COUNTERS[0]])

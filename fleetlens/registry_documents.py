@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from . import binding as B
 from . import registry as R
 from .plans import boosts as BO
+from .plans import cost as CO
+from .plans import diagnostics as DG
 from .plans import documents as DO
+from .plans import evolution as EV
 from .plans import log_queries as LQ
 from .plans import sizing as SZ
 from .plans import snapshots as SN
@@ -166,6 +169,32 @@ def _two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return cut_lineage(a.select("file_name", "value")), cut_lineage(b.select("file_name", "value"))
 
 
+# --- D14, N6 --------------------------------------------------------------------------------------------------------
+
+def evolved_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs, cur, ref, ref_m, cur_m = R.boost_inputs(spark, sf_dir)
+    out, heap, scale = EV.evolve(ref_m, cur_m, configs, cur, ref, ST.scale_signals(cur_m, ref_m), R.REFERENCE_DATE,
+                                 reference_scale=ST.scale_signals(ref_m, cur_m))
+    exits = cut_lineage(R.exit_code_table(spark, sf_dir))
+    now, before = (DG.exit_signals(exits.where(x)) for x in (B.is_current("_ts"), ~B.is_current("_ts")))
+    promotions = DG.master_promotions(spark, now, before, B.cluster_masters(exits.where(B.is_current("_ts")), exits.where(~B.is_current("_ts"))))
+    spans, segments = (cut_lineage(B.at_home(x)) for x in R.spans_and_segments(spark, sf_dir))
+    return EV.evolved_clusters(cut_lineage(out), heap, scale, promotions, DG.driver_overrides(now), CO.cluster_cost(spans, segments))
+
+
+def cost_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested cost timeline, opened again: a row per interval with the header, the incarnation and the interval's place."""
+    spans, events = R.fleet_spans_events(spark, sf_dir)
+    every = CO.with_synthetic(spans, events)
+    doc = CO.cost_timeline_documents(every, CO.span_segments(every, events), events)
+    inc = doc.select("cluster_name", "worker_machine_type", "worker_hourly_eur", "real_used_avg_num_of_workers", "real_used_min_workers",
+                     "real_used_max_workers", "total_cost_eur", "has_synthetic_span", F.posexplode("incarnations").alias("incarnation_pos", "i"))
+    flat = inc.select("*", F.col("i.idx").alias("idx"), F.col("i.span_minutes").alias("span_minutes"), F.col("i.total_cost_eur").alias("span_cost_eur"),
+                      F.col("i.synthetic_span").alias("synthetic_span"), F.col("i.events_count").alias("events_count"),
+                      F.posexplode("i.intervals").alias("interval_pos", "s")).drop("i")
+    return flat.select("*", "s.*").drop("s")
+
+
 def queries() -> dict[str, R.Query]:
     return {
         "snapshot_store": snapshot_store,
@@ -174,6 +203,8 @@ def queries() -> dict[str, R.Query]:
         "stored_b14_nonzero_exits": lambda s, d: LQ.b14_nonzero_exits(raw_log_store(s, d)),
         "stored_b20_incarnations": lambda s, d: LQ.b20_incarnations(raw_log_store(s, d).where(
             F.col("log_name").isin(L.AUDIT_LOG, L.CLUSTER_LOG) & L.label("cluster_name").startswith("fleet-"))),
+        "evolved_clusters": evolved_clusters,
+        "cost_documents": cost_documents,
         "heap_boost_chain": chain,
         "heap_boost_single": single,
         "prioritised_signals": prioritised,
