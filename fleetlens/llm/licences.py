@@ -1,24 +1,28 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
-A paragraph is a run of lines that are not blank, so a notice wrapped over lines is
-read as one.  Inside it, windows a little longer than each template slide over the
-words; the parts that hold enough of a template's n-grams (one to three words; cosine
-of counts on the template's side) are its matches.  A sparse multinomial logistic
-regression, trained here on the template notices below and variants of them with words
-dropped and put around against lines of the corpus itself (a bounded sample as the
-unknown class), gives each match a probability per licence family.  A temperature
-fitted on held-out variants calibrates it.  A match counts only when its template's
-family is the likeliest and reaches ``MIN_PROBABILITY``, and of overlapping matches the
-one that holds most of its template counts.
-
-A window can hold enough of a template only if it holds one of the template's seeds,
-its most telling word pairs: without them less than ``MIN_TEMPLATE_COSINE`` is left
-(of templates of two words the pair itself is asked for).  So only the words around
-seeds are looked at, and a paragraph without a seed is unknown without further work.
-
-Edge cases: null or empty text has no paragraphs and no licence; ties between
-families go to the first in alphabetical order; repeated rows are scanned once each;
-an empty table gives no rows (the model is then trained on templates alone).
+A paragraph is a run of lines that are not blank, so a notice wrapped over lines is read as
+one.  A sparse multinomial logistic regression on word pairs and triples reads every
+paragraph in sliding parts (``PARTS`` words) and gives each part a probability per licence
+family and for ``unknown``.  It is trained here on the notices below and variants of them
+with words dropped and put around; its unknown class on notices of licences outside the
+families, on sentences that speak about licences without giving one, and on a bounded
+sample of the corpus.  A temperature fitted on held-out variants calibrates it.
+
+Where a family is likelier than every other and than unknown, and reaches
+``MIN_PROBABILITY``, the family's notices are compared with the words of the part and
+around it: a stretch that holds enough of one (n-grams of one to three words; cosine of
+counts on the notice's side) confirms the prediction, if the classifier still says so of the
+stretch with ``CONTEXT`` words on both sides ("not licensed under", "Affero", "1.1").  Of
+overlapping stretches the one that holds most of its notice counts.
+
+A part without a known pair has the bias alone, which says unknown, so only parts that
+begin at a known pair are scored: the others' answer is the same.  A stretch can hold enough
+of a notice only if it holds one of the notice's seeds, its most telling word pairs, so the
+comparison looks at the words around seeds.
+
+Edge cases: null or empty text has no paragraphs and no licence; ties between families go to
+the first in alphabetical order; repeated rows are scanned once each; an empty table gives
+no rows (the model is then trained on notices alone).
 """
 
 from __future__ import annotations
@@ -128,10 +132,60 @@ TEMPLATES = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at",
     ),
 }
+TEMPLATES |= {
+    "agpl": (
+        "GNU AFFERO GENERAL PUBLIC LICENSE",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "GNU Affero General Public License v3.0",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "Licensed under the AGPL v3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see",
+    ),
+    "cc_by_nd": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Creative Commons Attribution-NoDerivatives 4.0 International",
+        "Licensed under CC BY-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+    ),
+    "epl": (
+        "Eclipse Public License 2.0",
+        "Eclipse Public License - v 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    ),
+}
+#: What other published licences are named by, and sentences about licences that give none.
+OTHERS = (
+    "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier: Apache-1.1",
+    "SPDX-License-Identifier: Apache-1.0", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: CDDL-1.0", "SPDX-License-Identifier: OFL-1.1",
+    "SPDX-License-Identifier: Artistic-2.0", "SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: MS-PL", "SPDX-License-Identifier: WTFPL",
+    "SPDX-License-Identifier: Python-2.0", "SPDX-License-Identifier: CPL-1.0", "SPDX-License-Identifier: OSL-3.0", "SPDX-License-Identifier: MulanPSL-2.0",
+    "Apache License Version 1.1", "Apache Software License, Version 1.0", "Licensed under the Apache License, Version 1.1.", "Boost Software License 1.0", "Common Public License 1.0",
+    "IBM Public License Version 1.0", "Sun Public License Version 1.0", "European Union Public Licence v. 1.2", "Open Software License 3.0",
+    "Microsoft Public License", "Academic Free License v3.0", "The Artistic License 2.0", "Common Development and Distribution License 1.0",
+    "SIL Open Font License Version 1.1", "Do What The Fuck You Want To Public License", "GNU Free Documentation License Version 1.3", "Netscape Public License Version 1.1",
+    "Lucent Public License Version 1.02", "Python Software Foundation License Version 2", "Mozilla Public License Version 1.0", "Mozilla Public License Version 1.1",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable",
+    "This is free and unencumbered software released into the public domain.",
+    "This is not licensed under the MIT License.", "This is not licensed under the Apache License, Version 2.0.", "Not released under the BSD License.",
+    "This work is not licensed under the GNU General Public License.", "The code is no longer licensed under the Mozilla Public License 2.0.",
+    "We do not use the MIT License.", "It is neither under the GNU Lesser General Public License nor in the public domain.",
+    "This text is free to read.", "All rights reserved.", "The license plate was lost.", "See the terms of use and the privacy policy.",
+    "Version 2.0 was released in source and binary form.", "The general public is permitted to use the work.", "Permission to enter was granted by law.",
+    "You may not use this file.", "The program is distributed by the author.", "A copy of the letter should be included in all copies.",
+)
 UNKNOWN = "unknown"
 
-MAX_NEGATIVE_PARAGRAPHS = 4_096
+#: Bounds of the corpus sample that the unknown class is trained on (documents, texts where ids repeat, paragraphs), and
+#: of its words that are put around notices.
+MAX_NEGATIVE_DOCUMENTS, MAX_NEGATIVE_TEXTS, MAX_NEGATIVE_PARAGRAPHS, MAX_FILLER_WORDS = 64, 256, 4_096, 5_000
 MIN_PROBABILITY = 0.5
+#: Words of the parts that the classifier reads at once (short ones for headings inside other text), and of context
+#: around a stretch that confirms it.
+PARTS, CONTEXT = (8, 32), 4
 MIN_TEMPLATE_COSINE = 0.6
 
 #: Words that tell little: pairs with fewer of them are chosen as seeds first.
@@ -230,7 +284,7 @@ class Template:
 
 @dataclass
 class Model:
-    """Weights of the templates' n-grams per family (unknown last), temperature, templates, and the templates by seed."""
+    """Weights of word pairs and triples per family (unknown last), temperature, templates, and the templates by seed."""
 
     families: list[str]
     grams: dict[str, int]
@@ -240,32 +294,77 @@ class Model:
     templates: list[Template]
     seeds: dict[tuple[str, str], list[int]]
 
-    def features(self, tokens: list[str]) -> list[int]:
-        return [i for i in map(self.grams.get, grams(tokens)) if i is not None]
+    def __post_init__(self) -> None:
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.triples: dict[tuple[str, str, str], int] = {}
+        for g, i in self.grams.items():
+            t = tuple(g.split())
+            (self.pairs if len(t) == 2 else self.triples)[t] = i
+
+    def features(self, tokens: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """(number, first word, word behind the last) of every known pair and triple, by first word."""
+        found = []
+        for i, pair in enumerate(zip(tokens, tokens[1:])):
+            f = self.pairs.get(pair)
+            if f is not None:  # the pairs of a known triple are known
+                found.append((f, i, i + 2))
+                f = self.triples.get((*pair, tokens[i + 2])) if i + 2 < len(tokens) else None
+                if f is not None:
+                    found.append((f, i, i + 3))
+        return tuple(map(list, zip(*found))) if found else ([], [], [])
 
     def probabilities(self, features: list[int]) -> np.ndarray:
-        z = (self.weights[features].sum(0) + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return self._softmax(self.weights[features].sum(0) + self.bias)
+
+    def _softmax(self, z: np.ndarray) -> np.ndarray:
+        z = z / self.temperature
+        e = np.exp(z - z.max(-1, keepdims=True))
+        return e / e.sum(-1, keepdims=True)
+
+    def predictions(self, features: tuple[list[int], list[int], list[int]], part: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, probabilities) of the parts of ``part`` words that begin at a known pair."""
+        numbers, first, behind = features
+        w = self.weights[numbers]
+        starts = np.unique(first)
+        begin, end = np.searchsorted(first, starts), np.searchsorted(first, starts + part)
+        upto = np.concatenate([np.zeros((1, w.shape[1]), np.float64), np.cumsum(w, 0, dtype=np.float64)])
+        z = upto[end] - upto[begin] + self.bias
+        for k, s in enumerate(starts.tolist()):  # what begins in a part and ends behind it
+            for j in range(end[k] - 1, begin[k] - 1, -1):
+                if first[j] < s + part - 2:
+                    break
+                if behind[j] > s + part:
+                    z[k] -= w[j]
+        return starts, self._softmax(z)
 
     def notices(self, paragraph: str) -> list[tuple[str, float, float]]:
         """Family, its probability and the share of a template, for each notice in a paragraph."""
         tokens = words(paragraph)
-        if self.seeds.keys().isdisjoint(zip(tokens, tokens[1:])):
+        features = self.features(tokens)
+        if not features[0]:
+            return []
+        told: dict[int, list[tuple[int, int]]] = {}
+        for part in PARTS:
+            starts, p = self.predictions(features, part)
+            best = p.argmax(1)
+            for k in np.flatnonzero((best < len(self.families)) & (p[np.arange(len(p)), best] >= MIN_PROBABILITY)).tolist():
+                told.setdefault(int(best[k]), []).append((int(starts[k]), int(starts[k]) + part))
+        if not told:
             return []
         places: dict[int, list[int]] = {}
         for i, pair in enumerate(zip(tokens, tokens[1:])):
             for t in self.seeds.get(pair, ()):
-                places.setdefault(t, []).append(i)
+                if self.templates[t].family in told:
+                    places.setdefault(t, []).append(i)
         found = [(share, low, high, self.templates[t].family) for t, at in places.items() for share, low, high in self.templates[t].matches(tokens, at)]
         taken, out = bytearray(len(tokens)), []
         for share, low, high, family in sorted(found, key=lambda m: (-m[0], m[1] - m[2], m[3], m[1])):
-            if any(taken[low:high]):
+            if any(taken[low:high]) or not any(s < high and low < e for s, e in told[family]):
                 continue
-            p = self.probabilities(self.features(tokens[low:high]))
-            if p[:-1].argmax() == family and p[family] >= MIN_PROBABILITY:
+            mine = self.probabilities(self.features(tokens[max(0, low - CONTEXT) : high + CONTEXT])[0])
+            if mine.argmax() == family and mine[family] >= MIN_PROBABILITY:
                 taken[low:high] = b"\1" * (high - low)
-                out.append((self.families[family], float(p[family]), share))
+                out.append((self.families[family], float(mine[family]), share))
         return out
 
     def scan(self, paragraph: str) -> tuple[str, float, float]:
@@ -281,9 +380,9 @@ def paragraphs(text: str) -> list[str]:
 def negatives(docs: DataFrame, most: int = MAX_NEGATIVE_PARAGRAPHS) -> list[str]:
     """A bounded sample of corpus paragraphs that share no three-word run with a template."""
     known = {g for notices in TEMPLATES.values() for t in notices for g in grams(words(t)) if g.count(" ") == 2}
-    # 64 documents hold enough paragraphs in practice; the smallest hashes make the sample the same on every run
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(64)
-    picked = text_rows(docs).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect()  # 64 documents
+    # the smallest hashes make the sample the same on every run
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_NEGATIVE_DOCUMENTS)
+    picked = text_rows(docs).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(MAX_NEGATIVE_TEXTS).collect()
     lines = [p for r in picked for p in r.text.split("\n") if words(p)]
     lines = [p for p in lines if known.isdisjoint(grams(words(p)))]
     return lines[:most]
@@ -298,15 +397,17 @@ def train(corpus_lines: list[str], per_notice: int = 60, epochs: int = 300, seed
     """Full-batch gradient descent with a soft threshold (sparse weights), then a temperature on held-out variants."""
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    filler = [w for p in corpus_lines[:200] for w in words(p)][:5000]
-    names = {g: i for i, g in enumerate(sorted({g for f in families for t in TEMPLATES[f] for g in grams(words(t))}))}
-    generic = ["This text is free to read.", "All rights reserved.", "The license plate was lost.", "See the terms of use and the privacy policy.", "Version 2.0 was released in source and binary form.", "The general public is permitted to use the work.", "Permission to enter was granted by law.", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: Unlicense"]
+    filler = [w for p in corpus_lines for w in words(p)][:MAX_FILLER_WORDS]
+    several = lambda text: [g for g in grams(words(text)) if " " in g]
+    names = {g: i for i, g in enumerate(sorted({g for f in families for t in TEMPLATES[f] for g in several(t)} | {g for t in OTHERS for g in several(t)}))}
     rows = [(k, v) for k, f in enumerate(families) for t in TEMPLATES[f] for v in [t, *variants(rng, t, filler, per_notice)]]
-    unknown = [v for t in generic for v in [t, *variants(rng, t, filler, per_notice // 2)]] + corpus_lines
+    unknown = [v for t in OTHERS for v in [t, *variants(rng, t, filler, per_notice // 2)]] + corpus_lines
     rows += [(len(families), p) for p in unknown]
     x = np.zeros((len(rows), len(names)), np.float32)
     for r, (_, p) in enumerate(rows):
-        x[r, [names[g] for g in grams(words(p)) if g in names]] = 1
+        for g, n in grams(words(p)).items():
+            if g in names:
+                x[r, names[g]] = n
     y = np.array([k for k, _ in rows])
     known = np.bincount(y, minlength=len(families) + 1).astype(float)
     weight = (1 / np.maximum(known, 1))[y]
