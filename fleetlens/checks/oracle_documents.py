@@ -6,7 +6,7 @@ from .oracle import B13, B14, B20, CAPACITY, EV, metric_ctes
 from .oracle_boosts import CTES
 from .oracle_cost import COST_CTES, PRICE
 from .oracle_diag import B14_CTES, MASTER_PROMOTION, _signals
-from .oracle_evolution import EVOLVED
+from .oracle_evolution import EVOLVED, WINDOWS
 from .oracle_fold import CLUSTER_CONFIG, CLUSTER_SUMMARY
 from .oracle_snapshots import METRICS, SNAP_CTES, ZSCORE_DELTA, _pct
 from .oracle_snapshots import DECISIONS_CTE, TRENDS_CTE
@@ -176,9 +176,23 @@ SELECT g.cluster_name, cluster_action, recipes, kept_recipes, p.promoted_master,
 FROM g LEFT JOIN p USING (cluster_name) LEFT JOIN o USING (cluster_name) LEFT JOIN s USING (cluster_name)"""
 
 
+CONFIG_INTEGRITY = "WITH " + ",\n".join(CTES) + """
+SELECT 'recipe_without_config' AS check_name, r.cluster_name, COUNT(*) AS violations
+FROM runs r LEFT JOIN cfg c ON c.cluster_name = r.cluster_name AND c.recipe_filename = r.recipe_filename WHERE c.cluster_name IS NULL GROUP BY 2
+UNION ALL
+SELECT 'duplicate_recipe', cluster_name, COUNT(*) FROM cfg
+WHERE CAST(regexp_extract(recipe_filename, '_RECIPE_(\\d+)', 1) AS BIGINT) % 9 = 0 GROUP BY 2"""
+
+RUN_SUMMARY_BOOSTS = f"""WITH {WINDOWS}
+SELECT 'trend' AS section, trend AS label, COUNT(*) AS n FROM trends GROUP BY 2
+UNION ALL SELECT 'action', action, COUNT(*) FROM decisions GROUP BY 2
+UNION ALL SELECT 'boost', state, COUNT(*) FROM heap GROUP BY 2"""
+
+
 def document_sql() -> dict[str, str]:
     return {"snapshot_store": SNAPSHOT_STORE, "runs_index": RUNS_INDEX, "stored_b13_metrics": B13, "stored_b14_nonzero_exits": B14,
             "stored_b20_incarnations": B20, "heap_boost_chain": HEAP_BOOST_CHAIN, "heap_boost_single": HEAP_BOOST_SINGLE,
             "prioritised_signals": PRIORITISED, "unresolved_signals": UNRESOLVED, "divergence_report": ZSCORE_DELTA,
             "analysis_document": ANALYSIS, "boosted_documents": BOOSTED_DOCUMENTS, "content_diff": CONTENT_DIFF, "path_diff": PATH_DIFF,
+            "config_integrity": CONFIG_INTEGRITY, "run_summary_boosts": RUN_SUMMARY_BOOSTS,
             "cost_documents": COST_DOCUMENTS, "evolved_clusters": EVOLVED_CLUSTERS}

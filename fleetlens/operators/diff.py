@@ -1,4 +1,4 @@
-"""Keyed table diff (G1), config diff (G3), roll-up counts (G4), file inventory
+"""Keyed table diff (G1), roll-up counts (G4), file inventory
 (G2), consistent anonymisation (G5) and the distributed dense index it needs.
 """
 
@@ -48,23 +48,6 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-CLUSTER_CONF_FIELDS = [  # fixed values: clusterConf fields compared by the config diff
-    "num_workers", "master_machine_type", "worker_machine_type", "autoscaling_policy", "total_no_of_jobs",
-    "cluster_max_total_memory_gb", "cluster_max_total_cores", "accumulated_max_total_memory_per_jobs_gb",
-]
-
-
-def config_diff(a_conf: DataFrame, b_conf: DataFrame, a_recipes: DataFrame, b_recipes: DataFrame) -> DataFrame:
-    """Per cluster, differences of the cluster fields and of the recipe count."""
-    def prep(conf, recipes):
-        n = recipes.groupBy("cluster_name").agg(F.count(F.lit(1)).cast("string").alias("recipe_count"))
-        cols = [c for c in CLUSTER_CONF_FIELDS if c in conf.columns]
-        return conf.select("cluster_name", *[F.col(c).cast("string").alias(c) for c in cols]) \
-            .join(n, "cluster_name", "left")
-    d = table_diff(prep(a_conf, a_recipes), prep(b_conf, b_recipes), "cluster_name")
-    return d
-
-
 def file_inventory(spark: SparkSession, dir_a: str, dir_b: str) -> DataFrame:
     """Presence of each file name in two folders and byte equality (sha-256)."""
     def files(path, side):

@@ -3,7 +3,9 @@
 * ``event_outside_spans``  -- an autoscaler event no incarnation of its cluster
   contains (bucketed interval join, then anti join on the event identity);
 * ``target_out_of_bounds`` -- a recommended worker count outside [min, max];
-* ``duplicate_incarnation`` -- (cluster, incarnation_idx) not unique.
+* ``duplicate_incarnation`` -- (cluster, incarnation_idx) not unique;
+* ``recipe_without_config`` -- a run whose (cluster, recipe) no config names;
+* ``duplicate_recipe``     -- (cluster, recipe) named by several configs.
 """
 
 from __future__ import annotations
@@ -34,3 +36,13 @@ def integrity_violations(spans: DataFrame, autoscaler: DataFrame) -> DataFrame:
             .withColumn("check_name", F.lit("duplicate_incarnation")))
     cols = ["check_name", "cluster_name", "violations"]
     return outside.select(*cols).unionByName(bounds.select(*cols)).unionByName(dups.select(*cols))
+
+
+def config_violations(configs: DataFrame, runs: DataFrame) -> DataFrame:
+    """G7 for recipe configs: runs of recipes without a config, and recipes that several configs name."""
+    key, cols = ["cluster_name", "recipe_filename"], ["check_name", "cluster_name", "violations"]
+    unknown = (runs.select(*key).join(configs.select(*key), key, "left_anti").groupBy("cluster_name")
+               .agg(F.count(F.lit(1)).alias("violations")).withColumn("check_name", F.lit("recipe_without_config")))
+    twice = (configs.groupBy(*key).count().filter(F.col("count") > 1).groupBy("cluster_name")
+             .agg(F.count(F.lit(1)).alias("violations")).withColumn("check_name", F.lit("duplicate_recipe")))
+    return unknown.select(*cols).unionByName(twice.select(*cols))

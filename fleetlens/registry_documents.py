@@ -12,6 +12,7 @@ from .plans import cost as CO
 from .plans import diagnostics as DG
 from .plans import documents as DO
 from .plans import evolution as EV
+from .plans import integrity as IG
 from .plans import log_queries as LQ
 from .plans import sizing as SZ
 from .plans import snapshots as SN
@@ -195,6 +196,22 @@ def cost_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("*", "s.*").drop("s")
 
 
+# --- G7, K8 ---------------------------------------------------------------------------------------------------------
+
+def config_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all events against the configs of the reference window, of which every ninth user's is there twice."""
+    configs = R.boost_inputs(spark, sf_dir)[0]
+    user = F.regexp_extract("recipe_filename", r"_RECIPE_(\d+)", 1).cast("long")
+    return IG.config_violations(configs.unionByName(configs.where(user % 9 == 0)), B.runs(B.table(spark, sf_dir, "events")))
+
+
+def boost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 with its boost section."""
+    configs, cur, ref, ref_m, cur_m = R.boost_inputs(spark, sf_dir)
+    decisions = SN.evolution_decisions(SN.trend_class(SN.pair_snapshots(ref_m, cur_m)))
+    return SK.run_summary(decisions, BO.heap_boost_state(configs, cur.unionByName(ref), cur))
+
+
 def queries() -> dict[str, R.Query]:
     return {
         "snapshot_store": snapshot_store,
@@ -205,6 +222,8 @@ def queries() -> dict[str, R.Query]:
             F.col("log_name").isin(L.AUDIT_LOG, L.CLUSTER_LOG) & L.label("cluster_name").startswith("fleet-"))),
         "evolved_clusters": evolved_clusters,
         "cost_documents": cost_documents,
+        "config_integrity": config_integrity,
+        "run_summary_boosts": boost_summary,
         "heap_boost_chain": chain,
         "heap_boost_single": single,
         "prioritised_signals": prioritised,
