@@ -142,3 +142,23 @@ def test_analysis_documents_in_parts(spark):
     doc = json.loads(DO.analysis_json(whole).first().value)
     names = [r["recipe"] for r in doc["recipes"]]
     assert names == sorted(names) and {"recipe", "trend", "confidence", "action", "reason", "deltas"} <= set(doc["recipes"][0])
+
+
+def test_cost_timeline_documents(spark):
+    from fleetlens import registry as R
+    from fleetlens.plans import cost as CO
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spans, events = R.fleet_spans_events(spark, SF_SMALL)
+    every = CO.with_synthetic(spans, events)
+    segments = CO.span_segments(every, events)
+    whole, parts = (CO.cost_timeline_documents(every, segments, events, per_document=n) for n in (1000, 2))
+    assert parts.count() > whole.count() == every.select("cluster_name").distinct().count()
+    total = {r.cluster_name: r.estimated_cost_eur for r in CO.cluster_cost(every, segments).collect()}
+    docs = {r.cluster_name: json.loads(r.cost_timeline) for r in CO.cost_timeline_json(whole).collect()}
+    assert any(d["has_synthetic_span"] for d in docs.values()) and not all(d["has_synthetic_span"] for d in docs.values())
+    for name, d in docs.items():
+        assert abs(d["total_cost_eur"] - total[name]) < 1e-4 and d["worker_machine_type"] == "e2-standard-8"
+        assert [i["idx"] for i in d["incarnations"]] == sorted(i["idx"] for i in d["incarnations"])
+        assert all({"synthetic_span", "events_count", "intervals"} <= set(i) for i in d["incarnations"])
+        for i in d["incarnations"]:
+            assert abs(sum(s["seg_cost_eur"] for s in i["intervals"]) - i["total_cost_eur"]) < 0.001 * (1 + len(i["intervals"]))
