@@ -65,3 +65,18 @@ def test_ends_and_running_applications(spark):
     ends = spark.createDataFrame([("a", at(4_000)), ("c", at(1))], "app_id string, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {(r.app_id, r.app_duration_millis, r.running, r.uptime_millis) for r in EL.started_lifecycle(s, ends, "2024-01-01 00:01:00").collect()}
     assert got == {("a", 4_000, False, 4_000), ("a", None, True, 50_000), ("b", None, True, 60_000)}
+
+
+def test_joined_log_has_few_files_and_keeps_every_line(spark, tmp_path):
+    """A file per application and roll made the number of files follow the number of applications."""
+    odd = ["app-tab\tx", "app-é/ü", 'app-"q"', "app-\n"]
+    apps = [*odd, *[f"app-{k}" for k in range(100)]]
+    rows = [(a, roll, step, executor(step % 2 == 0, step, f"{roll}-{step}")) for a in apps for roll in (2, 10, -1) for step in range(4)]
+    lines = spark.createDataFrame(rows, "app string, roll long, at int, line string").repartition(7)
+    path = EVL.write_event_log(lines, str(tmp_path / "log"))
+    files = [f for f in (tmp_path / "log").rglob("part-*") if f.is_file()]
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {}
+    for r in sorted(EVL.read_event_log(spark, path).select("app_id", "place", "executor_id").collect(), key=lambda r: r.place):
+        got.setdefault(r.app_id, []).append(r.executor_id)
+    assert got == {a: [f"{roll}-{step}" for roll in (-1, 2, 10) for step in range(4)] for a in apps}
