@@ -1,14 +1,15 @@
 """Online folds over event streams: running executor counts (E1) and window counts whose state ends.
 
-``fold_running_counts`` keeps keyed state per (application, time bucket).  A micro-batch
-touches only the buckets its rows fall in: new rows are put in event order among the
-bucket's rows, and what comes out are the rows from the first new one on, with their running
-count inside the bucket, and one summary row of the bucket.  Carries between buckets are a
-window over the summaries when the counts are read, so a row that arrives late changes its
-own bucket and nothing is recomputed for the buckets after it.  A bucket that gets no row for
-``keep`` lets its rows go and keeps its summary (a timer on the time of arrival, whose
-watermark no row is ever behind); a row for such a bucket comes out marked as late, and
-reading recomputes just that bucket from its landed rows.
+``fold_running_counts`` keeps keyed state per time bucket and shard of the applications (a hash),
+so one call folds the rows of many applications at once.  A micro-batch touches only the groups
+its rows fall in: new rows are put in event order among the rows of their application's bucket,
+and what comes out are the rows from the first new one on, with their running count inside the
+bucket, and one summary row of the bucket.  Carries between buckets are a window over the
+summaries when the counts are read, so a row that arrives late changes its own bucket and nothing
+is recomputed for the buckets after it.  An application's bucket that gets no row for ``keep``
+lets its rows go and keeps its summary (a timer on the time of arrival, whose watermark no row
+is ever behind); a row for such a bucket comes out marked as late, and reading recomputes just
+that bucket from its landed rows.
 
 ``count_windows`` closes windows by its own watermark (the latest event time of earlier
 batches less ``delay``): a closed window's count is written once and leaves the state; rows
@@ -20,6 +21,7 @@ overwrites its own output; ``compact`` joins finished batches into one table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,69 +30,114 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship_package
 from ..sources.files import make_folder, path_exists
 
 APP = ["cluster_name", "recipe_filename"]
 BUCKET = ["cluster_name", "recipe_filename", "bucket"]
 FOLD_SCHEMA = ("kind string, cluster_name string, recipe_filename string, bucket long, event_id long, evt_us long, delta int, "
                "count long, most long, least long")
-#: ids, times and steps of a bucket's rows (packed; empty once the bucket has let them go), and its summary.
-STATE_SCHEMA = "ids binary, times binary, steps binary, total long, most long, least long, open boolean"
+#: Per application of the group its name (JSON, a line each), when its bucket lets its rows go (GONE: it has) and its
+#: summary (total, most, least); per row its application's number, id, time and step.  Packed.
+STATE_SCHEMA = "apps string, until binary, sums binary, owners binary, ids binary, times binary, steps binary"
+GONE = -1
+#: Groups that a time bucket's applications are dealt to.
+SHARDS = 64
 
 
-def _fold(keep_ms: int):
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cluster, recipe, bucket = key
+def _held(state: GroupState) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Application names, times of letting go, sums (a row per application) and rows (owner, id, time, step) of a group."""
+    if not state.exists:
+        return [], np.zeros(0, np.int64), np.zeros((0, 3), np.int64), np.zeros((4, 0), np.int64)
+    apps, until, sums, *rows = state.get
+    unpack = lambda x: np.frombuffer(bytes(x), np.int64)
+    return apps.split("\n"), unpack(until).copy(), unpack(sums).reshape(-1, 3).copy(), np.stack([unpack(x) for x in rows])
+
 
-        def rows(kind: str, **columns) -> pd.DataFrame:
-            n = max(len(c) for c in columns.values())
-            blank = {c: pd.array([pd.NA] * n, "Int64") for c in ("event_id", "evt_us", "delta", "count", "most", "least") if c not in columns}
-            return pd.DataFrame({"kind": kind, "cluster_name": cluster, "recipe_filename": recipe, "bucket": int(bucket)} | columns | blank, index=range(n))[
-                ["kind", "cluster_name", "recipe_filename", "bucket", "event_id", "evt_us", "delta", "count", "most", "least"]]
+def _keep(state: GroupState, apps: list[str], until: np.ndarray, sums: np.ndarray, rows: np.ndarray, now: int) -> None:
+    """Let the rows of buckets go whose time has come, keep the rest and wait for the next time."""
+    until[(until != GONE) & (until <= now)] = GONE
+    owners, ids, times, steps = rows[:, until[rows[0]] != GONE]
+    state.update(("\n".join(apps), until.tobytes(), sums.tobytes(), owners.tobytes(), ids.tobytes(), times.tobytes(), steps.tobytes()))
+    waiting = until[until != GONE]
+    if len(waiting):
+        state.setTimeoutTimestamp(int(waiting.min()))
 
+
+def _fold(keep_ms: int):
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        apps, until, sums, rows = _held(state)
+        now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            _, _, _, total, most, least, _ = state.get
-            state.update((b"", b"", b"", total, most, least, False))
+            _keep(state, apps, until, sums, rows, now)
             return
         new = pd.concat(list(frames))
-        until = int(new["arrived"].max().value // 1_000_000) + keep_ms if len(new) else None
-        ids, times, steps = (new[c].to_numpy(np.int64) for c in ("event_id", "evt_us", "delta"))
-        if state.exists and not state.get[6]:
-            yield rows("late", event_id=ids, evt_us=times, delta=steps)
-            return
-        if state.exists:
-            held = [np.frombuffer(bytes(x), np.int64) for x in state.get[:3]]
-            fresh = ~np.isin(ids, held[0])  # a source that repeats a row counts it once
-            ids, times, steps = (np.concatenate([h, x[fresh]]) for h, x in zip(held, (ids, times, steps)))
-            known = np.r_[np.ones(len(held[0]), bool), np.zeros(int(fresh.sum()), bool)]
-        else:
-            known = np.zeros(len(ids), bool)
-        order = np.lexsort((ids, times))
-        ids, times, steps, known = ids[order], times[order], steps[order], known[order]
-        count = np.cumsum(steps)
-        most, least = np.maximum.accumulate(count), np.minimum.accumulate(count)
-        if known.all():
-            state.setTimeoutTimestamp(until)
+        if not len(new):
             return
-        first = int(np.argmin(known))  # rows before the first new one stay as they are
-        yield rows("event", event_id=ids[first:], evt_us=times[first:], delta=steps[first:], count=count[first:], most=most[first:], least=least[first:])
-        yield rows("bucket", count=count[-1:], most=most[-1:], least=least[-1:])
-        state.update((ids.tobytes(), times.tobytes(), steps.tobytes(), int(count[-1]), int(most[-1]), int(least[-1]), True))
-        state.setTimeoutTimestamp(until)
+        code, seen = pd.factorize(new["app"])
+        place = {app: k for k, app in enumerate(apps)}
+        for app in seen:
+            place.setdefault(app, len(place))
+        apps, known = list(place), len(until)
+        until = np.r_[until, np.zeros(len(apps) - known, np.int64)]
+        sums = np.concatenate([sums, np.zeros((len(apps) - known, 3), np.int64)])
+        names = [json.loads(app) for app in apps]
+        cluster, recipe = (np.array([name.get(c) for name in names], object) for c in APP)
+
+        def out(kind: str, owners: np.ndarray, **columns) -> pd.DataFrame:
+            blank = {c: pd.array([pd.NA] * len(owners), "Int64") for c in ("event_id", "evt_us", "delta", "count", "most", "least") if c not in columns}
+            return pd.DataFrame({"kind": kind, "cluster_name": cluster[owners], "recipe_filename": recipe[owners], "bucket": int(key[0])} | columns | blank,
+                                index=range(len(owners)))[["kind", "cluster_name", "recipe_filename", "bucket", "event_id", "evt_us", "delta", "count", "most", "least"]]
+
+        owner = np.array([place[app] for app in seen], np.int64)[code]
+        came = np.stack([owner, *(new[c].to_numpy(np.int64) for c in ("event_id", "evt_us", "delta"))])
+        late = until[came[0]] == GONE
+        if late.any():
+            yield out("late", came[0][late], event_id=came[1][late], evt_us=came[2][late], delta=came[3][late])
+        came = came[:, ~late]
+        touched = np.unique(came[0])
+        until[touched] = int(new["arrived"].max().value // 1_000_000) + keep_ms
+        if rows.shape[1]:  # a source that repeats a row counts it once
+            came = came[:, ~pd.MultiIndex.from_arrays(came[:2]).isin(pd.MultiIndex.from_arrays(rows[:2]))]
+        fresh = np.zeros(len(apps), bool)
+        fresh[came[0]] = True
+        of = fresh[rows[0]]  # rows of applications without a new one stay as they are
+        mine, is_new = np.concatenate([rows[:, of], came], axis=1), np.r_[np.zeros(int(of.sum()), bool), np.ones(came.shape[1], bool)]
+        order = np.lexsort((mine[1], mine[2], mine[0]))
+        mine, is_new = mine[:, order], is_new[order]
+        if mine.shape[1]:
+            each = pd.DataFrame({"owner": mine[0], "step": mine[3], "new": is_new.astype(np.int8)}).groupby("owner", sort=False)
+            count = each["step"].cumsum()
+            ordered = count.groupby(mine[0], sort=False)
+            most, least, changed = ordered.cummax().to_numpy(), ordered.cummin().to_numpy(), each["new"].cummax().to_numpy() > 0
+            count = count.to_numpy()
+            # rows before an application's first new one stay as they are
+            yield out("event", mine[0][changed], event_id=mine[1][changed], evt_us=mine[2][changed], delta=mine[3][changed],
+                      count=count[changed], most=most[changed], least=least[changed])
+            last = np.r_[mine[0][1:] != mine[0][:-1], True]
+            yield out("bucket", mine[0][last], count=count[last], most=most[last], least=least[last])
+            sums[mine[0][last]] = np.stack([count[last], most[last], least[last]], axis=1)
+            rows = np.concatenate([rows[:, ~of], mine], axis=1)
+        _keep(state, apps, until, sums, rows, now)
 
     return fold
 
 
-def fold_running_counts(events: DataFrame, work: str, bucket_seconds: int = 86400, keep: str = "30 days") -> None:
-    """Fold what the stream ``events`` (APP, event_id, evt_ts, executor_event) has into ``work`` and return when it is read."""
+def fold_running_counts(events: DataFrame, work: str, bucket_seconds: int = 86400, keep: str = "30 days", shards: int = SHARDS) -> None:
+    """Fold what the stream ``events`` (APP, event_id, evt_ts, executor_event) has into ``work`` and return when it is read.
+
+    ``shards`` must stay the same over the runs of one ``work``.
+    """
     spark = events.sparkSession
+    ship_package(spark)
     out = make_folder(spark, f"{work}/batches")
     delta = F.when(F.col("executor_event") == "EXECUTOR_ADDED", 1).when(F.col("executor_event") == "EXECUTOR_REMOVED", -1)
     us = F.unix_micros("evt_ts")
-    rows = events.select(*APP, F.floor(us / (bucket_seconds * 1_000_000)).cast("long").alias("bucket"), "event_id", us.alias("evt_us"),
+    rows = events.select(F.to_json(F.struct(*APP)).alias("app"), F.floor(us / (bucket_seconds * 1_000_000)).cast("long").alias("bucket"),
+                         F.pmod(F.xxhash64(*APP), F.lit(shards)).alias("shard"), "event_id", us.alias("evt_us"),
                          delta.alias("delta"), F.current_timestamp().alias("arrived")).where("delta is not null and evt_us is not null")
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    folded = rows.withWatermark("arrived", "0 seconds").groupBy(*BUCKET).applyInPandasWithState(
+    folded = rows.withWatermark("arrived", "0 seconds").groupBy("bucket", "shard").applyInPandasWithState(
         _fold(keep_ms), FOLD_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
 
     def write(batch: DataFrame, number: int) -> None:

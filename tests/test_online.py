@@ -105,3 +105,26 @@ def test_windows_close_leave_the_state_and_count_late_rows(spark, arrivals):
 
 def test_registered_queries_are_here():
     assert {"online_executor_counts", "online_window_counts", "event_log_counts", "event_log_lifecycle"} <= set(R.queries())
+
+
+def test_one_fold_call_takes_many_applications(spark, arrivals, monkeypatch):
+    """A call per application and day made the time follow the number of applications: more calls than rows of a small fleet."""
+    ev, add, stream, batch, work = arrivals
+    calls = spark.sparkContext.accumulator(0)
+    made = ON._fold
+
+    def counting(keep_ms):
+        fold = made(keep_ms)
+
+        def counted_fold(key, frames, state):
+            calls.add(1)
+            yield from fold(key, frames, state)
+        return counted_fold
+
+    monkeypatch.setattr(ON, "_fold", counting)
+    wide = ev.assign(user_id=range(len(ev)))  # an application per event
+    for k in range(2):
+        add(f"part-{k}", wide.iloc[k::2])
+        ON.fold_running_counts(stream(), work, bucket_seconds=30 * 86400)
+    assert online(spark, work) == batch(counted, COLUMNS)
+    assert 0 < calls.value <= 2 * 2 * ON.SHARDS < len(online(spark, work))
