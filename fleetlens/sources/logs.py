@@ -64,10 +64,10 @@ PARTITIONS = ("date", "resource_type")
 
 
 def with_partitions(logs: DataFrame) -> DataFrame:
-    """A raw log with the columns a stored one is partitioned by, its rows dealt by them and by a slice of the
-    rows' ids, so that a partition has few files and a large one many tasks."""
+    """A raw log with the columns a stored one is partitioned by, its rows dealt by them; tasks get about as much
+    each, however large a partition is, so a small partition has few files and a large one many tasks."""
     out = logs.withColumns({"date": F.to_date("timestamp"), "resource_type": F.col("resource.type")})
-    return out.repartition("date", "resource_type", F.pmod(F.xxhash64("insert_id"), F.lit(4)))
+    return out.hint("rebalance", *PARTITIONS)
 
 
 def read_stored_logs(spark: SparkSession, path: str) -> DataFrame:
