@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import binding as B
 from . import registry as R
@@ -27,8 +28,17 @@ from .sources import store as SS
 
 def weeks_of(events: DataFrame) -> list[str]:
     """Mondays of the weeks that have an event (a value per week)."""
-    week = F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd")
-    return sorted(r[0] for r in events.select(week).distinct().collect() if r[0] is not None)
+    return sorted(r[0] for r in events.select(_week("ts").alias("week")).distinct().collect() if r[0] is not None)
+
+
+def _week(ts: str) -> Column:
+    return F.date_format(F.date_trunc("week", F.col(ts).cast("timestamp")), "yyyy-MM-dd")
+
+
+def events_of_week(spark: SparkSession, folder: str, events: DataFrame, week: str) -> DataFrame:
+    """One week's events from a copy of them that is dealt by weeks (written once), so that no week reads the others'."""
+    path = SS.write_once(spark, folder, "events", "all", lambda: events.withColumn("week", _week("ts")).hint("rebalance", "week"), ("week",))
+    return spark.read.schema(T.StructType([*events.schema.fields, T.StructField("week", T.StringType())])).parquet(path).where(F.col("week") == week).drop("week")
 
 
 def weekly_store(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
@@ -39,7 +49,7 @@ def weekly_store(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
 
     def metrics(week: str):
         def make() -> DataFrame:
-            own = ev.where((F.col("ts") >= F.lit(week).cast("date")) & (F.col("ts") < F.date_add(F.lit(week).cast("date"), 7)))
+            own = events_of_week(spark, folder, ev, week)
             return LQ.b13_metrics(B.runs(own), B.executor_events(own), cap)
         return make
 
