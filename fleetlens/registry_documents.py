@@ -78,15 +78,20 @@ def runs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- S1: the raw log as a stored table -------------------------------------------------------------------
 
+def _raw_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    return SS.folder_of_input(spark, "raw-log", f"{sf_dir}/events*.parquet")
+
+
 def raw_log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound raw log, written once by date and resource type."""
-    folder = SS.folder_of_input(spark, "raw-log", f"{sf_dir}/events*.parquet")
+    folder = _raw_log_folder(spark, sf_dir)
     path = SS.write_once(spark, folder, "logs", "all", lambda: L.with_partitions(B.raw_logs(B.table(spark, sf_dir, "events"))), L.PARTITIONS)
     return L.read_stored_logs(spark, path)
 
 
 def _stored_b13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = L.parse_telemetry(raw_log_store(spark, sf_dir))
+    # b13 reads runs and events in many branches: the messages are decoded once
+    parsed = SS.stored(spark, _raw_log_folder(spark, sf_dir), "telemetry", "all", lambda: L.parse_telemetry(raw_log_store(spark, sf_dir)))
     return LQ.b13_metrics(L.runs_from_telemetry(parsed), L.executor_events_from_telemetry(parsed), B.capacity(spark))
 
 
