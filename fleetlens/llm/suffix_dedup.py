@@ -17,6 +17,8 @@ that hash and all repeats of a window meet:
 Two-stage sort: suffixes smaller than their successor are sorted directly (by 200
 bytes, all that is asked for); the rest are induced in one scan over the buckets of
 first bytes, each bucket's predecessors dealt to the buckets of their own first byte.
+The direct sort copies the windows of one first byte at a time, so that a shard's memory
+is a part of LENGTH times its bytes.
 
 A gram with more than ``HOT_SLICES`` different slices is split by the place of the gram
 in the window, which equal windows share, so no shard grows with a hot passage.
@@ -209,10 +211,14 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     which = np.searchsorted(run_end, np.arange(n))
     grows = np.append(text[changes + 1] > text[changes], False)[which]
     direct = np.flatnonzero(grows)
+    del changes, run_end, which, grows
     padded = np.concatenate([text, np.zeros(depth, np.uint8)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
-    direct = direct[np.argsort(np.ascontiguousarray(windows).view(f"S{depth}").ravel(), kind="stable")]
+    windows = np.lib.stride_tricks.sliding_window_view(padded, depth)
+    direct = direct[np.argsort(text[direct], kind="stable")]
     by_byte = np.searchsorted(text[direct], np.arange(257))
+    for a, b in zip(by_byte[:-1].tolist(), by_byte[1:].tolist()):  # a first byte at a time: the windows copied are its own
+        if b - a > 1:
+            direct[a:b] = direct[a:b][np.argsort(windows[direct[a:b]].view(f"S{depth}").ravel(), kind="stable")]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[int(text[-1])].append(np.array([n - 1]))  # induced by the end of the text
     order = []
