@@ -12,8 +12,9 @@ def col(c: Column | str) -> Column:
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """``TIMESTAMP_DIFF(end, start, SECOND)`` -- whole elapsed seconds."""
-    return F.timestamp_diff("SECOND", col(start), col(end))
+    """``TIMESTAMP_DIFF(end, start, SECOND)`` -- whole elapsed seconds, towards zero (no calendar is needed)."""
+    us = F.unix_micros(col(end)) - F.unix_micros(col(start))
+    return ((us - us % 1_000_000) / 1_000_000).cast("long")
 
 
 def millis_between(start: Column | str, end: Column | str) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import (ceil_minute, mins_sec_text, p95, regexp_extract_or_null,
                                 safe_divide, seconds_between)
-from ..operators.interval import BUCKET, interval_join
+from ..operators.interval import BUCKET, SLOT, interval_join
 from ..operators.scan import DEFAULT_BUCKET_SECONDS, bucketed_lead, bucketed_running, time_bucket
 from ..sources import logs as L
 
@@ -49,20 +49,25 @@ EVENT_COLS = ["event_id", "cluster_name", "recipe_filename", "evt_ts", "executor
 
 def events_in_runs(runs: DataFrame, events: DataFrame,
                    bucket_seconds=RUN_BUCKETS,
-                   event_filter=None) -> DataFrame:
+                   event_filter=None, reach: str = "any") -> DataFrame:
     """Runs x executor events with ``evt_ts BETWEEN start AND end`` (inner)."""
     ev = events.select(*EVENT_COLS)
     if event_filter is not None:
         ev = ev.filter(event_filter)
     return interval_join(runs.select(*RUN_COLS), ev, KEYS, "app_start_ts", "app_end_ts",
-                         "evt_ts", how="inner", bucket_seconds=bucket_seconds, keep_bucket=True)
+                         "evt_ts", how="inner", bucket_seconds=bucket_seconds, keep_bucket=True, reach=reach)
 
 
 def run_segments(runs: DataFrame, events: DataFrame,
                  bucket_seconds=RUN_BUCKETS) -> DataFrame:
     """W1 + X7: each event's segment until the next event (or run end), seconds."""
-    j = events_in_runs(runs, events, bucket_seconds)
-    seg = bucketed_lead(j, ["run_id"], BUCKET, ["evt_ts", "event_id"], "evt_ts", "next_evt_ts")
+    order = ["evt_ts", "event_id"]
+    # A run that lies in one bucket needs no carry, and the join has dealt its rows by (keys, bucket) already:
+    # the window reads them there.  Longer runs meet their next event over the buckets.
+    one = events_in_runs(runs, events, bucket_seconds, reach="one")
+    one = one.withColumn("next_evt_ts", F.lead("evt_ts").over(Window.partitionBy(SLOT, *KEYS, BUCKET, "run_id").orderBy(*order))).drop(SLOT)
+    many = bucketed_lead(events_in_runs(runs, events, bucket_seconds, reach="many"), ["run_id"], BUCKET, order, "evt_ts", "next_evt_ts")
+    seg = one.unionByName(many)
     seg_end = F.least(F.coalesce("next_evt_ts", "app_end_ts"), F.col("app_end_ts"))
     return seg.withColumn("seg_seconds",
                           F.greatest(F.lit(0), seconds_between(F.col("evt_ts"), seg_end)))
@@ -87,13 +92,15 @@ def per_run(runs: DataFrame, events: DataFrame, capacity: DataFrame | None = Non
                         F.col("seg_seconds")).otherwise(F.lit(0))
     else:
         at_cap = F.lit(None).cast("long")
-    agg = seg.groupBy("run_id").agg(
+    # run ids begin alike: a hash before them decides the comparisons of the join's sort
+    mark = F.xxhash64("run_id").alias("_mark")
+    agg = seg.groupBy(mark, "run_id").agg(
         F.sum(F.col("current_no_executors") * F.col("seg_seconds")).alias("weighted_sum"),
         F.max("max_executors_seen").alias("run_max_executors"),
         F.sum(at_cap).alias("run_seconds_at_cap"),
     )
-    base = runs.select(*RUN_COLS)
-    out = base.join(agg, "run_id", "left" if keep_eventless else "inner")
+    base = runs.select(*RUN_COLS, mark)
+    out = base.join(agg, ["_mark", "run_id"], "left" if keep_eventless else "inner").drop("_mark")
     return out.withColumn("run_avg_executors", safe_divide(F.col("weighted_sum"), _run_seconds()))
 
 
@@ -248,21 +255,20 @@ def b13_metrics(runs: DataFrame, events: DataFrame, capacity: DataFrame,
 
 # --- C14 .. C21: text / JSON extraction over raw logs ------------------------------
 
-def b14_nonzero_exits(logs: DataFrame) -> DataFrame:
+def b14_nonzero_exits(logs: DataFrame, ordered: bool = True) -> DataFrame:
     """C14: non-zero driver exit codes from cluster logs."""
-    base = L.scan(logs, resource_type=L.RT_CLUSTER).select(
-        "timestamp", L.label("cluster_name").alias("cluster_name"),
-        F.coalesce("text_payload", "json_payload", F.lit("")).alias("msg"))
+    base = L.once(L.scan(logs, resource_type=L.RT_CLUSTER).select("timestamp", F.col("resource.labels").alias("_labels"), "text_payload", "json_payload"),
+                  F.coalesce("text_payload", "json_payload", F.lit("")).alias("msg"))
     base = base.filter(F.col("msg").like("%completed with exit code%")
                        | F.col("msg").like("%driver_exit_code:%"))
     code = F.coalesce(
         regexp_extract_or_null("msg", r"driver_exit_code:\s*([0-9]+)").try_cast("bigint"),
         regexp_extract_or_null("msg", r"exit code\s+([0-9]+)").try_cast("bigint"))
-    parsed = base.select("timestamp", regexp_extract_or_null("msg", r"Job\s+'([^']+)'").alias("job_id"),
-                         "cluster_name", code.alias("driver_exit_code"), "msg")
-    return (parsed.filter(F.col("job_id").isNotNull() & F.col("driver_exit_code").isNotNull()
-                          & (F.col("driver_exit_code") != 0))
-            .orderBy(F.desc("timestamp")))
+    parsed = L.once(base, regexp_extract_or_null("msg", r"Job\s+'([^']+)'").alias("job_id"), code.alias("driver_exit_code"),
+                    L.label("cluster_name", "_labels").alias("cluster_name"))
+    out = parsed.filter(F.col("job_id").isNotNull() & F.col("driver_exit_code").isNotNull() & (F.col("driver_exit_code") != 0)).select(
+        "timestamp", "job_id", "cluster_name", "driver_exit_code", "msg")
+    return out.orderBy(F.desc("timestamp")) if ordered else out
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
@@ -310,18 +316,18 @@ ALERT_SEVERITIES = ["WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY"]
 
 def driver_log_signals(logs: DataFrame, driver_log_name: str = L.DRIVER_LOG) -> DataFrame:
     """Classified driver log lines (the ``driver_logs`` CTE of b16)."""
-    cluster = F.regexp_replace(F.coalesce(F.get_json_object("labels", "$['dataproc.googleapis.com/cluster_name']"),
-                                          L.label("cluster_name")), r'^"|"$', "")
     d = (L.scan(logs, resource_type=L.RT_JOB)
          .filter(F.col("log_name") == driver_log_name)
-         .select(F.col("timestamp").alias("log_ts"), "insert_id", L.label("job_id").alias("job_id"),
-                 cluster.alias("cluster_name"), "severity", "log_name", "json_payload"))
+         .select(F.col("timestamp").alias("log_ts"), "insert_id", F.col("resource.labels").alias("_labels"),
+                 "labels", "severity", "log_name", "json_payload"))
+    cluster = F.regexp_replace(F.coalesce(F.get_json_object("labels", "$['dataproc.googleapis.com/cluster_name']"),
+                                          L.label("cluster_name", "_labels")), r'^"|"$', "")
+    d = L.once(d, L.label("job_id", "_labels").alias("job_id"), cluster.alias("cluster_name")).drop("_labels", "labels") \
+        .where("job_id is not null")
     d = L.decode_fields(d, "json_payload", ["class", "message"], prefix="_") \
         .withColumnRenamed("_class", "log_class").withColumnRenamed("_message", "driver_message") \
         .drop("json_payload")
-    d = d.filter(F.col("job_id").isNotNull()
-                 & (F.col("severity").isin(*ALERT_SEVERITIES)
-                    | F.col("driver_message").rlike("(Exception|Error|OutOfMemory)")))
+    d = d.filter(F.col("severity").isin(*ALERT_SEVERITIES) | F.col("driver_message").rlike("(Exception|Error|OutOfMemory)"))
     return d.select(
         "*",
         regexp_extract_or_null("driver_message", r"(java\.[A-Za-z0-9_$.]+(?:Exception|Error))")
@@ -332,7 +338,7 @@ def driver_log_signals(logs: DataFrame, driver_log_name: str = L.DRIVER_LOG) ->
     )
 
 
-def b16_oom_latest(logs: DataFrame) -> DataFrame:
+def b16_oom_latest(logs: DataFrame, ordered: bool = True) -> DataFrame:
     """Jobs whose *latest* driver log is a heap OOM (rank first, filter after)."""
     d = driver_log_signals(logs)
     keep = ["cluster_name", "log_ts", "severity", "log_class", "exception_type", "is_lost_task",
@@ -342,15 +348,15 @@ def b16_oom_latest(logs: DataFrame) -> DataFrame:
         F.col("recipe_filename").isNotNull() & F.col("job_id").isNotNull())
     recipe = latest_by(apps, ["job_id"], ["evt_ts", "run_id"], ["recipe_filename"])
     out = latest.filter(F.col("is_java_heap")).join(recipe, "job_id", "left")
-    return out.select(
+    out = out.select(
         "job_id", "cluster_name", "recipe_filename",
         F.col("log_ts").alias("latest_driver_log_ts"),
         F.col("severity").alias("latest_driver_log_severity"),
         F.col("log_class").alias("latest_driver_log_class"),
         F.col("exception_type").alias("latest_driver_exception_type"),
         "is_lost_task", "is_stack_overflow", "is_java_heap",
-        F.col("driver_message").alias("latest_driver_message"), "log_name",
-    ).orderBy(F.desc("latest_driver_log_ts"))
+        F.col("driver_message").alias("latest_driver_message"), "log_name")
+    return out.orderBy(F.desc("latest_driver_log_ts")) if ordered else out
 
 
 def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400, ordered: bool = True) -> DataFrame:
@@ -361,9 +367,9 @@ def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400, ordered: bool
     integer micros key, so equal timestamps are excluded exactly like ``<``.
     """
     base = (L.scan(logs, resource_type=L.RT_CLUSTER)
-            .select("timestamp", L.label("cluster_name").alias("cluster_name"), "log_name",
-                    F.col("proto_payload.audit_log.method_name").alias("method_name"))
-            .filter(F.col("cluster_name").isNotNull()))
+            .select("timestamp", F.col("resource.labels").alias("_labels"), "log_name",
+                    F.col("proto_payload.audit_log.method_name").alias("method_name")))
+    base = L.once(base, L.label("cluster_name", "_labels").alias("cluster_name")).drop("_labels").filter(F.col("cluster_name").isNotNull())
     audit = base.filter(F.col("log_name").like("%cloudaudit.googleapis.com%2Factivity")
                         & F.col("method_name").isNotNull())
     raw = audit.select(
@@ -377,15 +383,13 @@ def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400, ordered: bool
     raw = raw.withColumn("_d", F.when(F.col("kind") == "D", F.col("ts"))) \
              .withColumn("_c", F.when(F.col("kind") == "C", F.col("ts")))
     raw = bucketed_running(raw, ["cluster_name"], "_b", "_k", ["_d", "_c"], ["prev_delete", "prev_create"], "max")
-    creates = (raw.filter(F.col("kind") == "C").groupBy("cluster_name", "prev_delete")
-               .agg(F.min("ts").alias("create_ts")))
-    deletes = (raw.filter(F.col("kind") == "D").groupBy("cluster_name", "prev_create")
-               .agg(F.min("ts").alias("delete_ts")))
+    # one aggregate for both kinds; a filter on its own output (_kind) leaves what every branch reads the same exchange
+    canon = (raw.groupBy("cluster_name", "kind", F.when(F.col("kind") == "C", F.col("prev_delete")).otherwise(F.col("prev_create")).alias("_prev"))
+             .agg(F.min("ts").alias("ts"), F.max("kind").alias("_kind")).select("cluster_name", "ts", F.col("_kind").alias("kind")))
+    creates = canon.filter(F.col("kind") == "C").select("cluster_name", F.col("ts").alias("create_ts"))
+    deletes = canon.filter(F.col("kind") == "D").select("cluster_name", F.col("ts").alias("delete_ts"))
 
     # Each canonical create pairs with the soonest canonical delete after it.
-    canon = (creates.select("cluster_name", F.col("create_ts").alias("ts"), F.lit("C").alias("kind"))
-             .unionByName(deletes.select("cluster_name", F.col("delete_ts").alias("ts"),
-                                         F.lit("D").alias("kind"))))
     canon = (canon.withColumn("_k", F.unix_micros("ts"))
              .withColumn("_b", time_bucket("ts", bucket_seconds))
              .withColumn("_d", F.when(F.col("kind") == "D", F.col("ts"))))
@@ -405,15 +409,9 @@ def b20_incarnations(logs: DataFrame, bucket_seconds: int = 86400, ordered: bool
         F.min("timestamp").alias("first_event_ts"), F.max("timestamp").alias("last_event_ts"),
         F.count(F.lit(1)).alias("total_events"))
     w = Window.partitionBy("cluster_name").orderBy(F.coalesce("create_ts", "delete_ts"))
-    explicit = (incarnations.withColumn("incarnation_idx", F.row_number().over(w))
-                .join(fallback, "cluster_name", "left"))
-    windowed_only = (fallback.join(incarnations.select("cluster_name").distinct(), "cluster_name",
-                                   "left_anti")
-                     .select("cluster_name", F.lit(None).cast("timestamp").alias("create_ts"),
-                             F.lit(None).cast("timestamp").alias("delete_ts"),
-                             F.lit(1).alias("incarnation_idx"), "first_event_ts", "last_event_ts",
-                             "total_events"))
-    rows = explicit.unionByName(windowed_only)
+    # every incarnation's cluster has events; a cluster without one is a single window of its events
+    rows = fallback.join(incarnations.withColumn("incarnation_idx", F.row_number().over(w)), "cluster_name", "left") \
+        .withColumn("incarnation_idx", F.coalesce("incarnation_idx", F.lit(1)))
     start = F.coalesce("create_ts", "first_event_ts")
     end = F.coalesce("delete_ts", "last_event_ts")
     out = rows.select(
@@ -445,14 +443,26 @@ AUTOSCALER_PAYLOAD_PATHS = [  # fixed values: output column -> payload path, int
 ]
 
 
+def _payload_schema(paths: list[str]) -> str:
+    """A schema with a text at the end of every path (``$.a.b``)."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for name in path.split(".")[1:]:
+            at = at.setdefault(name, {})
+    kind = lambda t: "struct<" + ",".join(f"{n}:{kind(x)}" for n, x in t.items()) + ">" if t else "string"
+    return kind(tree)
+
+
 def b21_recommendations(logs: DataFrame, ordered: bool = True) -> DataFrame:
-    """Autoscaler events, one projection of the JSON payload."""
+    """Autoscaler events; the JSON payload is parsed once per row for all its paths."""
     a = (logs.filter(F.col("log_name").like("%dataproc.googleapis.com%2Fautoscaler"))
-         .select("timestamp", L.label("cluster_name").alias("cluster_name"), "json_payload")
-         .filter(F.col("cluster_name").isNotNull()))
+         .select("timestamp", F.col("resource.labels").alias("_labels"), "json_payload"))
+    parsed = F.from_json("json_payload", _payload_schema([path for _, path, _ in AUTOSCALER_PAYLOAD_PATHS]))
+    a = L.once(a, L.label("cluster_name", "_labels").alias("cluster_name"), parsed.alias("_p")).filter(F.col("cluster_name").isNotNull())
     cols = []
     for name, path, is_int in AUTOSCALER_PAYLOAD_PATHS:
-        v = F.get_json_object("json_payload", path)
+        v = F.col("_p" + path[1:])
         cols.append((v.try_cast("bigint") if is_int else v).alias(name))
     out = a.select("cluster_name", F.col("timestamp").alias("event_ts"), *cols)
     return out.orderBy("cluster_name", "event_ts") if ordered else out

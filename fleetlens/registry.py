@@ -220,7 +220,7 @@ def _cost_queries() -> dict[str, Query]:
 def exit_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9 over the b14 output of the bound cluster logs."""
     ev = _events(spark, sf_dir)
-    return DG.exit_codes(LQ.b14_nonzero_exits(B.exit_code_logs(ev)))
+    return DG.exit_codes(LQ.b14_nonzero_exits(B.exit_code_logs(ev), ordered=False))
 
 
 def _diagnostic_queries() -> dict[str, Query]:
@@ -286,7 +286,7 @@ REFERENCE_DATE = "2024_01_15"
 
 def all_oom_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir)
-    return SS.stored(spark, _store(spark, sf_dir), "oom", "all", lambda: LQ.b16_oom_latest(B.driver_logs(ev).unionByName(B.telemetry_logs(ev))).select(
+    return SS.stored(spark, _store(spark, sf_dir), "oom", "all", lambda: LQ.b16_oom_latest(B.driver_logs(ev).unionByName(B.telemetry_logs(ev)), ordered=False).select(
         "job_id", "cluster_name", "recipe_filename", "latest_driver_log_ts"))
 
 
