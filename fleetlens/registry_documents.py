@@ -18,7 +18,7 @@ from .plans import log_queries as LQ
 from .plans import sizing as SZ
 from .plans import snapshots as SN
 from .plans import statistics as ST
-from .session import cut_lineage
+from .session import cut_lineage, deal_by
 from .sources import logs as L
 from .sources import sinks as SK
 from .sources import store as SS
@@ -162,7 +162,9 @@ def boosted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read, boosted, written and read again: a row per recipe with its place, options and totals."""
     conf, configs, boosts = _fleet_documents(spark, sf_dir)
     docs = cut_lineage(SK.config_documents(conf, _positions(_reversed_options(configs))))
-    clusters, recipes = DO.parse_documents(DO.rewrite_documents(docs, boosts))
+    # written once: the clusters and the recipes are both read from it
+    clusters, recipes = DO.parse_documents(cut_lineage(DO.rewrite_documents(docs, boosts)))
+    recipes = deal_by(recipes, "file_name", "recipe_filename")  # each row gets its file's whole list, so rows are dealt first
     count, names = BO.HEAP_COUNTERS
     counters = clusters.select("file_name", F.try_element_at("fields", F.lit(count)).cast("int").alias("boosted_count"),
                                F.array_join(F.try_element_at("fields", F.lit(names)).cast("array<string>"), ";").alias("boosted_list"),

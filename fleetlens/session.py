@@ -98,3 +98,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def deal_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all shuffle partitions.
+
+    For few groups that cost much each (a document per cluster): by their size alone AQE would put
+    most of them into one task; a given number of partitions is left as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

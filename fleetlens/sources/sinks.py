@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.boosts import KEYS
+from ..session import deal_by
 
 
 def config_documents(cluster_conf: DataFrame, recipe_configs: DataFrame,
@@ -32,7 +33,7 @@ def config_documents(cluster_conf: DataFrame, recipe_configs: DataFrame,
                  F.try_element_at("extra", F.lit("lastTunedDate")).alias("lastTunedDate"),
                  F.try_element_at("extra", F.lit("keptWithoutCurrentDate")).cast("boolean")
                  .alias("keptWithoutCurrentDate")).alias("conf"))
-    recipes = r.groupBy("cluster_name").agg(
+    recipes = deal_by(r, "cluster_name").groupBy("cluster_name").agg(
         F.map_from_entries(F.transform(F.array_sort(
             F.collect_list(F.struct("_at", "recipe_filename", "conf")),
             lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)),

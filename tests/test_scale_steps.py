@@ -115,3 +115,16 @@ def test_log_fields_are_decoded_once(spark):
 def test_stored_signals_and_exit_codes_are_not_sorted(spark):
     plan = R.exit_code_table(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort [" not in plan
+
+
+def test_documents_are_dealt_over_the_tasks(spark):
+    """By their size alone all files went to one task."""
+    conf = spark.range(40).select(F.concat(F.lit("c-"), "id").alias("cluster_name"), F.lit(3).alias("num_workers"))
+    recipes = conf.select("cluster_name", F.lit("_A.json").alias("recipe_filename"), F.create_map(F.lit("k"), F.lit("v")).alias("spark_opts"),
+                          F.lit(1).alias("total_executor_minimum_allocated_memory_gb"), F.lit(1).alias("total_executor_maximum_allocated_memory_gb"),
+                          F.create_map().cast("map<string,string>").alias("extra"))
+    docs = SK.config_documents(conf, recipes)
+    parts = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1 and docs.count() == 40
+    leaves = DO.flatten(docs).select(F.spark_partition_id().alias("p"), "path")
+    assert "REPARTITION_BY_NUM" in leaves._jdf.queryExecution().executedPlan().toString()
