@@ -1,8 +1,10 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs (operator 6).
 
 Equal vectors are one class.  Classes are dealt to shards of a bounded size; each
-shard's graph is built by one task and kept as a table in the shared folder.  Every
-class queries every shard, in blocks.  A block's beam starts at ``BEAM`` and doubles
+shard's graph is built by one task and kept as a file in the shared folder, beside its
+vectors.  Every class queries every shard, in blocks: a task names a block of one shard
+and another shard (or the same), and reads both files, so that no vector or graph goes
+through a shuffle or a JVM row for it.  A block's beam starts at ``BEAM`` and doubles
 until an audit passes: for some queries the true partners in the shard (not the query
 itself) are counted by brute force, and the search must have found ``AUDIT_RECALL`` of
 them, on average over the queries and on average over the groups, so that one large
@@ -12,7 +14,8 @@ it reaches farther than the threshold (a beam of the shard's size is exhaustive)
 What is found is verified by cosine in double precision, a link found from either end
 counts for both, and links are joined to components.
 
-All vectors are indexed and all are queries; memory is one shard and one block.
+All vectors are indexed and all are queries; memory is one shard, bounded by classes and
+by bytes, and one block, whose links leave a few at a time.
 
 Edge cases: null and zero vectors and those with null or non-finite components link
 with nothing; vectors of different lengths are never compared; repeated rows are copies
@@ -23,19 +26,26 @@ columns are ignored.
 from __future__ import annotations
 
 import io
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import materialise
+from fleetlens.llm.common import materialise, shared_folder
 from fleetlens.llm.components import components
 
 THRESHOLD = 0.9
 #: At least so many shards (they work side by side), and at most so many classes in one.
 SHARDS, SHARD_CLASSES = 8, 32_768
+#: Bytes of a shard's vectors in single precision: long vectors make more shards.
+SHARD_BYTES = 32 << 20
 QUERY_BLOCK = 16_384
+#: Queries of a block, and links found, that are held at once; tasks of a search at most.
+SEARCH_AT_ONCE, LINKS_AT_ONCE, SEARCH_TASKS = 1024, 1 << 18, 20_000
 LINKS, BASE_LINKS = 16, 32
 BUILD_BEAM, BEAM = 48, 32
 #: One query in so many is audited; the share of true partners that must be found.
@@ -43,10 +53,20 @@ AUDIT_EVERY, AUDIT_RECALL = 16, 0.99
 #: Share of a full list that is kept for links out of the near group.
 LONG = 0.25
 AT_ONCE = 256
+#: Bytes of gathered vectors at once.
+DOT_BYTES = 1 << 20
 #: Single precision may fall this far short of the double-precision cosine.
 SLACK = 1e-4
 
 
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows ``i`` of x with the rows ``j`` of y, gathered a few at a time."""
+    out, step = np.empty(len(i), np.result_type(x, y)), max(1, DOT_BYTES // max(1, x.itemsize * x.shape[1]))
+    for k in range(0, len(i), step):
+        np.einsum("md,md->m", x.take(i[k : k + step], 0), y.take(j[k : k + step], 0), out=out[k : k + step])
+    return out
+
+
 class Layer:
     """One layer of a graph: its nodes (rows of the shard) and their neighbours (-1: none)."""
 
@@ -55,35 +75,50 @@ class Layer:
         self.near = np.full((len(nodes), links), -1, np.int32)
         self.place = np.full(total, -1, np.int32)
         self.place[nodes] = np.arange(len(nodes))
+        self.held: np.ndarray | None = None
+
+    def own(self, vectors: np.ndarray) -> np.ndarray:
+        """The vectors of the nodes, gathered once."""
+        if self.held is None:
+            self.held = vectors[self.nodes]
+        return self.held
 
     def search(self, vectors: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the ``beam`` best found per query, best first (-1: none)."""
-        n, own = len(queries), vectors[self.nodes]
-        seen = np.zeros((n, len(self.nodes) + 1), bool)
-        rows = np.arange(n)[:, None]
+        n, total, own = len(queries), len(self.nodes), self.own(vectors)
+        seen = np.zeros(n * total, bool)
         ids = np.full((n, beam), -1, np.int64)
         sims = np.full((n, beam), -np.inf, np.float32)
         done = np.ones((n, beam), bool)
-        fresh = np.sort(entries, 1)
+        q, fresh = np.repeat(np.arange(n), entries.shape[1]), entries.ravel()
         while True:
-            fresh = np.sort(fresh, 1)
-            fresh[:, 1:][fresh[:, 1:] == fresh[:, :-1]] = -1
-            fresh = np.where(seen[rows, fresh], -1, fresh)
-            seen[rows, fresh] = True
-            seen[:, -1] = False  # the place of "none"
-            got = np.einsum("qd,qkd->qk", queries, own[fresh])
-            got[fresh < 0] = -np.inf
-            ids, sims, done = np.concatenate([ids, fresh], 1), np.concatenate([sims, got], 1), np.concatenate([done, fresh < 0], 1)
-            if ids.shape[1] > beam:
-                keep = np.argpartition(-sims, beam - 1, 1)[:, :beam]
-                ids, sims, done = (np.take_along_axis(x, keep, 1) for x in (ids, sims, done))
-            open_sims = np.where(done, -np.inf, sims)
-            if not np.isfinite(open_sims).any():
+            keys = np.sort((q * total + fresh)[fresh >= 0])  # each query's places side by side
+            keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+            keys = keys[~seen[keys]]
+            seen[keys] = True
+            q, at = np.divmod(keys, total)
+            got = _dots(queries, q, own, at)
+            better = got > sims.min(1)[q]
+            q, at, got = q[better], at[better], got[better]
+            if len(q):
+                first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+                rows, counts = q[first], np.diff(np.append(first, len(q)))
+                row, slot = np.repeat(np.arange(len(rows)), counts), beam + np.arange(len(q)) - np.repeat(first, counts)
+                wide = (len(rows), beam + int(counts.max()))
+                new_ids, new_sims, new_done = np.full(wide, -1, np.int64), np.full(wide, -np.inf, np.float32), np.ones(wide, bool)
+                new_ids[:, :beam], new_sims[:, :beam], new_done[:, :beam] = ids[rows], sims[rows], done[rows]
+                new_ids[row, slot], new_sims[row, slot], new_done[row, slot] = at, got, False
+                keep = np.argpartition(-new_sims, beam - 1, 1)[:, :beam]
+                ids[rows], sims[rows], done[rows] = (np.take_along_axis(x, keep, 1) for x in (new_ids, new_sims, new_done))
+            live = np.flatnonzero(~done.all(1))  # queries that have come to an end cost nothing more
+            if not len(live):
                 break
+            open_sims = np.where(done[live], -np.inf, sims[live])
             take = np.argpartition(-open_sims, min(step, beam) - 1, 1)[:, : min(step, beam)]
-            chosen = np.where(np.isfinite(np.take_along_axis(open_sims, take, 1)), np.take_along_axis(ids, take, 1), -1)
-            np.put_along_axis(done, take, True, 1)
-            fresh = np.where(chosen[:, :, None] >= 0, self.near[chosen], -1).reshape(n, -1).astype(np.int64)
+            row, col = np.nonzero(np.isfinite(np.take_along_axis(open_sims, take, 1)))
+            q, col = live[row], take[row, col]
+            done[q, col] = True
+            q, fresh = np.repeat(q, self.links), self.near[ids[q, col]].ravel()
         order = np.argsort(-sims, 1)
         ids = np.take_along_axis(ids, order, 1)
         sims = np.take_along_axis(sims, order, 1)
@@ -92,12 +127,13 @@ class Layer:
 
     def connect(self, vectors: np.ndarray, places: np.ndarray, found: np.ndarray) -> None:
         """Link new ``places`` to a spread choice of what was found for them, and back."""
-        own = vectors[self.nodes]
-        sims = np.einsum("qd,qkd->qk", own[places], own[found])
+        own = self.own(vectors)
+        sims = np.einsum("qd,qkd->qk", own.take(places, 0), own.take(found, 0))
         sims[(found < 0) | (found == places[:, None])] = -np.inf
         order = np.argsort(-sims, 1)[:, : min(found.shape[1], BUILD_BEAM)]
         found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
-        among = np.einsum("qid,qjd->qij", own[found], own[found])
+        each = own.take(found, 0)
+        among = each @ each.transpose(0, 2, 1)
         kept = np.zeros(found.shape, bool)
         for c in range(found.shape[1]):  # a candidate nearer to a kept one than to the node adds no new direction
             covered = (np.where(kept, among[:, c], -np.inf) > sims[:, c : c + 1]).any(1)
@@ -124,8 +160,9 @@ class Layer:
         lists[:, 1:][lists[:, 1:] == lists[:, :-1]] = -1
         for i in range(0, len(nodes), 1024):
             some = lists[i : i + 1024]
-            sims = np.einsum("qd,qkd->qk", own[nodes[i : i + 1024]], own[some])
-            sims[some < 0] = -np.inf
+            sims = np.full(some.shape, -np.inf, np.float32)
+            row, col = np.nonzero(some >= 0)
+            sims[row, col] = _dots(own, nodes[i + row], own, some[row, col])
             order = np.argsort(-sims, 1)
             some, sims = np.take_along_axis(some, order, 1), np.take_along_axis(sims, order, 1)
             full = np.flatnonzero(some[:, self.links :].max(1, initial=-1) >= 0)
@@ -141,8 +178,9 @@ class Layer:
         count, out = np.zeros(len(lists), int), np.zeros(lists.shape, bool)
         for c in range(lists.shape[1]):
             rows = np.flatnonzero((lists[:, c] >= 0) & (sims[:, c] < THRESHOLD) & (count < most))
-            among = np.einsum("qkd,qd->qk", own[kept[rows]], own[lists[rows, c]])
-            among[kept[rows] < 0] = -np.inf
+            among = np.full((len(rows), most), -np.inf, np.float32)
+            row, col = np.nonzero(kept[rows] >= 0)
+            among[row, col] = _dots(own, kept[rows[row], col], own, lists[rows[row], c])
             rows = rows[among.max(1, initial=-np.inf) <= sims[rows, c]]
             kept[rows, count[rows]] = lists[rows, c]
             count[rows] += 1
@@ -162,7 +200,7 @@ class Graph:
         levels = np.floor(-np.log(np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
         graph = cls(vectors, [])
         for level in range(levels.max(initial=0), -1, -1):
-            nodes = np.flatnonzero(levels >= level)
+            nodes = np.flatnonzero(levels >= level).astype(np.int32)
             nodes = nodes[np.argsort(-levels[nodes], kind="stable")]  # those of the layers above come first
             layer = Layer(nodes, LINKS if level else BASE_LINKS, n)
             above, start = (len(graph.layers[-1].nodes) if graph.layers else 0), min(len(nodes), AT_ONCE)
@@ -225,13 +263,21 @@ class Graph:
 
     def to_bytes(self) -> bytes:
         held = io.BytesIO()
-        np.savez(held, vectors=self.vectors, **{f"{kind}{i}": x for i, layer in enumerate(self.layers) for kind, x in (("nodes", layer.nodes), ("near", layer.near))})
+        np.savez(held, vectors=self.vectors, **self.links())
         return held.getvalue()
 
+    def links(self) -> dict[str, np.ndarray]:
+        """The layers' arrays by name."""
+        return {f"{kind}{i}": x for i, layer in enumerate(self.layers) for kind, x in (("nodes", layer.nodes), ("near", layer.near))}
+
     @classmethod
     def from_bytes(cls, raw: bytes) -> Graph:
         held = np.load(io.BytesIO(raw))
-        vectors, layers = held["vectors"], []
+        return cls.of(held["vectors"], held)
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, held: dict[str, np.ndarray]) -> Graph:
+        layers: list[Layer] = []
         while f"nodes{len(layers)}" in held:
             i = len(layers)
             near = held[f"near{i}"]
@@ -240,8 +286,8 @@ class Graph:
         return cls(vectors, layers)
 
 
-def audited(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[list[np.ndarray], float, int]:
-    """Rows near each query, the audited recall and the beam it took.
+def audited_beam(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[float, int]:
+    """The audited recall and the beam it took.
 
     ``own`` is each query's row in the graph (-1: none; not given: the rows equal to it), which
     is no partner.  The recall is the smaller of two means over the audited queries that have
@@ -251,7 +297,7 @@ def audited(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, o
     truth = []
     for i in range(0, len(sample), AT_ONCE):
         for q, sims in zip(sample[i : i + AT_ONCE], queries[sample[i : i + AT_ONCE]] @ graph.vectors.T):
-            rows = np.flatnonzero(sims >= least)
+            rows = np.flatnonzero(sims >= least).astype(np.int32)
             truth.append(rows[rows != own[q]] if own is not None else rows[(graph.vectors[rows] != queries[q]).any(1)])
     asked = [k for k, t in enumerate(truth) if len(t)]
     weight = 1 / (1 + np.array([len(truth[k]) for k in asked]))
@@ -260,61 +306,116 @@ def audited(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, o
         found = np.array([len(np.intersect1d(truth[k], f)) / len(truth[k]) for k, f in zip(asked, trial)])
         recall = float(min(found.mean(), np.average(found, weights=weight))) if asked else 1.0
         if recall >= AUDIT_RECALL or beam >= len(graph.vectors):
-            return graph.near(queries, least, beam), recall, beam
+            return recall, beam
         beam *= 2
 
 
+def audited(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[list[np.ndarray], float, int]:
+    """Rows near each query, the audited recall and the beam it took."""
+    recall, beam = audited_beam(graph, queries, least, beam, own)
+    return graph.near(queries, least, beam), recall, beam
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = pa.concat_arrays(column.combine_chunks().chunks if isinstance(column.combine_chunks(), pa.ChunkedArray) else [column.combine_chunks()]).flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Unit vectors; scaled first, so that very large and very small components neither overflow nor vanish."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _build(key: tuple, rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("class_id")
-    graph = Graph.build(_unit(_matrix(rows.column("embedding"))).astype(np.float32))
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([graph.to_bytes()], pa.binary()), pa.array([rows.column("class_id").to_pylist()], pa.list_(pa.int64())), pa.array([rows.column("embedding").to_pylist()], pa.list_(pa.list_(pa.float64())))], names=["dim", "shard", "graph", "ids", "raw"])
+def _place(folder: str, dim: int, shard: int) -> tuple[pafs.FileSystem, str]:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    return fs, f"{root}/{dim}-{shard}.arrow"
+
+
+def _store(folder: str, dim: int, shard: int, arrays: dict[str, np.ndarray]) -> None:
+    """One file of one row, a column of bytes for each array; written under the attempt's name and moved."""
+    (fs, path), task = _place(folder, dim, shard), TaskContext.get()
+    draft = f"{path}.{task.taskAttemptId() if task else 0}.tmp"
+    schema = pa.schema([pa.field(k, pa.large_binary(), metadata={"dtype": x.dtype.str, "width": str(x.shape[1] if x.ndim > 1 else 0)}) for k, x in arrays.items()])
+    columns = [pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes])), pa.py_buffer(np.ascontiguousarray(x))]) for x in arrays.values()]
+    with fs.open_output_stream(draft) as out, pa.ipc.new_file(out, schema) as file:
+        file.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
+    fs.move(draft, path)
+
+
+def _stored(folder: str, dim: int, shard: int) -> dict[str, np.ndarray]:
+    """The arrays of a shard's file, views of it; local files are memory-mapped."""
+    fs, path = _place(folder, dim, shard)
+    batch = pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)).get_batch(0)
+    arrays = {}
+    for field, column in zip(batch.schema, batch.columns):
+        flat, width = np.frombuffer(column.buffers()[2], field.metadata[b"dtype"].decode()), int(field.metadata[b"width"])
+        arrays[field.name] = flat.reshape(-1, width) if width else flat
+    return arrays
+
+
+def _build(folder: str) -> Callable[[tuple, pa.Table], pa.Table]:
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        rows, (dim, shard) = rows.sort_by("class_id"), (k.as_py() for k in key)
+        exact = _matrix(rows.column("embedding"))
+        graph = Graph.build(_unit(exact).astype(np.float32))
+        _store(folder, dim, shard, {"ids": rows.column("class_id").to_numpy(), "exact": exact} | graph.links())
+        return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([rows.num_rows], pa.int64())], names=["dim", "shard", "n_rows"])
+
+    return build
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _search(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
-    if not index.num_rows or not queries.num_rows:
-        return PAIRS.empty_table()
-    graph = Graph.from_bytes(index.column("graph")[0].as_py())
-    ids, exact = index.column("ids")[0].values.to_numpy(), _unit(np.array(index.column("raw")[0].as_py()))
-    asked, own = _unit(_matrix(queries.column("embedding"))), queries.column("class_id").to_numpy()
-    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # _build sorts by class_id
-    found, _, _ = audited(graph, asked.astype(np.float32), THRESHOLD - SLACK, own=np.where(ids[at] == own, at, -1))
-    q = np.repeat(np.arange(len(own)), [len(f) for f in found])
-    r = np.concatenate(found) if found else np.empty(0, np.int64)
-    ok = np.concatenate([np.einsum("ij,ij->i", asked[q[i : i + 50_000]], exact[r[i : i + 50_000]]) >= THRESHOLD for i in range(0, len(q), 50_000)]) if len(q) else np.empty(0, bool)
-    a, b = own[q[ok]], ids[r[ok]]
-    a, b = a[a != b], b[a != b]
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIRS)
+def _linked(folder: str, dim: int, shard: int, first: int, block: int, other: int) -> Iterator[pa.RecordBatch]:
+    """Links from a block of one shard's classes to those of another shard, or its own."""
+    mine, its = _stored(folder, dim, shard), _stored(folder, dim, other)
+    ids, asked, exact = mine["ids"][first : first + block], _unit(mine["exact"][first : first + block]), _unit(its["exact"])
+    graph, queries = Graph.of(exact.astype(np.float32), its), asked.astype(np.float32)
+    _, beam = audited_beam(graph, queries, THRESHOLD - SLACK, own=np.arange(first, first + len(ids)) if shard == other else np.full(len(ids), -1))
+    for i in range(0, len(ids), SEARCH_AT_ONCE):
+        found = graph.near(queries[i : i + SEARCH_AT_ONCE], THRESHOLD - SLACK, beam)
+        sizes = np.array([len(f) for f in found])
+        for part in np.split(np.arange(len(found)), np.flatnonzero(np.diff(np.cumsum(sizes) // LINKS_AT_ONCE)) + 1):
+            q, r = np.repeat(i + part, sizes[part]), np.concatenate([found[k] for k in part])
+            ok = _dots(asked, q, exact, r) >= THRESHOLD
+            a, b = ids[q[ok]], its["ids"][r[ok]]
+            a, b = a[a != b], b[a != b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIRS)
+
+
+def _search(folder: str, block: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                yield from _linked(folder, x["dim"], x["shard"], x["first"], block, x["other"])
+
+    return search
 
 
 def near_vectors(vectors: DataFrame, shards: int = SHARDS, shard_classes: int = SHARD_CLASSES, block: int = QUERY_BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark = vectors.sparkSession
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     sound = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     digest = F.sha2(F.to_json("embedding"), 256)  # 0.0 and -0.0 differ: such copies still meet in the search
     marked = materialise(rows.withColumn("digest", F.when(sound, digest)).withColumn("dim", F.when(sound, F.size("embedding"))), "vectors")
     classes = materialise(marked.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"), F.first("dim").alias("dim")), "vector-classes")
-    n = classes.count()
-    shards, blocks = max(shards, -(-n // shard_classes)), max(1, -(-n // block))
+    n, floats = classes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(shards, -(-n // shard_classes), -(-floats * 4 // SHARD_BYTES))
     dealt = classes.select("dim", F.pmod(F.xxhash64("class_id"), F.lit(shards)).cast("int").alias("shard"), "class_id", "embedding")
-    index = materialise(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, graph binary, ids array<long>, raw array<array<double>>"), "hnsw")
-    placed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = classes.select("dim", "class_id", "embedding", F.pmod(F.xxhash64("class_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    met = placed.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(_search, "a long, b long")
+    folder = shared_folder(spark, "hnsw-graphs")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jpath)
+    # a shard is a long task: by their size alone AQE would put several into one
+    index = materialise(dealt.repartition(8 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build(folder), "dim int, shard int, n_rows long"), "hnsw")
+    asked = index.select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(block).cast("long"))).alias("first"))
+    tasks = asked.join(index.select("dim", F.col("shard").alias("other")), "dim")
+    met = tasks.repartition(min(max(tasks.count(), 1), SEARCH_TASKS)).mapInArrow(_search(folder, block), "a long, b long")
     pairs = materialise(met.distinct(), "vector-pairs")
     both = pairs.union(pairs.select("b", "a"))
     links = both.join(classes.select(F.col("class_id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("copies").alias("others"))

@@ -356,6 +356,37 @@ def test_full_lists_keep_links_out_of_their_group():
     assert set(range(1, 5)) <= set(layer.near[0].tolist()) and (layer.near[0] >= 5).sum() == 28
 
 
+def test_no_row_holds_a_shard(spark, monkeypatch):
+    """Graphs and vectors stay in files: no written row grows with its shard, long vectors make more shards, results are the same."""
+    x = np.random.default_rng(9).normal(size=(40, 16)).repeat(15, 0) + np.random.default_rng(10).normal(scale=0.1, size=(600, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    longest, rows = {}, {}
+
+    def written(df, name):
+        out = materialise(df, name)
+        longest[name], rows[name] = out.agg(F.max(F.length(F.to_json(F.struct(*out.columns)))), F.count("*")).first()
+        return out
+
+    materialise = hnsw.materialise
+    monkeypatch.setattr(hnsw, "materialise", written)
+    got = hnsw.near_vectors(table, shards=2, block=50).collect()
+    assert rows["hnsw"] == 2 and all(n < 1000 for n in longest.values()), longest
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 100 * 16 * 4)
+    assert sorted(hnsw.near_vectors(table, shards=2, block=50).collect()) == sorted(got)
+    assert rows["hnsw"] == 6
+
+
+def test_links_of_a_large_group_leave_a_few_at_a_time(tmp_path, monkeypatch):
+    x = np.random.default_rng(11).normal(size=(1, 16)) + np.random.default_rng(12).normal(scale=0.05, size=(400, 16))
+    rows = pa.table({"class_id": pa.array(np.arange(400)[::-1]), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
+    monkeypatch.setattr(hnsw, "LINKS_AT_ONCE", 1000)
+    monkeypatch.setattr(hnsw, "SEARCH_AT_ONCE", 64)
+    hnsw._build(tmp_path.as_uri())((pa.scalar(16), pa.scalar(0)), rows)
+    found = [b for first in range(0, 400, 150) for b in hnsw._linked(tmp_path.as_uri(), 16, 0, first, 150, 0)]
+    assert max(b.num_rows for b in found) <= 1400 and len(found) > 50
+    assert sum(b.num_rows for b in found) == 400 * 399 and len(set(zip(*pa.Table.from_batches(found).to_pydict().values()))) == 400 * 399 // 2
+
+
 # op7 ------------------------------------------------------------------------------------------------
 
 
