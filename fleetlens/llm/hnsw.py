@@ -128,8 +128,9 @@ class Layer:
     def connect(self, vectors: np.ndarray, places: np.ndarray, found: np.ndarray) -> None:
         """Link new ``places`` to a spread choice of what was found for them, and back."""
         own = self.own(vectors)
-        sims = np.einsum("qd,qkd->qk", own.take(places, 0), own.take(found, 0))
-        sims[(found < 0) | (found == places[:, None])] = -np.inf
+        sims = np.full(found.shape, -np.inf, np.float32)
+        row, col = np.nonzero((found >= 0) & (found != places[:, None]))
+        sims[row, col] = _dots(own, places[row], own, found[row, col])
         order = np.argsort(-sims, 1)[:, : min(found.shape[1], BUILD_BEAM)]
         found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
         each = own.take(found, 0)
@@ -323,9 +324,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Unit vectors; scaled first, so that very large and very small components neither overflow nor vanish."""
-    x = x.astype(np.float64)
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    out, step = np.empty(x.shape), max(1, DOT_BYTES // max(1, 8 * x.shape[1]))
+    for i in range(0, len(x), step):
+        some = x[i : i + step].astype(np.float64)
+        some /= np.abs(some).max(1, keepdims=True)
+        out[i : i + step] = some / np.linalg.norm(some, axis=1, keepdims=True)
+    return out
 
 
 def _place(folder: str, dim: int, shard: int) -> tuple[pafs.FileSystem, str]:
